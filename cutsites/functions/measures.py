@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,15 +18,12 @@ def site_ratio(at_site: Column, around: Column) -> Column:
     return at_site / (around + 1)
 
 
-def pick(score: Column, tie: Column, *payload: Column) -> Column:
-    """Struct whose minimum is the best row.
+def pick(score: str, tie: str, payload: Sequence[str], condition: str | None = None) -> str:
+    """SQL struct whose minimum is the best row.
 
     Highest score first (compared at six digits, so that engines summing doubles
-    in another order agree), NULL scores last, ties by ``tie`` ascending.
+    in another order agree), NULL scores last, ties by ``tie`` ascending. Rows that
+    fail ``condition`` give NULL.
     """
-    return F.struct(
-        score.isNull().alias("missing"),
-        (-F.round(score, 6)).alias("rank"),
-        tie.alias("tie"),
-        *payload,
-    )
+    fields = ", ".join([f"{score} is null as missing", f"-round({score}, 6) as rank", f"{tie} as tie", *payload])
+    return f"if({condition}, struct({fields}), null)" if condition else f"struct({fields})"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutsites.functions import coordinates as co
@@ -23,6 +23,7 @@ def recode_sheet(sheet: DataFrame, profile: Profile) -> DataFrame:
     """Normalise the sample sheet: short method and replicate names, composed sample key.
 
     Rows flagged for exclusion are dropped when the profile says so (a NULL flag keeps the row).
+    A sheet is a few lines: as one partition, its distinct projections need no shuffle.
     """
     if profile.drop_excluded:
         sheet = sheet.where(~F.coalesce(F.col("exclude") == "Y", F.lit(False)))
@@ -35,6 +36,7 @@ def recode_sheet(sheet: DataFrame, profile: Profile) -> DataFrame:
         .withColumn("sample_rep", rep)
         .withColumn("sample_recode", k.joined(code, "library_method", "sample_rep", "sample_type"))
         .select("species", "sample", "sample_recode", "library_method", "sample_rep", "sample_type", "dataset")
+        .coalesce(1)
     )
 
 
@@ -71,15 +73,24 @@ def sample_design(
     sheet here. Counting the sheet therefore bounds this table, and only then is
     it hinted for broadcast.
     """
-    sized = sizes.join(sheet.select(F.col("sample_recode").alias("sample")).distinct(), "sample", "left_semi")
+    listed = sheet.select(F.col("sample_recode").alias("sample")).distinct()
+    # One row per sample: a single partition, so that no step below shuffles again.
+    sized = sizes.join(listed, "sample", "left_semi").repartition(1)
     parts = sized.select("sample", "count_frag_sample", *k.split_into(F.col("sample"), SAMPLE_PARTS))
-    uncontrolled = F.col("sample_type") != profile.control_type if profile.control_type else F.lit(True)
-    per_method = parts.groupBy("species", "library_method").agg(
-        F.countDistinct(F.when(uncontrolled, F.col("sample_rep"))).alias("n_rep"),
-        F.countDistinct(F.when(uncontrolled, F.col("sample_type"))).alias("n_type"),
-        F.collect_list(F.struct("sample", "count_frag_sample")).alias("samples"),
+    used = f"sample_type <> '{profile.control_type}'" if profile.control_type else "true"
+    method = Window.partitionBy("species", "library_method")
+
+    def distinct_of(part: str) -> Column:
+        return F.size(F.collect_set(F.expr(f"if({used}, {part}, null)")).over(method)).cast("bigint")
+
+    design = parts.select(
+        "sample",
+        "sample_rep",
+        "sample_type",
+        "count_frag_sample",
+        distinct_of("sample_rep").alias("n_rep"),
+        distinct_of("sample_type").alias("n_type"),
     )
-    design = per_method.select("n_rep", "n_type", F.inline("samples"))
     small = sheet.limit(max_samples + 1).count() <= max_samples
     return F.broadcast(design) if small else design
 

@@ -11,12 +11,13 @@ from cutsites.functions import coordinates as co
 from cutsites.functions.measures import cpm
 from cutsites.operators.regions import TILE, TILE_BITS
 from cutsites.profile import HotspotRule
-from cutsites.schemas import HOTSPOT_RULES_DDL
+from cutsites.schemas import HOTSPOT_RULES
+from cutsites.session import local_table
 
 
 def hotspot_rules(spark: SparkSession, rules: Sequence[HotspotRule]) -> DataFrame:
     rows = [(r.species, r.chr, r.lo, r.hi, r.lo_incl, r.hi_incl) for r in rules]
-    return spark.createDataFrame(rows, HOTSPOT_RULES_DDL)
+    return local_table(spark, rows, HOTSPOT_RULES)
 
 
 def peak_positions(peaks: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -97,7 +98,7 @@ def known_site_report(ratios: DataFrame, design: DataFrame, ids: Sequence[str] |
     else:
         chosen = ratios.where(F.col("peak_id").isin(*ids))
     return (
-        chosen.join(design.select("sample", "count_frag_sample", "sample_type"), "sample", "left")
+        chosen.join(design.select("sample", "count_frag_sample", "sample_rep", "sample_type"), "sample", "left")
         .withColumn("cpm", cpm(F.col("cs"), F.col("count_frag_sample")))
         .select("tier", "peak_id", "sample", "library_method", "sample_rep", "sample_type", "cs", "cpm")
         .distinct()

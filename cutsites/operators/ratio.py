@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutsites.functions import coordinates as co
 from cutsites.functions import keys as k
 from cutsites.functions.measures import site_ratio
 from cutsites.operators.regions import BIN_BITS, TILE, TILE_BITS, range_join
@@ -25,9 +24,10 @@ def peak_windows(peaks: DataFrame, windows: Sequence[RatioWindow]) -> DataFrame:
     """
     reach = max(w.offset for w in windows) + SHOULDER
     down = 0 if all(w.upstream_only for w in windows) else reach
-    strand, peak = F.col("strand"), F.col("peak")
-    return peaks.withColumn("window_lo", co.by_strand(strand, peak - reach, peak - down)).withColumn(
-        "window_hi", co.by_strand(strand, peak + down, peak + reach)
+    return peaks.selectExpr(
+        "*",
+        f"if(strand = '+', peak - {reach}, peak - {down}) as window_lo",
+        f"if(strand = '+', peak + {down}, peak + {reach}) as window_hi",
     )
 
 
@@ -47,13 +47,13 @@ def counts_in_windows(tiled: DataFrame, peaks: DataFrame, windows: Sequence[Rati
     ``tiled`` comes from ``tile_counts``; peaks are repeated for the (at most two)
     tiles of their window so that the counts stay where they are.
     """
-    wanted = peak_windows(peaks, windows)
-    first = co.tile_of(co.unit_start(F.col("window_lo")), TILE_BITS)
-    last = co.tile_of(co.unit_start(F.col("window_hi")), TILE_BITS)
+    tiles = f"explode(sequence(shiftright(window_lo - 1, {TILE_BITS}), shiftright(window_hi - 1, {TILE_BITS})))"
     split = (
-        wanted.withColumn(TILE, F.explode(F.sequence(first, last)))
-        .withColumn("_lo", F.greatest("window_lo", F.shiftleft(TILE, TILE_BITS) + 1))
-        .withColumn("_hi", F.least("window_hi", F.shiftleft(F.col(TILE) + 1, TILE_BITS)))
+        peak_windows(peaks, windows)
+        .withColumn(TILE, F.expr(tiles))
+        .withColumn("_lo", F.expr(f"greatest(window_lo, shiftleft({TILE}, {TILE_BITS}) + 1)"))
+        .withColumn("_hi", F.expr(f"least(window_hi, shiftleft({TILE} + 1, {TILE_BITS}))"))
+        .drop("window_lo", "window_hi")
     )
     return range_join(tiled, split, [*SITE_KEYS, TILE], "end5", "_lo", "_hi", BIN_BITS)
 
@@ -66,35 +66,31 @@ def cleavage_ratio(
     All windows are computed in one pass as conditional sums. A sample without
     any signal in a window has no row for it.
     """
-    distance = F.abs(F.col("end5") - F.col("peak"))
-    upstream = co.relative_position(F.col("end5"), F.col("peak"), F.col("strand")) <= 0
-    count = F.col("count_end5")
-    sums = [F.sum(F.when(distance == 0, count)).alias("cs")]
+    sums = ["sum(if(end5 = peak, count_end5, null)) as cs"]
     for w in windows:
-        around = distance.between(SHOULDER + 1, w.offset + SHOULDER)
+        around = f"abs(end5 - peak) between {SHOULDER + 1} and {w.offset + SHOULDER}"
         if w.upstream_only:
-            around = around & upstream
-        sums.append(F.sum(F.when(around, count)).alias(f"_{w.tag}"))
-    group = ["tier", "species", "chr", "strand", "start", "library_method", "peak", "sample", "sample_rep"]
-    per_window = F.explode(
-        F.array(*[F.struct(F.lit(w.tag).alias("ratio_type"), F.col(f"_{w.tag}").alias("other")) for w in windows])
-    )
+            around += " and if(strand = '+', end5 - peak, peak - end5) <= 0"
+        sums.append(f"sum(if({around}, count_end5, null)) as _{w.tag}")
+    region = ["tier", *SITE_KEYS, "start", "peak", *[c for c in ("n_design",) if c in peaks.columns]]
+    group = [*region, "sample"]
+    structs = ", ".join(f"struct('{w.tag}' as ratio_type, _{w.tag} as other)" for w in windows)
     return (
-        counts_in_windows(tiled, peaks.select("tier", *SITE_KEYS, "start", "peak"), windows)
+        counts_in_windows(tiled, peaks.select(*region), windows)
         .groupBy(*group)
-        .agg(*sums)
-        .select(*group, "cs", per_window.alias("_w"))
-        .select(*group, "cs", "_w.ratio_type", "_w.other")
-        .where(F.col("cs").isNotNull() | F.col("other").isNotNull())
-        .fillna(0, subset=["cs", "other"])
+        .agg(*[F.expr(s) for s in sums])
+        .selectExpr(*group, "cs", f"inline(array({structs}))")
+        .where("cs is not null or other is not null")
+        .selectExpr(*group, "ratio_type", "coalesce(cs, 0L) as cs", "coalesce(other, 0L) as other")
         .withColumn("ratio", site_ratio(F.col("cs"), F.col("other")))
         .withColumn("peak_id", k.peak_id())
     )
 
 
 def with_design(ratios: DataFrame, design: DataFrame) -> DataFrame:
-    """Numbers of replicates and types of each ratio's sample."""
-    return ratios.join(design.select("sample", "n_rep", "n_type"), "sample", "left")
+    """Replicate and type of each ratio's sample, and the size of its design."""
+    details = design.selectExpr("sample", "sample_rep", "sample_type", "n_rep", "n_type")
+    return ratios.drop("n_design").join(details, "sample", "left").withColumn("n_design", F.expr("n_rep * n_type"))
 
 
 def hierarchical_mean(ratios: DataFrame, divisor: int) -> DataFrame:
@@ -103,8 +99,9 @@ def hierarchical_mean(ratios: DataFrame, divisor: int) -> DataFrame:
     The divisors come from the design, so the three means fold into one weighted sum
     and one shuffle.
     """
-    weight = F.lit(1.0) / (F.col("n_type") * F.col("n_rep") * F.lit(divisor))
-    return ratios.groupBy("tier", "peak_id", "ratio_type").agg(F.sum(F.col("ratio") * weight).alias("ratio_mean"))
+    return ratios.groupBy("tier", "peak_id", "ratio_type").agg(
+        F.expr(f"sum(ratio / (n_design * {divisor}))").alias("ratio_mean")
+    )
 
 
 def ratio_columns(means: DataFrame, tags: Sequence[str]) -> DataFrame:
@@ -131,18 +128,15 @@ def tier_info(ratios: DataFrame, profile: Profile, alias: DataFrame | None = Non
     """Final table: positions per method and mean ratios of every region.
 
     Both pivots share the region as key and the peak id is unique over tiers, so one
-    aggregation replaces two pivots and a join. ``ratios`` carries the design columns.
+    aggregation replaces two pivots and a join.
     ``alias`` (``chr``, ``alias``) adds ``chr_UCSC``; unmatched contigs keep their name.
     """
     region = ["tier", "species", "chr", "strand", "start"]
-    weight = F.lit(1.0) / (F.col("n_type") * F.col("n_rep") * F.lit(profile.method_divisor))
     tags = [w.tag for w in profile.ratio_windows]
+    share = f"ratio / (n_design * {profile.method_divisor})"
     info = ratios.groupBy(*region).agg(
-        *[F.max(F.when(F.col("library_method") == m, F.col("peak"))).alias(f"peak_{m}") for m in profile.methods],
-        *[
-            F.sum(F.when(F.col("ratio_type") == t, F.col("ratio") * weight)).alias(f"ratio_{t}")
-            for t in tags
-        ],
+        *[F.expr(f"max(if(library_method = '{m}', peak, null)) as peak_{m}") for m in profile.methods],
+        *[F.expr(f"sum(if(ratio_type = '{t}', {share}, null)) as ratio_{t}") for t in tags],
     )
     contig = ["chr"]
     if alias is not None:

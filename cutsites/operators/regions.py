@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cutsites.functions.coordinates import tile_of
@@ -23,18 +23,22 @@ TILE = "tile"
 
 @dataclass(frozen=True)
 class Agg:
-    """A decomposable aggregate carried through the merge: ``min``, ``max`` or ``sum`` of a column."""
+    """A decomposable aggregate carried through the merge: ``min``, ``max`` or ``sum`` of an SQL expression."""
 
     name: str
     how: str
-    column: Column
+    sql: str
 
-    def over(self, column: Column) -> Column:
-        return {"min": F.min, "max": F.max, "sum": F.sum}[self.how](column).alias(self.name)
+    def update(self, condition: str | None = None) -> Column:
+        value = f"if({condition}, {self.sql}, null)" if condition else self.sql
+        return F.expr(f"{self.how}({value}) as {self.name}")
+
+    def merge(self) -> Column:
+        return F.expr(f"{self.how}({self.name}) as {self.name}")
 
 
 def count_members(name: str = "n_sites") -> Agg:
-    return Agg(name, "sum", F.lit(1).cast("bigint"))
+    return Agg(name, "sum", "1L")
 
 
 def merge_regions(
@@ -55,64 +59,64 @@ def merge_regions(
     if not 0 <= gap < 1 << tile_bits:
         raise ValueError("gap must be at least 0 and smaller than a tile")
     pieces = df if tiled else _cut_at_tiles(df, tile_bits)
-    home = F.lit(True) if tiled else F.col("_home")
-    islands = _tile_islands(pieces, list(keys), gap, aggs, home)
+    islands = _tile_islands(pieces, list(keys), gap, aggs, None if tiled else "_home")
     return _chain_over_borders(islands, list(keys), gap, aggs, tile_bits)
 
 
 def _cut_at_tiles(df: DataFrame, bits: int) -> DataFrame:
     """Cut intervals at tile borders; book-ended pieces stay linked for any gap."""
-    first = tile_of(F.col("start"), bits)
-    last = F.greatest(first, tile_of(F.col("end") - 1, bits))
-    return (
-        df.withColumn("_first", first)
-        .withColumn(TILE, F.explode(F.sequence("_first", last)))
-        .withColumn("_home", F.col(TILE) == F.col("_first"))
-        .withColumn("start", F.greatest("start", F.shiftleft(TILE, bits)))
-        .withColumn("end", F.least("end", F.shiftleft(F.col(TILE) + 1, bits)))
+    first = f"shiftright(start, {bits})"
+    tiles = f"explode(sequence({first}, greatest({first}, shiftright(end - 1, {bits}))))"
+    rest = [c for c in df.columns if c not in ("start", "end")]
+    return df.selectExpr(*rest, "start as _start", "end as _end", f"{first} as _first", f"{tiles} as {TILE}").selectExpr(
+        *rest,
+        TILE,
+        f"{TILE} = _first as _home",
+        f"greatest(_start, shiftleft({TILE}, {bits})) as start",
+        f"least(_end, shiftleft({TILE} + 1, {bits})) as end",
     )
 
 
-def _tile_islands(pieces: DataFrame, keys: list[str], gap: int, aggs: Sequence[Agg], home: Column) -> DataFrame:
+def _running_start(df: DataFrame, window: WindowSpec, reach: Column, gap: int) -> DataFrame:
+    """Number rows by ``_island``: the start of the last row that lies beyond ``reach`` by more than ``gap``."""
+    opens = F.expr(f"if(_reach is null or start - _reach > {gap}, start, null)")
+    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn("_reach", reach).withColumn("_island", F.max(opens).over(upto))
+
+
+def _tile_islands(
+    pieces: DataFrame, keys: list[str], gap: int, aggs: Sequence[Agg], home: str | None
+) -> DataFrame:
     ordered = Window.partitionBy(*keys, TILE).orderBy("start", "end")
     # Running maximum, not the previous end: intervals may be nested.
     reach = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    opened = (
-        pieces.withColumn("_reach", reach)
-        .withColumn("_opens", F.when(F.col("_reach").isNull() | (F.col("start") - F.col("_reach") > gap), F.col("start")))
-        .withColumn("_island", F.max("_opens").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    )
     return (
-        opened.groupBy(*keys, TILE, "_island")
-        .agg(F.max("end").alias("end"), *[a.over(F.when(home, a.column)) for a in aggs])
-        .withColumnRenamed("_island", "start")
+        _running_start(pieces, ordered, reach, gap)
+        .groupBy(*keys, TILE, "_island")
+        .agg(F.expr("max(end) as end"), *[a.update(home) for a in aggs])
     )
 
 
 def _chain_over_borders(islands: DataFrame, keys: list[str], gap: int, aggs: Sequence[Agg], bits: int) -> DataFrame:
-    near_start = F.col("start") - F.shiftleft(TILE, bits) <= gap
-    near_end = F.shiftleft(F.col(TILE) + 1, bits) - F.col("end") <= gap
+    near_border = f"_island - shiftleft({TILE}, {bits}) <= {gap} or shiftleft({TILE} + 1, {bits}) - end <= {gap}"
+    names = [a.name for a in aggs]
     # Border islands of a contig share a group; all others stay within their tile.
-    grouped = islands.withColumn("_border", near_start | near_end).withColumn(
-        "_group", F.when(F.col("_border"), F.lit(0).cast("bigint")).otherwise(F.col(TILE))
-    )
-    group = [*keys, "_border", "_group"]
-    ordered = Window.partitionBy(*group).orderBy("start")
-    before = F.lag("end").over(ordered)
+    grouped = islands.selectExpr(
+        *keys, TILE, "_island as start", "end", *names, f"{near_border} as _border"
+    ).withColumn("_group", F.expr(f"if(_border, 0L, {TILE})"))
+    ordered = Window.partitionBy(*keys, "_border", "_group").orderBy("start")
     return (
-        grouped.withColumn("_before", before)
-        .withColumn("_opens", F.when(F.col("_before").isNull() | (F.col("start") - F.col("_before") > gap), F.col("start")))
-        .withColumn("_region", F.max("_opens").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*group, "_region")
-        .agg(F.max("end").alias("end"), *[a.over(F.col(a.name)) for a in aggs])
-        .select(*keys, F.col("_region").alias("start"), "end", *[a.name for a in aggs])
+        _running_start(grouped, ordered, F.lag("end").over(ordered), gap)
+        .groupBy(*keys, "_border", "_group", "_island")
+        .agg(F.expr("max(end) as end"), *[a.merge() for a in aggs])
+        .selectExpr(*keys, "_island as start", "end", *names)
     )
 
 
 def best_per_region(
-    df: DataFrame, keys: Sequence[str], gap: int, best: Column, tiled: bool = False, tile_bits: int = TILE_BITS
+    df: DataFrame, keys: Sequence[str], gap: int, best: str, tiled: bool = False, tile_bits: int = TILE_BITS
 ) -> DataFrame:
-    """Merged regions with their best member (a struct made by ``measures.pick``) as ``best``."""
+    """Merged regions with their best member (a struct written by ``measures.pick``) as ``best``."""
     return merge_regions(df, keys, gap, [Agg("best", "min", best)], tile_bits, tiled)
 
 
@@ -133,12 +137,10 @@ def range_join(
     points carry their tile, it is part of the key: a layout hashed on (keys, tile)
     then serves the join without another shuffle of the points.
     """
-    on = [*keys, "_bin"]
-    left = points.withColumn("_bin", tile_of(F.col(position), bin_bits))
-    first, last = tile_of(F.col(lo), bin_bits), tile_of(F.col(hi), bin_bits)
-    right = intervals.withColumn("_bin", F.explode(F.sequence(first, last)))
-    joined = left.join(right, on).where(F.col(position).between(F.col(lo), F.col(hi)))
-    return joined.drop("_bin")
+    left = points.withColumn("_bin", F.expr(f"shiftright({position}, {bin_bits})"))
+    bins = f"explode(sequence(shiftright({lo}, {bin_bits}), shiftright({hi}, {bin_bits})))"
+    right = intervals.where(f"{lo} <= {hi}").withColumn("_bin", F.expr(bins))
+    return left.join(right, [*keys, "_bin"]).where(f"{position} between {lo} and {hi}").drop("_bin")
 
 
 def region_members(

@@ -21,24 +21,32 @@ def tile_counts(counts: DataFrame, tile_bits: int = TILE_BITS) -> DataFrame:
     work on this one layout. A tile holds a bounded number of positions and each
     position one row per sample, so a contig or site that dominates the fragments
     does not dominate a task. Rows without a complete key can never become a site.
+    What depends on the sample alone is joined later, so both users of the layout read
+    the same columns and Spark shuffles the counts once.
     """
-    complete = counts.dropna(subset=[*SITE_KEYS, "end5", "sample"])
+    keys = [*SITE_KEYS, "end5", "sample"]
+    complete = counts.where(" and ".join(f"{c} is not null" for c in keys))
     return (
-        complete.select(*SITE_KEYS, "end5", "sample", "sample_rep", "count_end5")
-        .withColumn(TILE, co.tile_of(co.unit_start(F.col("end5")), tile_bits))
+        # The default never applies; it makes the position (and so its tile and bin)
+        # not nullable, and a join on them cannot add filters to one of the two users.
+        complete.selectExpr(*SITE_KEYS, "coalesce(end5, 0L) as end5", "sample", "count_end5")
+        .withColumn(TILE, F.expr(f"shiftright(end5 - 1, {tile_bits})"))
         .repartition(*LAYOUT)
     )
 
 
 def replicate_sums(tiled: DataFrame, design: DataFrame) -> DataFrame:
-    """CPM of each position summed over the sample types of a replicate."""
+    """CPM of each position summed over the sample types of a replicate.
+
+    ``n_design`` is the number of replicate and type combinations of the method.
+    """
     return (
         tiled.join(design, "sample", "left")
         .groupBy(*LAYOUT, "end5", "sample_rep")
         .agg(
             F.sum(cpm(F.col("count_end5"), F.col("count_frag_sample"))).alias("cpm_end5_sum"),
             F.max("n_rep").alias("n_rep"),
-            F.max("n_type").alias("n_type"),
+            F.max(F.col("n_rep") * F.col("n_type")).alias("n_design"),
         )
     )
 
@@ -49,8 +57,8 @@ def reproducible_sites(tiled: DataFrame, design: DataFrame) -> DataFrame:
     return (
         replicate_sums(tiled, design)
         .withColumn("_seen", F.count("*").over(at_site))
-        .where(F.col("_seen") >= F.col("n_rep"))
-        .drop("_seen")
+        .where("_seen >= n_rep")
+        .drop("_seen", "n_rep")
     )
 
 
@@ -58,9 +66,8 @@ def site_means(hits: DataFrame) -> DataFrame:
     """Mean CPM per site over the whole design (absent combinations count as 0)."""
     return (
         hits.groupBy(*LAYOUT, "end5")
-        .agg(F.sum("cpm_end5_sum").alias("_sum"), F.max("n_type").alias("n_type"), F.max("n_rep").alias("n_rep"))
-        .withColumn("cpm_end5_mean", F.col("_sum") / (F.col("n_type") * F.col("n_rep")))
-        .select(*LAYOUT, "end5", "cpm_end5_mean")
+        .agg(F.sum("cpm_end5_sum").alias("_sum"), F.max("n_design").alias("n_design"))
+        .selectExpr(*LAYOUT, "end5", "_sum / n_design as cpm_end5_mean", "n_design")
     )
 
 
@@ -72,12 +79,11 @@ def reproducible_site_means(tiled: DataFrame, design: DataFrame) -> DataFrame:
         .agg(
             F.count("*").alias("_seen"),
             F.sum("cpm_end5_sum").alias("_sum"),
-            F.max("n_type").alias("n_type"),
+            F.max("n_design").alias("n_design"),
             F.max("n_rep").alias("n_rep"),
         )
-        .where(F.col("_seen") >= F.col("n_rep"))
-        .withColumn("cpm_end5_mean", F.col("_sum") / (F.col("n_type") * F.col("n_rep")))
-        .select(*LAYOUT, "end5", "cpm_end5_mean")
+        .where("_seen >= n_rep")
+        .selectExpr(*LAYOUT, "end5", "_sum / n_design as cpm_end5_mean", "n_design")
     )
 
 
@@ -95,7 +101,7 @@ def site_bed(sites: DataFrame) -> DataFrame:
 
 def best_sites(sites: DataFrame, gap: int, tile_bits: int = TILE_BITS) -> DataFrame:
     """Best site of each merged region, within one method."""
-    best = pick(F.col("cpm_end5_mean"), F.col("end5").cast("string"), F.col("end5"), F.col("cpm_end5_mean"))
+    best = pick("cpm_end5_mean", "string(end5)", ["end5", "cpm_end5_mean", "n_design"])
     unit = sites.withColumn("start", co.unit_start(F.col("end5"))).withColumn("end", F.col("end5"))
     regions = best_per_region(unit, SITE_KEYS, gap, best, tiled=TILE in sites.columns, tile_bits=tile_bits)
     return regions.select(
@@ -104,6 +110,7 @@ def best_sites(sites: DataFrame, gap: int, tile_bits: int = TILE_BITS) -> DataFr
         F.col("end").alias("region_end"),
         "best.end5",
         "best.cpm_end5_mean",
+        "best.n_design",
     )
 
 

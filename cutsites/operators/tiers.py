@@ -15,40 +15,47 @@ from cutsites.profile import Profile
 from cutsites.schemas import REGION_KEYS
 
 
+# What is kept of each picked site.
+PICKED = ("end5", "cpm_end5_mean", "n_design")
+
+
 def _method_pick(method: str) -> Agg:
     """Best member of one method, as column ``pick_<method>``."""
     best = pick(
-        F.col("cpm_end5_mean"),
-        F.col("end5").cast("string"),
-        F.col("library_method"),
-        F.col("end5"),
-        F.col("cpm_end5_mean"),
+        "cpm_end5_mean", "string(end5)", ["library_method", *PICKED], f"library_method = '{method}'"
     )
-    return Agg(f"pick_{method}", "min", F.when(F.col("library_method") == method, best))
+    return Agg(f"pick_{method}", "min", best)
 
 
-def pick_per_method(intervals: DataFrame, methods: Sequence[str], gap: int, tile_bits: int = TILE_BITS) -> DataFrame:
+def pick_per_method(
+    intervals: DataFrame,
+    methods: Sequence[str],
+    gap: int,
+    keys: Sequence[str] = REGION_KEYS,
+    tile_bits: int = TILE_BITS,
+) -> DataFrame:
     """Merge intervals of all methods; one row per region with the best member of each method.
 
     The number of methods is fixed, so a wide row replaces grouped collections and
     everything that follows (tiers, tightened bounds, long form) stays row-local.
     """
-    aggs = [*[_method_pick(m) for m in methods], count_members()]
-    return merge_regions(intervals, REGION_KEYS, gap, aggs, tile_bits)
+    return merge_regions(intervals, keys, gap, [*[_method_pick(m) for m in methods], count_members()], tile_bits)
 
 
-def _picks(methods: Sequence[str]) -> Column:
-    return F.filter(F.array(*[F.col(f"pick_{m}") for m in methods]), lambda p: p.isNotNull())
+def _picks(methods: Sequence[str]) -> str:
+    return f"filter(array({', '.join(f'pick_{m}' for m in methods)}), p -> p is not null)"
 
 
-def _first(methods: Sequence[str]) -> Column:
-    return F.least(*[F.col(f"pick_{m}.end5") for m in methods]) if len(methods) > 1 else F.col(f"pick_{methods[0]}.end5")
+def _first(methods: Sequence[str]) -> str:
+    return f"array_min(transform({_picks(methods)}, p -> p.end5))"
 
 
-def _last(methods: Sequence[str]) -> Column:
-    return (
-        F.greatest(*[F.col(f"pick_{m}.end5") for m in methods]) if len(methods) > 1 else F.col(f"pick_{methods[0]}.end5")
-    )
+def _last(methods: Sequence[str]) -> str:
+    return f"array_max(transform({_picks(methods)}, p -> p.end5))"
+
+
+def _all_present(methods: Sequence[str]) -> str:
+    return " and ".join(f"pick_{m} is not null" for m in methods)
 
 
 def as_intervals(sites: DataFrame) -> DataFrame:
@@ -58,80 +65,79 @@ def as_intervals(sites: DataFrame) -> DataFrame:
         co.unit_start(F.col("end5")).alias("start"),
         F.col("end5").alias("end"),
         "library_method",
-        "end5",
-        "cpm_end5_mean",
+        *PICKED,
     )
 
 
 def merge_pair(sites: DataFrame, pair: tuple[str, str], gap: int, tile_bits: int = TILE_BITS) -> DataFrame:
     """Merged regions of two methods, with the best member of each."""
     chosen = sites.where(F.col("library_method").isin(*pair))
-    return pick_per_method(as_intervals(chosen), pair, gap, tile_bits)
+    return pick_per_method(as_intervals(chosen), pair, gap, tile_bits=tile_bits)
+
+
+def _pair_ids(pair: tuple[str, str]) -> list[Column]:
+    return [k.site_id(end5=F.col(f"pick_{m}.end5"), method=F.lit(m)) for m in pair]
 
 
 def pair_combined(regions: DataFrame, pair: tuple[str, str]) -> DataFrame:
     """Regions holding both methods, tightened to the two picks; ``id`` lists both sites."""
-    a, b = pair
-    both = regions.where(F.col(f"pick_{a}").isNotNull() & F.col(f"pick_{b}").isNotNull())
-    ids = [k.site_id(end5=F.col(f"pick_{m}.end5"), method=F.lit(m)) for m in pair]
-    return both.select(
+    ids = _pair_ids(pair)
+    return regions.where(_all_present(pair)).select(
         *REGION_KEYS,
-        co.unit_start(_first(pair)).alias("start"),
-        _last(pair).alias("end"),
+        F.expr(f"{_first(pair)} - 1 as start"),
+        F.expr(f"{_last(pair)} as end"),
         F.concat(ids[0], F.lit(","), ids[1]).alias("id"),
         F.lit(".").alias("score"),
-        *[F.col(f"pick_{m}") for m in pair],
     )
 
 
 def pair_single(regions: DataFrame, pair: tuple[str, str]) -> DataFrame:
     """Regions of one method only, with their own bounds."""
-    a, b = pair
-    one = regions.where(F.col(f"pick_{a}").isNull() | F.col(f"pick_{b}").isNull())
-    ids = [k.site_id(end5=F.col(f"pick_{m}.end5"), method=F.lit(m)) for m in pair]
-    return one.select(
+    return regions.where(f"not ({_all_present(pair)})").select(
         *REGION_KEYS,
         "start",
         "end",
-        F.coalesce(*ids).alias("id"),
+        F.coalesce(*_pair_ids(pair)).alias("id"),
         F.lit(".").alias("score"),
-        *[F.col(f"pick_{m}") for m in pair],
     )
 
 
-def combine_pair(sites: DataFrame, pair: tuple[str, str], gap: int, tile_bits: int = TILE_BITS) -> DataFrame:
-    """Intervals of the pair for the final merge, one row per pick.
+def combine_pair(sites: DataFrame, profile: Profile, tile_bits: int = TILE_BITS) -> DataFrame:
+    """Intervals of all methods for the final merge, one row per pick.
 
-    Both kinds of region come from one pass: tightened bounds where both methods
-    are present, the region's own bounds otherwise.
+    The two methods of the pair are merged with each other; every other method is a
+    pool of its own, in which picks are further apart than the gap and stay as they
+    are. So all methods go through one pass and nothing upstream is computed twice.
+    Bounds are tightened to the picks where both methods of the pair are present.
     """
-    a, b = pair
-    both = F.col(f"pick_{a}").isNotNull() & F.col(f"pick_{b}").isNotNull()
-    return (
-        merge_pair(sites, pair, gap, tile_bits)
-        .withColumn("start", F.when(both, co.unit_start(_first(pair))).otherwise(F.col("start")))
-        .withColumn("end", F.when(both, _last(pair)).otherwise(F.col("end")))
-        .withColumn("_pick", F.explode(_picks(pair)))
-        .select(*REGION_KEYS, "start", "end", "_pick.library_method", "_pick.end5", "_pick.cpm_end5_mean")
+    pair, methods = profile.pair, profile.methods
+    in_pair = ", ".join(f"'{m}'" for m in pair)
+    pooled = as_intervals(sites).withColumn(
+        "_pool", F.expr(f"if(library_method in ({in_pair}), '', library_method)")
     )
+    both = _all_present(pair)
+    merged = pick_per_method(pooled, methods, profile.pair_gap, [*REGION_KEYS, "_pool"], tile_bits)
+    return merged.selectExpr(
+        *REGION_KEYS,
+        f"if({both}, {_first(pair)} - 1, start) as start",
+        f"if({both}, {_last(pair)}, end) as end",
+        f"explode({_picks(methods)}) as _pick",
+    ).select(*REGION_KEYS, "start", "end", "_pick.library_method", *[f"_pick.{c}" for c in PICKED])
 
 
 def merge_methods(sites: DataFrame, profile: Profile, tile_bits: int = TILE_BITS) -> DataFrame:
     """Regions over all methods (wide: one ``pick_<method>`` per method)."""
-    others = sites.where(~F.col("library_method").isin(*profile.pair))
-    intervals = as_intervals(others).unionByName(combine_pair(sites, profile.pair, profile.pair_gap, tile_bits))
-    return pick_per_method(intervals, profile.methods, profile.final_gap, tile_bits)
+    return pick_per_method(combine_pair(sites, profile, tile_bits), profile.methods, profile.final_gap, tile_bits=tile_bits)
 
 
 def regions_to_long(regions: DataFrame, methods: Sequence[str]) -> DataFrame:
     """One row per region and method."""
     return (
-        regions.withColumn("_pick", F.explode(_picks(methods)))
+        regions.withColumn("_pick", F.expr(f"explode({_picks(methods)})"))
         .select(
             *[c for c in regions.columns if not c.startswith("pick_")],
             "_pick.library_method",
-            "_pick.end5",
-            "_pick.cpm_end5_mean",
+            *[f"_pick.{c}" for c in PICKED],
         )
         .withColumn("id", k.site_id())
     )
@@ -142,21 +148,22 @@ def assign_tiers(regions: DataFrame, profile: Profile) -> DataFrame:
 
     All tiers in one row-local pass over the wide regions. Still one row per region.
     """
-    n = sum((F.col(f"pick_{m}").isNotNull().cast("int") for m in profile.methods), F.lit(0))
-    tier = F.lit(None).cast("string")
-    for t in reversed(profile.tiers):
-        fits = F.col("_n") >= t.n_min
-        if t.n_max is not None:
-            fits = fits & (F.col("_n") <= t.n_max)
-        tier = F.when(fits, t.label).otherwise(tier)
+    cases = " ".join(
+        f"when _n >= {t.n_min}" + (f" and _n <= {t.n_max}" if t.n_max is not None else "") + f" then '{t.label}'"
+        for t in profile.tiers
+    )
+    picks = [f"pick_{m}" for m in profile.methods]
     return (
-        regions.withColumn("_n", n)
-        .withColumn("tier", tier)
-        .where(F.col("tier").isNotNull())
-        .withColumn("start", co.unit_start(_first(profile.methods)))
-        .withColumn("end", _last(profile.methods))
+        regions.selectExpr(*REGION_KEYS, *picks, f"size({_picks(profile.methods)}) as _n")
+        .selectExpr(
+            *REGION_KEYS,
+            *picks,
+            f"case {cases} end as tier",
+            f"{_first(profile.methods)} - 1 as start",
+            f"{_last(profile.methods)} as end",
+        )
+        .where("tier is not null")
         .withColumn("peak_id", k.peak_id())
-        .drop("_n", "n_sites")
     )
 
 

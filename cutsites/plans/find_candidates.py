@@ -81,7 +81,7 @@ def stages(inputs: Inputs, profile: Profile) -> Candidates:
         rules = qc.hotspot_rules(counts.sparkSession, profile.hotspots)
         tiered = qc.outside_hotspots(tiered, inputs.lengths, rules)
     peaks = tiers.tier_sites(tiered, profile.methods)
-    ratios = ratio.with_design(ratio.cleavage_ratio(tiled, peaks, profile.ratio_windows), design)
+    ratios = ratio.cleavage_ratio(tiled, peaks, profile.ratio_windows)
     info = ratio.tier_info(ratios, profile, inputs.alias)
     return Candidates(sheet, sizes, design, counts, tiled, best, regions, tiered, peaks, ratios, info)
 

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 
 def _struct(spec: str) -> T.StructType:
-    kinds = {"string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType()}
+    kinds = {"string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
     fields = []
     for item in spec.split(","):
         name, kind = item.split()
@@ -29,7 +29,8 @@ SITE_BED = _struct("chrom string, start bigint, end bigint, id string, cpm_end5_
 MERGED_BED = _struct("chr string, start bigint, end bigint, strand string, id string")
 OLIGOS = _struct("library_method string, oligo_len bigint, seq string")
 GENOME_CHUNKS = _struct("chr string, chunk bigint, seq string")
-HOTSPOT_RULES_DDL = "species string, chr string, lo double, hi double, lo_incl boolean, hi_incl boolean"
+HOTSPOT_RULES = _struct("species string, chr string, lo double, hi double, lo_incl boolean, hi_incl boolean")
+CONTIG_ALIAS = _struct("chr string, alias string, fallback string")
 
 # Key columns shared by the operators.
 SITE_KEYS = ("species", "library_method", "chr", "strand")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cutsites import schemas
 from cutsites.plans.find_candidates import Inputs
 from cutsites.profile import PROFILE_CONTROL, PROFILE_HUMAN, HotspotRule, RatioWindow
+from cutsites.session import local_table
 
 CHUNK_LEN = 32
 METHODS = ("L1", "L2", "TA", "TC")
@@ -124,7 +125,7 @@ def sample_sheet(spark: SparkSession, control: bool = False) -> DataFrame:
         for t in kinds
     ]
     rows.append(("spA", "spA|L1|r9|A", "ligation_oligo1", "rep9", "A", "run9", "Y"))
-    return spark.createDataFrame(rows, schemas.SAMPLE_SHEET)
+    return local_table(spark, rows, schemas.SAMPLE_SHEET)
 
 
 def genome_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,11 +153,11 @@ def genome_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oligos(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(OLIGOS), schemas.OLIGOS)
+    return local_table(spark, list(OLIGOS), schemas.OLIGOS)
 
 
 def alias(spark: SparkSession) -> DataFrame:
-    raw = spark.createDataFrame(list(ALIAS), "chr string, alias string, fallback string")
+    raw = local_table(spark, list(ALIAS), schemas.CONTIG_ALIAS)
     return raw.select("chr", F.coalesce("alias", "fallback").alias("alias"))
 
 

@@ -254,3 +254,264 @@ select tier, peak_id, ratio_type, sum(v) / 4 as ratio_mean from method_means gro
 def sql(steps: dict[str, str], final: str) -> str:
     ctes = ",\n".join(f"{name} as ({body.strip()})" for name, body in steps.items())
     return f"with {ctes}\n{final.strip()}"
+
+
+_THREE = dict(
+    methods=("L1", "TA", "TC"), control=True, tiers="case when n >= 3 then 't0' when n = 2 then 't1' end"
+)
+_GRID = ((50, True), (100, True), (50, False), (100, False))
+_TAGS = tuple(f"{'u' if up else 'ud'}_{offset}" for offset, up in _GRID)
+_FOUR_METHODS = ("L1", "L2", "TA", "TC")
+_HOT = """
+(chr = 'chr2' and coor_per > 0.875) or (chr = 'chr4' and coor_per between 0.375 and 0.5)
+or (chr = 'chr5' and coor_per < 0.03)"""
+_RATIO_COLUMNS = (
+    "tier, peak_id, species, library_method, chr, strand, peak, sample, ratio_type, cs, other, round(ratio, 6) as ratio"
+)
+_POSITIONS = """
+select t.*, (t_start + 1)::double / length as coor_per from tiered t left join genome_len g on g.chr = t.chr"""
+
+
+def _info_sql(methods, alias: bool = False) -> str:
+    peaks = ", ".join(f"max(case when library_method = '{m}' then peak end) as peak_{m}" for m in methods)
+    names = ", ".join(f"peak_{m}" for m in methods)
+    ucsc = "case chr when 'chr1' then 'c1' when 'chr2' then 'c2' when 'chr3' then 'c3' else chr end as chr_UCSC," if alias else ""
+    return f"""
+select p.tier, p.peak_id, p.species, p.chr, {ucsc} p.strand, {names}, round(ratio_mean, 6) as ratio_u_100
+from (select tier, peak_id, species, chr, strand, {peaks} from ratios group by all) p
+left join peak_means m on m.peak_id = p.peak_id"""
+
+
+def _outside_hotspots(steps: dict[str, str]) -> dict[str, str]:
+    steps = dict(steps)
+    steps["positions"] = _POSITIONS
+    steps["cool"] = f"select * from positions where peak_id not in (select peak_id from positions where {_HOT})"
+    return steps
+
+
+def oracle_sql() -> dict[str, str]:
+    four = pipeline()
+    counted = with_ratios(four)
+    grid = with_ratios(four, _GRID)
+    seq = pipeline(filters="identity")
+    three = pipeline(**_THREE)
+    three_counted = with_ratios(three)
+    hot = dict(counted)
+    hot["positions"] = _POSITIONS
+    full = with_ratios(_outside_hotspots(seq), tiered="cool")
+    three_full = with_ratios(_outside_hotspots(pipeline(filters="identity", edge=True, **_THREE)), tiered="cool")
+    all_rows = "best_all"
+    info_cpm = "round(cpm_end5_mean, 6) as cpm_end5_mean"
+    count_columns = "species, sample, library_method, sample_rep, sample_type, chr, strand, end5, count_end5"
+
+    def windows(n: int) -> dict[str, str]:
+        steps = dict(seq)
+        steps["w"] = f"""
+select b.id, strand, chr, case when strand = '+' then greatest(0, end5 - 1 - {n}) else end5 - 1 end as "start",
+       case when strand = '+' then end5 else least(length, end5 + {n}) end as "end"
+from best_all b join genome_len using (chr)"""
+        steps["ws"] = """
+select w.*, case when strand = '+' then substr(bases, cast("start" + 1 as bigint), cast("end" - "start" as bigint))
+            else reverse(translate(substr(bases, cast("start" + 1 as bigint), cast("end" - "start" as bigint)), 'ACGT', 'TGCA')) end as seq
+from w join genome using (chr)"""
+        return steps
+
+    lists = dict(four)
+    lists["members"] = """
+select r.species, r.library_method, r.chr, r.strand, region_start, region_end, s.id, s."start"
+from site_islands s join regions r
+  on s.species = r.species and s.library_method = r.library_method and s.chr = r.chr and s.strand = r.strand
+     and s.region = r.region"""
+    frag = {"frags": four["frags"]}
+    frag["f"] = "select *, 0 as end5, '' as library_method from frags"
+    frag["fi"] = _islands("f", "sample, chr, strand", 0)
+
+    return {
+        "library_sizes": sql(four, "select * from sizes"),
+        "design_numbers": sql(
+            four,
+            "select 'spA' as species, library_method, n_rep, n_type from design",
+        ),
+        "fragment_ends": sql(
+            four,
+            """select sample, chr, case when strand = '+' then "start" + 1 else "end" end as end5,
+            case when strand = '+' then "end" else "start" + 1 end as end3, strand, type, count_frag from frags""",
+        ),
+        "end5_counts_by_type": sql(
+            four,
+            """select sample, chr, strand, type, case when strand = '+' then "start" + 1 else "end" end as end5,
+            cast(sum(count_frag) as bigint) as count_end5 from frags group by all""",
+        ),
+        "end5_counts": sql(four, f"select {count_columns} from counts_all"),
+        "end5_counts_main_contigs": sql(
+            four, f"select {count_columns} from counts_all where chr in ('chr2', 'chr3', 'chr4')"
+        ),
+        "spikein_cpm": sql(
+            four,
+            """select 'spA' as species, s.sample, split_part(s.sample, '|', 2) as library_method,
+            split_part(s.sample, '|', 3) as sample_rep, split_part(s.sample, '|', 4) as sample_type, chr, strand, end5,
+            count_end5, count_frag_sample, round(count_end5 * 1e6 / count_frag_sample, 6) as cpm_end5
+            from (select sample, chr, strand, case when strand = '+' then "start" + 1 else "end" end as end5,
+                  cast(sum(count_frag) as bigint) as count_end5 from spike where type <> 'capped' group by all) s
+            left join sizes z on z.sample = s.sample""",
+        ),
+        "samples_without_size": sql(
+            four, "select distinct sample from counts_all where sample not in (select sample from sizes)"
+        ),
+        "reproducible_sites": sql(
+            four,
+            """select species, library_method, chr, strand, end5, sample_rep, round(cpm_end5_sum, 6) as cpm_end5_sum
+            from hits""",
+        ),
+        "site_means": sql(
+            four,
+            f"""select concat(species, '|', library_method, '|', chr) as chrom, "start", "end", id, {info_cpm}, strand
+            from sites""",
+        ),
+        "merge_d5_regions": sql(
+            four,
+            """select species, library_method, chr, strand, region_start as "start", region_end as "end", n_sites
+            from regions""",
+        ),
+        "merge_d5_members": sql(
+            lists, "select species, library_method, chr, strand, region_start, region_end, id from members"
+        ),
+        "merge_d5_id_lists": sql(
+            lists,
+            """select species, library_method, chr, strand, region_start, region_end,
+            cast(floor(("start" - region_start) / 4096.0) as bigint) as part, string_agg(distinct id, ',' order by id) as id
+            from members group by all""",
+        ),
+        "fragment_islands": sql(
+            frag,
+            """select sample, chr, strand, min("start") as "start", max("end") as "end", count(*) as n_fragments,
+            cast(sum(count_frag) as bigint) as count_frag from fi group by sample, chr, strand, region""",
+        ),
+        "region_best_site": sql(
+            four,
+            f"select species, library_method, chr, strand, region_start, region_end, end5, {info_cpm}, id from {all_rows}",
+        ),
+        "site_windows": sql(windows(250), 'select id, strand, "start", "end" from w'),
+        "site_id_parts": sql(
+            four,
+            """select id, species, chr, strand, end5, library_method, chr as contig_chr, library_method as last,
+            cast(null as varchar) as absent from best_all""",
+        ),
+        "tailing_merged": sql(
+            four,
+            """select species, chr, strand, min("start") as "start", max("end") as "end", count(*) as n_sites
+            from pair_islands group by species, chr, strand, region""",
+        ),
+        "tailing_combined": sql(
+            four, """select species, chr, strand, "start", "end", id, '.' as score from pair_combined"""
+        ),
+        "tailing_single": sql(
+            four, """select species, chr, strand, "start", "end", id, '.' as score from pair_single"""
+        ),
+        "methods_merged_long": sql(
+            four, f"""select species, chr, strand, "start", "end", library_method, end5, {info_cpm}, id from long"""
+        ),
+        "tier_peaks": sql(
+            four,
+            f"""select species, chr, strand, tier, t_start as "start", t_end as "end", peak_id, library_method,
+            end5 as peak, {info_cpm} from tiered""",
+        ),
+        "tier_region_bounds": sql(
+            four, """select distinct tier, peak_id, t_start as "start", t_end as "end" from tiered"""
+        ),
+        "tier_by_method": sql(
+            four,
+            "select tier, "
+            + ", ".join(f"count(case when library_method = '{m}' then 1 end) as {m}" for m in _FOUR_METHODS)
+            + " from tiered group by tier",
+        ),
+        "window_regions": sql(
+            four,
+            """select concat(peak_id, '%', cast(end5 as varchar)) as region_id, end5 - 102 as region_start,
+            end5 + 102 as region_end, species, library_method, chr, strand from tiered""",
+        ),
+        "range_join_window": sql(
+            counted, "select peak_id, peak, library_method, sample, end5, count_end5, rel as rel_coor from pairs"
+        ),
+        "cleavage_ratio_u100": sql(counted, f"select {_RATIO_COLUMNS} from ratios"),
+        "cleavage_ratio_grid": sql(grid, f"select {_RATIO_COLUMNS} from ratios"),
+        "ratio_hier_mean": sql(
+            grid, "select tier, peak_id, ratio_type, round(ratio_mean, 6) as ratio_mean from peak_means"
+        ),
+        "ratio_pivot": sql(
+            grid,
+            "select tier, peak_id, "
+            + ", ".join(
+                f"round(max(case when ratio_type = '{t}' then ratio_mean end), 6) as ratio_{t}" for t in _TAGS
+            )
+            + " from peak_means group by tier, peak_id",
+        ),
+        "peak_pivot": sql(
+            counted,
+            "select tier, peak_id, species, chr, strand, "
+            + ", ".join(f"max(case when library_method = '{m}' then peak end) as peak_{m}" for m in _FOUR_METHODS)
+            + " from ratios group by all",
+        ),
+        "tier_info": sql(counted, _info_sql(_FOUR_METHODS)),
+        "alias_recode": sql(counted, _info_sql(_FOUR_METHODS, alias=True)),
+        "genome_chunks": sql(seq, "select * from chunks"),
+        "upstream_seq_incl": sql(windows(10), 'select id, "start", "end", seq from ws'),
+        "upstream_seq_excl": sql(windows(9), 'select id, "start", "end", seq from ws'),
+        "oligo_identity": sql(seq, "select id, cast(oligo_len as bigint) as oligo_len, identical_base_num from identities"),
+        "identity_intersect": sql(seq, "select id from best"),
+        "mispriming_filter": sql(seq, "select id from best"),
+        "fasta_roundtrip": sql(windows(10), "select id, cast(0 as bigint) as chunk, seq from ws"),
+        "contig_edge": sql(
+            four,
+            """select id, region_start, region_end from best_all b join genome_len using (chr)
+            where region_start > 300 and length - region_end > 300""",
+        ),
+        "hotspot_peaks": sql(hot, f"select distinct peak_id from positions where {_HOT}"),
+        "hotspot_anti": sql(
+            hot,
+            f"select {_RATIO_COLUMNS} from ratios where peak_id not in (select peak_id from positions where {_HOT})",
+        ),
+        "position_ecdf": sql(
+            hot,
+            """select distinct species, chr, library_method, round(coor_per, 6) as coor_per, round(ecdf, 6) as ecdf
+            from (select *, cume_dist() over (partition by species, chr, library_method order by coor_per) as ecdf
+                  from positions)""",
+        ),
+        "known_sites": sql(
+            counted,
+            """select distinct tier, peak_id, r.sample, library_method, sample_rep, sample_type, cs,
+            round(cs * 1e6 / count_frag_sample, 6) as cpm from ratios r join sizes z on z.sample = r.sample
+            where peak_id in (select distinct peak_id from tiered where tier = 't0' order by peak_id limit 4)""",
+        ),
+        "tier_info_full": sql(full, _info_sql(_FOUR_METHODS)),
+        "partition_roundtrip": sql(four, f"select {count_columns} from counts_all"),
+        "bed_roundtrip": sql(
+            four,
+            f"""select concat(species, '|', library_method, '|', chr) as chrom, "start", "end", id, {info_cpm}, strand
+            from sites""",
+        ),
+        "fragment_roundtrip": sql(four, "select * from frags"),
+        "merged_bed_roundtrip": sql(
+            lists,
+            """select concat(species, '|', library_method, '|', chr) as chr, region_start as "start",
+            region_end as "end", strand, id from members""",
+        ),
+        "tsv_roundtrip": sql(
+            four, """select distinct tier, peak_id, t_start as "start", t_end as "end" from tiered"""
+        ),
+        "split_by_method": sql(
+            four, """select chr, end5 - 1 as "start", end5 as "end", strand, library_method from best_all"""
+        ),
+        "background_any": sql(three, "select id as site_id from control_any"),
+        "background_all": sql(
+            three,
+            f"""select {_SITE_ID} as site_id from counts_all where sample_type = 'endo'
+            group by species, chr, strand, end5, library_method having count(*) >= 3""",
+        ),
+        "background_filtered": sql(
+            three,
+            f"select species, library_method, chr, strand, region_start, region_end, end5, {info_cpm}, id from best",
+        ),
+        "tier_info_3m": sql(three_counted, _info_sql(_THREE["methods"])),
+        "tier_info_3m_full": sql(three_full, _info_sql(_THREE["methods"])),
+    }
