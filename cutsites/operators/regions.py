@@ -87,12 +87,12 @@ def _running_start(df: DataFrame, window: WindowSpec, reach: Column, gap: int) -
 def _tile_islands(
     pieces: DataFrame, keys: list[str], gap: int, aggs: Sequence[Agg], home: str | None
 ) -> DataFrame:
-    ordered = Window.partitionBy(*keys, TILE).orderBy("start", "end")
+    ordered = Window.partitionBy(TILE, *keys).orderBy("start", "end")
     # Running maximum, not the previous end: intervals may be nested.
     reach = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     return (
         _running_start(pieces, ordered, reach, gap)
-        .groupBy(*keys, TILE, "_island")
+        .groupBy(TILE, *keys, "_island")
         .agg(F.expr("max(end) as end"), *[a.update(home) for a in aggs])
     )
 
@@ -104,10 +104,10 @@ def _chain_over_borders(islands: DataFrame, keys: list[str], gap: int, aggs: Seq
     grouped = islands.selectExpr(
         *keys, TILE, "_island as start", "end", *names, f"{near_border} as _border"
     ).withColumn("_group", F.expr(f"if(_border, 0L, {TILE})"))
-    ordered = Window.partitionBy(*keys, "_border", "_group").orderBy("start")
+    ordered = Window.partitionBy("_group", "_border", *keys).orderBy("start")
     return (
         _running_start(grouped, ordered, F.lag("end").over(ordered), gap)
-        .groupBy(*keys, "_border", "_group", "_island")
+        .groupBy("_group", "_border", *keys, "_island")
         .agg(F.expr("max(end) as end"), *[a.merge() for a in aggs])
         .selectExpr(*keys, "_island as start", "end", *names)
     )
