@@ -64,11 +64,14 @@ def cleavage_ratio(
     """Ratio of the counts at a peak to those around it, per sample and window.
 
     All windows are computed in one pass as conditional sums. A sample without
-    any signal in a window has no row for it.
+    any signal in a window has no row for it; control samples never have one.
     """
-    sums = ["sum(if(end5 = peak, count_end5, null)) as cs"]
+    # Inside the sums, not as a filter: a filter would move below the layout shared
+    # with the site calls and have the counts computed twice.
+    used = "not is_control and " if "is_control" in tiled.columns else ""
+    sums = [f"sum(if({used}end5 = peak, count_end5, null)) as cs"]
     for w in windows:
-        around = f"abs(end5 - peak) between {SHOULDER + 1} and {w.offset + SHOULDER}"
+        around = f"{used}abs(end5 - peak) between {SHOULDER + 1} and {w.offset + SHOULDER}"
         if w.upstream_only:
             around += " and if(strand = '+', end5 - peak, peak - end5) <= 0"
         sums.append(f"sum(if({around}, count_end5, null)) as _{w.tag}")

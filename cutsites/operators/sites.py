@@ -14,7 +14,7 @@ from cutsites.schemas import SITE_KEYS
 LAYOUT = (*SITE_KEYS, TILE)
 
 
-def tile_counts(counts: DataFrame, tile_bits: int = TILE_BITS) -> DataFrame:
+def tile_counts(counts: DataFrame, control_type: str | None = None, tile_bits: int = TILE_BITS) -> DataFrame:
     """Lay the counts out by (species, method, contig, strand, tile).
 
     Everything up to the first interval merge, and the points of the ratio join,
@@ -22,14 +22,16 @@ def tile_counts(counts: DataFrame, tile_bits: int = TILE_BITS) -> DataFrame:
     position one row per sample, so a contig or site that dominates the fragments
     does not dominate a task. Rows without a complete key can never become a site.
     What depends on the sample alone is joined later, so both users of the layout read
-    the same columns and Spark shuffles the counts once.
+    the same columns and Spark shuffles the counts once. Control samples travel along,
+    marked by ``is_control``, instead of being read in a second pass.
     """
     keys = [*SITE_KEYS, "end5", "sample"]
+    mark = [f"coalesce(sample_type = '{control_type}', false) as is_control"] if control_type else []
     complete = counts.where(" and ".join(f"{c} is not null" for c in keys))
     return (
         # The default never applies; it makes the position (and so its tile and bin)
         # not nullable, and a join on them cannot add filters to one of the two users.
-        complete.selectExpr(*SITE_KEYS, "coalesce(end5, 0L) as end5", "sample", "count_end5")
+        complete.selectExpr(*SITE_KEYS, "coalesce(end5, 0L) as end5", "sample", "count_end5", *mark)
         .withColumn(TILE, F.expr(f"shiftright(end5 - 1, {tile_bits})"))
         .repartition(*LAYOUT)
     )
@@ -39,14 +41,21 @@ def replicate_sums(tiled: DataFrame, design: DataFrame) -> DataFrame:
     """CPM of each position summed over the sample types of a replicate.
 
     ``n_design`` is the number of replicate and type combinations of the method.
+    Control samples do not add to the sum (which is NULL if there is nothing else);
+    ``in_control`` tells that the position occurs in one.
     """
+    counted, flag = F.col("count_end5"), []
+    if "is_control" in tiled.columns:
+        counted = F.expr("if(is_control, null, count_end5)")
+        flag = [F.max("is_control").alias("in_control")]
     return (
         tiled.join(design, "sample", "left")
         .groupBy(*LAYOUT, "end5", "sample_rep")
         .agg(
-            F.sum(cpm(F.col("count_end5"), F.col("count_frag_sample"))).alias("cpm_end5_sum"),
+            F.sum(cpm(counted, F.col("count_frag_sample"))).alias("cpm_end5_sum"),
             F.max("n_rep").alias("n_rep"),
             F.max(F.col("n_rep") * F.col("n_type")).alias("n_design"),
+            *flag,
         )
     )
 
@@ -56,8 +65,8 @@ def reproducible_sites(tiled: DataFrame, design: DataFrame) -> DataFrame:
     at_site = Window.partitionBy(*LAYOUT, "end5")
     return (
         replicate_sums(tiled, design)
-        .withColumn("_seen", F.count("*").over(at_site))
-        .where("_seen >= n_rep")
+        .withColumn("_seen", F.count("cpm_end5_sum").over(at_site))
+        .where("_seen >= n_rep and cpm_end5_sum is not null")
         .drop("_seen", "n_rep")
     )
 
@@ -72,18 +81,23 @@ def site_means(hits: DataFrame) -> DataFrame:
 
 
 def reproducible_site_means(tiled: DataFrame, design: DataFrame) -> DataFrame:
-    """``site_means(reproducible_sites(...))`` as plain aggregations, without a window."""
+    """``site_means(reproducible_sites(...))`` as plain aggregations, without a window.
+
+    Also carries ``in_control`` where the layout holds control samples.
+    """
+    flag = ["in_control"] if "is_control" in tiled.columns else []
     return (
         replicate_sums(tiled, design)
         .groupBy(*LAYOUT, "end5")
         .agg(
-            F.count("*").alias("_seen"),
+            F.count("cpm_end5_sum").alias("_seen"),
             F.sum("cpm_end5_sum").alias("_sum"),
             F.max("n_design").alias("n_design"),
             F.max("n_rep").alias("n_rep"),
+            *[F.max(c).alias(c) for c in flag],
         )
         .where("_seen >= n_rep")
-        .selectExpr(*LAYOUT, "end5", "_sum / n_design as cpm_end5_mean", "n_design")
+        .selectExpr(*LAYOUT, "end5", "_sum / n_design as cpm_end5_mean", "n_design", *flag)
     )
 
 
@@ -101,16 +115,15 @@ def site_bed(sites: DataFrame) -> DataFrame:
 
 def best_sites(sites: DataFrame, gap: int, tile_bits: int = TILE_BITS) -> DataFrame:
     """Best site of each merged region, within one method."""
-    best = pick("cpm_end5_mean", "string(end5)", ["end5", "cpm_end5_mean", "n_design"])
+    kept = ["end5", "cpm_end5_mean", "n_design", *[c for c in ("in_control",) if c in sites.columns]]
+    best = pick("cpm_end5_mean", "string(end5)", kept)
     unit = sites.withColumn("start", co.unit_start(F.col("end5"))).withColumn("end", F.col("end5"))
     regions = best_per_region(unit, SITE_KEYS, gap, best, tiled=TILE in sites.columns, tile_bits=tile_bits)
     return regions.select(
         *SITE_KEYS,
         F.col("start").alias("region_start"),
         F.col("end").alias("region_end"),
-        "best.end5",
-        "best.cpm_end5_mean",
-        "best.n_design",
+        *[f"best.{c}" for c in kept],
     )
 
 
@@ -133,6 +146,11 @@ def background_filter(sites: DataFrame, background: DataFrame) -> DataFrame:
     return sites.join(background, [*SITE_KEYS, "end5"], "left_anti")
 
 
+def without_controls(best: DataFrame) -> DataFrame:
+    """``background_filter`` for sites that carry ``in_control``: no join and no second scan."""
+    return best.where("not in_control").drop("in_control")
+
+
 def contig_edge_filter(sites: DataFrame, lengths: DataFrame, margin: int) -> DataFrame:
     """Keep regions more than ``margin`` bases away from both contig ends."""
     return (

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from cutsites.operators import counts as C
 from cutsites.operators import qc, ratio, sequence, sites, tiers
 from cutsites.profile import Profile
+from cutsites.sources import sinks, tables
 
 
 @dataclass(frozen=True)
@@ -43,12 +44,11 @@ class Candidates:
     info: DataFrame
 
 
-def call_sites(inputs: Inputs, profile: Profile, tiled: DataFrame, counts: DataFrame, design: DataFrame) -> DataFrame:
+def call_sites(inputs: Inputs, profile: Profile, tiled: DataFrame, design: DataFrame) -> DataFrame:
     """Best reproducible site of each region, after the background, edge and sequence filters."""
     best = sites.best_sites(sites.reproducible_site_means(tiled, design), profile.method_gap)
     if profile.control_type:
-        control, _ = C.split_controls(counts, profile.control_type)
-        best = sites.background_filter(best, control)
+        best = sites.without_controls(best)
     if profile.edge_margin is not None and inputs.lengths is not None:
         best = sites.contig_edge_filter(best, inputs.lengths, profile.edge_margin)
     if inputs.oligos is not None and inputs.chunks is not None:
@@ -64,17 +64,22 @@ def call_sites(inputs: Inputs, profile: Profile, tiled: DataFrame, counts: DataF
     return best
 
 
-def stages(inputs: Inputs, profile: Profile) -> Candidates:
-    """Wire all operators; see ``find_candidates`` for the final table alone."""
+def stages(inputs: Inputs, profile: Profile, counts_path: str | None = None) -> Candidates:
+    """Wire all operators; see ``find_candidates`` for the final table alone.
+
+    With ``counts_path`` (on shared storage) the counts are written there once, as a
+    dataset partitioned by species, method, contig and strand, and read back: several
+    results then share them without going back to the fragments.
+    """
     sheet = C.recode_sheet(inputs.sheet, profile)
     sizes = C.library_sizes(inputs.fragments, inputs.spikeins, sheet)
     design = C.sample_design(sizes, sheet, profile)
     counts = C.count_end5(inputs.fragments, sheet, profile, inputs.main_contigs)
-    used = C.on_grid(counts, profile)
-    if profile.control_type:
-        _, used = C.split_controls(used, profile.control_type)
-    tiled = sites.tile_counts(used)
-    best = call_sites(inputs, profile, tiled, counts, design)
+    if counts_path:
+        sinks.write_counts(counts, counts_path)
+        counts = tables.read_counts_dataset(counts.sparkSession, counts_path)
+    tiled = sites.tile_counts(C.on_grid(counts, profile), profile.control_type)
+    best = call_sites(inputs, profile, tiled, design)
     regions = tiers.merge_methods(best, profile)
     tiered = tiers.assign_tiers(regions, profile)
     if profile.hotspots and inputs.lengths is not None:
@@ -86,6 +91,6 @@ def stages(inputs: Inputs, profile: Profile) -> Candidates:
     return Candidates(sheet, sizes, design, counts, tiled, best, regions, tiered, peaks, ratios, info)
 
 
-def find_candidates(inputs: Inputs, profile: Profile) -> DataFrame:
+def find_candidates(inputs: Inputs, profile: Profile, counts_path: str | None = None) -> DataFrame:
     """Tiered table of reproducible sites with their ratios."""
-    return stages(inputs, profile).info
+    return stages(inputs, profile, counts_path).info

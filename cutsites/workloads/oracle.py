@@ -512,6 +512,16 @@ from site_islands s join regions r
             three,
             f"select species, library_method, chr, strand, region_start, region_end, end5, {info_cpm}, id from best",
         ),
+        "region_best_site_3m": sql(
+            three,
+            f"select species, library_method, chr, strand, region_start, region_end, end5, {info_cpm}, id from best",
+        ),
+        "reproducible_sites_3m": sql(
+            three,
+            """select species, library_method, chr, strand, end5, sample_rep, round(cpm_end5_sum, 6) as cpm_end5_sum
+            from hits""",
+        ),
+        "cleavage_ratio_3m": sql(three_counted, f"select {_RATIO_COLUMNS} from ratios"),
         "tier_info_3m": sql(three_counted, _info_sql(_THREE["methods"])),
         "tier_info_3m_full": sql(three_full, _info_sql(_THREE["methods"])),
     }

@@ -53,8 +53,7 @@ class Lab:
 
     @cached_property
     def tiled(self) -> DataFrame:
-        used = C.split_controls(self.counts, "endo")[1] if self.control else self.counts
-        return sites.tile_counts(used)
+        return sites.tile_counts(self.counts, self.profile.control_type)
 
     @cached_property
     def means(self) -> DataFrame:
@@ -63,9 +62,7 @@ class Lab:
     @cached_property
     def best(self) -> DataFrame:
         best = sites.best_sites(self.means, self.profile.method_gap)
-        if self.control:
-            best = sites.background_filter(best, C.split_controls(self.counts, "endo")[0])
-        return best
+        return sites.without_controls(best) if self.control else best
 
     @cached_property
     def tiered(self) -> DataFrame:
@@ -343,7 +340,11 @@ def background_all(lab: Lab) -> DataFrame:
 
 
 def background_filtered(lab: Lab) -> DataFrame:
-    return region_best_site(lab)
+    """Control samples held out, then used as a background table."""
+    control, used = C.split_controls(lab.counts, "endo")
+    means = sites.reproducible_site_means(sites.tile_counts(used), lab.design)
+    kept = sites.background_filter(sites.best_sites(means, lab.profile.method_gap), control)
+    return _rounded(kept, "cpm_end5_mean").drop("n_design").withColumn("id", k.site_id())
 
 
 def contig_edge(lab: Lab) -> DataFrame:
@@ -501,6 +502,9 @@ THREE_METHOD = {
     "background_any": background_any,
     "background_all": background_all,
     "background_filtered": background_filtered,
+    "region_best_site_3m": region_best_site,
+    "reproducible_sites_3m": reproducible_sites,
+    "cleavage_ratio_3m": cleavage_ratio_u100,
     "tier_info_3m": tier_info,
     "tier_info_3m_full": tier_info_3m_full,
 }
