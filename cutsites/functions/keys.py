@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 
 def joined(*parts: Column | str, sep: str = "|") -> Column:
-    """Concatenate with a separator; NULL if any part is NULL (unlike ``concat_ws``)."""
-    columns = [F.col(p) if isinstance(p, str) else p for p in parts]
+    """Concatenate SQL expressions (or columns) with a separator.
+
+    NULL if any part is NULL, unlike ``concat_ws``.
+    """
     pieces: list[Column] = []
-    for index, column in enumerate(columns):
+    if all(isinstance(p, str) for p in parts):
+        return F.expr(f"concat({f', {_literal(sep)}, '.join(parts)})")
+    for index, part in enumerate(parts):
         if index:
             pieces.append(F.lit(sep))
-        pieces.append(column.cast("string"))
+        pieces.append(F.expr(part) if isinstance(part, str) else part.cast("string"))
     return F.concat(*pieces)
 
 
@@ -31,10 +35,9 @@ def contig_key(species="species", method="library_method", chr="chr") -> Column:
     return joined(species, method, chr)
 
 
-def peak_id(species="species", chr="chr", start: Column | str = "start", strand="strand") -> Column:
+def peak_id(species="species", chr="chr", start="start", strand="strand") -> Column:
     """Id of a region by the 1-based position of its first base."""
-    first = F.col(start) if isinstance(start, str) else start
-    return joined(species, chr, first + 1, strand)
+    return joined(species, chr, f"{start} + 1", strand)
 
 
 def token(column: Column, index: int, sep: str = "|") -> Column:
@@ -78,5 +81,9 @@ def without_comment(column: Column) -> Column:
     return F.regexp_replace(column, r"^([^#]*)#.+$", "$1")
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _quoted(sep: str) -> str:
     return f"\\Q{sep}\\E"

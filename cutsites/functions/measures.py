@@ -25,5 +25,6 @@ def pick(score: str, tie: str, payload: Sequence[str], condition: str | None = N
     in another order agree), NULL scores last, ties by ``tie`` ascending. Rows that
     fail ``condition`` give NULL.
     """
-    fields = ", ".join([f"{score} is null as missing", f"-round({score}, 6) as rank", f"{tie} as tie", *payload])
+    rank = f"coalesce(-round({score}, 6), double('infinity')) as rank"
+    fields = ", ".join([rank, f"{tie} as tie", *payload])
     return f"if({condition}, struct({fields}), null)" if condition else f"struct({fields})"

@@ -115,14 +115,15 @@ def site_bed(sites: DataFrame) -> DataFrame:
 
 def best_sites(sites: DataFrame, gap: int, tile_bits: int = TILE_BITS) -> DataFrame:
     """Best site of each merged region, within one method."""
-    kept = ["end5", "cpm_end5_mean", "n_design", *[c for c in ("in_control",) if c in sites.columns]]
+    kept = ["cpm_end5_mean", "n_design", *[c for c in ("in_control",) if c in sites.columns]]
     best = pick("cpm_end5_mean", "string(end5)", kept)
     unit = sites.withColumn("start", co.unit_start(F.col("end5"))).withColumn("end", F.col("end5"))
     regions = best_per_region(unit, SITE_KEYS, gap, best, tiled=TILE in sites.columns, tile_bits=tile_bits)
-    return regions.select(
+    return regions.selectExpr(
         *SITE_KEYS,
-        F.col("start").alias("region_start"),
-        F.col("end").alias("region_end"),
+        "start as region_start",
+        "end as region_end",
+        "bigint(best.tie) as end5",
         *[f"best.{c}" for c in kept],
     )
 

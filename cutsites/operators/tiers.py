@@ -15,15 +15,13 @@ from cutsites.profile import Profile
 from cutsites.schemas import REGION_KEYS
 
 
-# What is kept of each picked site.
-PICKED = ("end5", "cpm_end5_mean", "n_design")
+# What is kept of each picked site; its position is the tie-break of the pick.
+PICKED = ("cpm_end5_mean", "n_design")
 
 
 def _method_pick(method: str) -> Agg:
     """Best member of one method, as column ``pick_<method>``."""
-    best = pick(
-        "cpm_end5_mean", "string(end5)", ["library_method", *PICKED], f"library_method = '{method}'"
-    )
+    best = pick("cpm_end5_mean", "string(end5)", PICKED, f"library_method = '{method}'")
     return Agg(f"pick_{method}", "min", best)
 
 
@@ -42,16 +40,29 @@ def pick_per_method(
     return merge_regions(intervals, keys, gap, [*[_method_pick(m) for m in methods], count_members()], tile_bits)
 
 
-def _picks(methods: Sequence[str]) -> str:
-    return f"filter(array({', '.join(f'pick_{m}' for m in methods)}), p -> p is not null)"
+def _explode_picks(methods: Sequence[str]) -> str:
+    """One row per present pick, as struct ``_pick`` of the method name and the pick ``p``."""
+    tagged = ", ".join(f"struct('{m}' as library_method, pick_{m} as p)" for m in methods)
+    return f"explode(filter(array({tagged}), t -> t.p is not null)) as _pick"
+
+
+_UNPACKED = ("_pick.library_method", "bigint(_pick.p.tie) as end5", *[f"_pick.p.{c}" for c in PICKED])
+
+
+def _position(method: str) -> str:
+    return f"bigint(pick_{method}.tie)"
 
 
 def _first(methods: Sequence[str]) -> str:
-    return f"array_min(transform({_picks(methods)}, p -> p.end5))"
+    return f"least({', '.join(map(_position, methods))})"
 
 
 def _last(methods: Sequence[str]) -> str:
-    return f"array_max(transform({_picks(methods)}, p -> p.end5))"
+    return f"greatest({', '.join(map(_position, methods))})"
+
+
+def _n_present(methods: Sequence[str]) -> str:
+    return " + ".join(f"int(pick_{m} is not null)" for m in methods)
 
 
 def _all_present(methods: Sequence[str]) -> str:
@@ -65,6 +76,7 @@ def as_intervals(sites: DataFrame) -> DataFrame:
         co.unit_start(F.col("end5")).alias("start"),
         F.col("end5").alias("end"),
         "library_method",
+        "end5",
         *PICKED,
     )
 
@@ -76,7 +88,7 @@ def merge_pair(sites: DataFrame, pair: tuple[str, str], gap: int, tile_bits: int
 
 
 def _pair_ids(pair: tuple[str, str]) -> list[Column]:
-    return [k.site_id(end5=F.col(f"pick_{m}.end5"), method=F.lit(m)) for m in pair]
+    return [k.site_id(end5=_position(m), method=f"'{m}'") for m in pair]
 
 
 def pair_combined(regions: DataFrame, pair: tuple[str, str]) -> DataFrame:
@@ -121,8 +133,8 @@ def combine_pair(sites: DataFrame, profile: Profile, tile_bits: int = TILE_BITS)
         *REGION_KEYS,
         f"if({both}, {_first(pair)} - 1, start) as start",
         f"if({both}, {_last(pair)}, end) as end",
-        f"explode({_picks(methods)}) as _pick",
-    ).select(*REGION_KEYS, "start", "end", "_pick.library_method", *[f"_pick.{c}" for c in PICKED])
+        _explode_picks(methods),
+    ).selectExpr(*REGION_KEYS, "start", "end", *_UNPACKED)
 
 
 def merge_methods(sites: DataFrame, profile: Profile, tile_bits: int = TILE_BITS) -> DataFrame:
@@ -132,15 +144,9 @@ def merge_methods(sites: DataFrame, profile: Profile, tile_bits: int = TILE_BITS
 
 def regions_to_long(regions: DataFrame, methods: Sequence[str]) -> DataFrame:
     """One row per region and method."""
-    return (
-        regions.withColumn("_pick", F.expr(f"explode({_picks(methods)})"))
-        .select(
-            *[c for c in regions.columns if not c.startswith("pick_")],
-            "_pick.library_method",
-            *[f"_pick.{c}" for c in PICKED],
-        )
-        .withColumn("id", k.site_id())
-    )
+    kept = [c for c in regions.columns if not c.startswith("pick_")]
+    exploded = regions.selectExpr(*kept, _explode_picks(methods))
+    return exploded.selectExpr(*kept, *_UNPACKED).withColumn("id", k.site_id())
 
 
 def assign_tiers(regions: DataFrame, profile: Profile) -> DataFrame:
@@ -154,7 +160,7 @@ def assign_tiers(regions: DataFrame, profile: Profile) -> DataFrame:
     )
     picks = [f"pick_{m}" for m in profile.methods]
     return (
-        regions.selectExpr(*REGION_KEYS, *picks, f"size({_picks(profile.methods)}) as _n")
+        regions.selectExpr(*REGION_KEYS, *picks, f"{_n_present(profile.methods)} as _n")
         .selectExpr(
             *REGION_KEYS,
             *picks,
