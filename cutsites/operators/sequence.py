@@ -40,9 +40,11 @@ def slice_sequences(regions: DataFrame, chunks: DataFrame, chunk_len: int, max_l
     """Strand-aware sequence (``seq``) of regions of at most ``max_len`` bases.
 
     Bases on other strands than ``+`` are reverse-complemented. Regions without
-    a chunk get NULL.
+    a chunk get NULL. Both sides are shuffled by contig and chunk: a genome is never
+    broadcast, whatever its estimated size (generated chunks are estimated far too
+    small), and a contig that holds most sites spreads over its chunks.
     """
-    padded = padded_chunks(chunks, chunk_len, max_len - 1)
+    padded = padded_chunks(chunks, chunk_len, max_len - 1).hint("merge")
     located = regions.withColumn("chunk", F.floor(F.col("start") / chunk_len).cast("bigint"))
     offset = F.col("start") - F.col("chunk") * chunk_len
     plain = F.substring("seq", (offset + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
