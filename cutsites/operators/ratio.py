@@ -11,7 +11,7 @@ from cutsites.functions import keys as k
 from cutsites.functions.measures import site_ratio
 from cutsites.operators.regions import BIN_BITS, TILE, TILE_BITS, range_join
 from cutsites.profile import Profile, RatioWindow
-from cutsites.schemas import SITE_KEYS
+from cutsites.schemas import REGION_KEYS, SITE_KEYS
 
 # Positions this close to the site count neither as site nor as neighbourhood.
 SHOULDER = 2
@@ -78,10 +78,16 @@ def cleavage_ratio(
     region = ["tier", *SITE_KEYS, "start", "peak", *[c for c in ("n_design",) if c in peaks.columns]]
     group = [*region, "sample"]
     structs = ", ".join(f"struct('{w.tag}' as ratio_type, _{w.tag} as other)" for w in windows)
+    names = ["cs", *[f"_{w.tag}" for w in windows]]
+    # Sums per tile stay in the layout of the counts; one shuffle by region then
+    # serves the sums per peak here and the sums per region of the final table.
     return (
         counts_in_windows(tiled, peaks.select(*region), windows)
-        .groupBy(*group)
+        .groupBy(*group, TILE)
         .agg(*[F.expr(s) for s in sums])
+        .repartition(*REGION_KEYS, "start")
+        .groupBy(*group)
+        .agg(*[F.expr(f"sum({n}) as {n}") for n in names])
         .selectExpr(*group, "cs", f"inline(array({structs}))")
         .where("cs is not null or other is not null")
         .selectExpr(*group, "ratio_type", "coalesce(cs, 0L) as cs", "coalesce(other, 0L) as other")

@@ -45,7 +45,7 @@ def slice_sequences(regions: DataFrame, chunks: DataFrame, chunk_len: int, max_l
     small), and a contig that holds most sites spreads over its chunks.
     """
     padded = padded_chunks(chunks, chunk_len, max_len - 1).hint("merge")
-    located = regions.withColumn("chunk", F.floor(F.col("start") / chunk_len).cast("bigint"))
+    located = regions.withColumn("chunk", F.expr(f"bigint(floor(start / {chunk_len}))")).repartition("chr", "chunk")
     offset = F.col("start") - F.col("chunk") * chunk_len
     plain = F.substring("seq", (offset + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
     return (
