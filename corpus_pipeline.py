@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutsites.llm import decontamination, mixing, quality_rules, sharding
+from cutsites.llm import decontamination, mixing, near_duplicates, quality_rules, sharding
 from cutsites.llm.common import table, written
 
 
@@ -19,6 +19,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs, rules).where("kept").select(*docs.columns)
 
 
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, the one with the smallest id."""
+    found = written(near_duplicates.classes(docs), "classes")
+    return near_duplicates.one_of_each(docs, found)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the spans that hold benchmark phrases."""
     found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -43,7 +49,7 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, 16)
 
 
-STAGES = [("quality_rules", quality), ("decontamination", decontaminated), ("mixing", mixed), ("sharding", sharded)]
+STAGES = [("quality_rules", quality), ("near_duplicates", deduplicated), ("decontamination", decontaminated), ("mixing", mixed), ("sharding", sharded)]
 
 #: Learned rules and random draws have no SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
