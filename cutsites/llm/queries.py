@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutsites.llm import decontamination, mixing, near_duplicates, quality_rules, sharding, suffix_dedup
+from cutsites.llm import decontamination, html_wrapper, mixing, near_duplicates, quality_mil, quality_rules, sharding, suffix_dedup
 from cutsites.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.classes(docs).select("doc_id", "class_id", "class_size")
 
 
+def op2_html_wrapper(spark: SparkSession, folder: str) -> DataFrame:
+    return html_wrapper.extract(table(spark, folder, "pages"), keep=["page_id", "url"])
+
+
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select(
@@ -24,6 +28,14 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_quality_mil(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality_mil.fit(docs, table(spark, folder, "labels"))
+    return quality_mil.score(docs, model, ["doc_id"]).select(
+        "doc_id", quality_mil.held_out().alias("held_out"), "score", F.expr("cast(score >= 0.5 as int)").alias("predicted")
+    )
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
