@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _STEP = 0x9E3779B97F4A7C15 | 1
 _STEP_INVERSE = pow(_STEP, -1, 1 << 64)
