@@ -38,12 +38,15 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def link_buckets(buckets: DataFrame, distances: Callable[[DataFrame], DataFrame], limit: float) -> DataFrame:
-    """Links ``a, b, d`` (d <= limit) that connect all that pairs inside the buckets (``bucket, node``) would connect.
+    """Links ``a, b, d`` that connect all that pairs inside the buckets (``bucket, node``) would connect.
 
-    Each round measures every member of a bucket against one leader only. Members within the limit are linked. By the triangle
-    inequality a linked member x and another one y can only be within the limit if d(y, leader) <= d(x, leader) + limit, so
-    the next round's bucket holds the members that are not linked and those linked ones near the rim, without the
-    leader. A bucket whose members are all connected is done. No bucket is gathered in a task and no pair is left out.
+    ``distances`` measures pairs ``a, b`` as ``d`` in a metric and may add ``linked``; without it, pairs with d <= limit are linked. No linked
+    pair may be further apart than ``limit``.
+
+    Each round measures every member of a bucket against one leader only. By the triangle inequality a linked member x
+    and another one y can only be within the limit if d(y, leader) <= d(x, leader) + limit, so the next round's bucket holds
+    the members that are not linked and those linked ones near the rim, without the leader. A bucket whose members
+    are all connected is done. No bucket is gathered in a task and no pair is left out.
     """
     links = None
     while True:
@@ -52,11 +55,14 @@ def link_buckets(buckets: DataFrame, distances: Callable[[DataFrame], DataFrame]
         members = written(buckets.join(heads, "bucket").where("node <> leader"), "members")
         if members.isEmpty():
             break
-        measured = written(distances(members.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()), "measured")
-        near = measured.where(F.col("d") <= limit)
+        measured = distances(members.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+        if "linked" not in measured.columns:
+            measured = measured.withColumn("linked", F.col("d") <= limit)
+        measured = written(measured, "measured")
+        near = measured.where("linked").drop("linked")
         links = near if links is None else links.unionByName(near)
-        known = members.join(measured.select(F.col("a").alias("leader"), F.col("b").alias("node"), "d"), ["leader", "node"])
-        rim = known.where(F.col("d") > limit).groupBy("bucket").agg(F.min("d").alias("closest"))
+        known = members.join(measured.select(F.col("a").alias("leader"), F.col("b").alias("node"), "d", "linked"), ["leader", "node"])
+        rim = known.where(~F.col("linked")).groupBy("bucket").agg(F.min("d").alias("closest"))
         open_ = known.join(rim, "bucket").where(F.col("d") + F.lit(limit) >= F.col("closest")).select("bucket", "node")
         open_ = written(open_, "open")
         if open_.isEmpty():

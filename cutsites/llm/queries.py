@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutsites.llm import decontamination, html_wrapper, mixing, near_duplicates, quality_mil, quality_rules, sharding, suffix_dedup
+from cutsites.llm import decontamination, html_wrapper, line_dedup, mixing, near_duplicates, quality_mil, quality_rules, secret_scan, sharding, suffix_dedup
 from cutsites.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_html_wrapper(spark: SparkSession, folder: str) -> DataFrame:
     return html_wrapper.extract(table(spark, folder, "pages"), keep=["page_id", "url"])
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.classes(table(spark, folder, "documents").select("doc_id", "text")).where("class_size > 1")
+
+
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select(
@@ -36,6 +40,11 @@ def op5_quality_mil(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return secret_scan.scan(docs).select("doc_id", "start", "n_chars", F.sha2("token", 256).alias("token_sha256"), "score", "is_secret")
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
