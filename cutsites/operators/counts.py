@@ -9,15 +9,7 @@ from cutsites.functions import coordinates as co
 from cutsites.functions import keys as k
 from cutsites.functions.measures import cpm
 from cutsites.profile import Profile
-from cutsites.session import BROADCAST_ROWS
-
-SAMPLE_PARTS = {
-    "species": "string",
-    "library_method": "string",
-    "sample_rep": "string",
-    "sample_type": "string",
-}
-
+from cutsites.session import BROADCAST_ROWS, broadcast_if_small
 
 def recode_sheet(sheet: DataFrame, profile: Profile) -> DataFrame:
     """Normalise the sample sheet: short method and replicate names, composed sample key.
@@ -55,9 +47,19 @@ def library_sizes(fragments: DataFrame, spikeins: DataFrame, sheet: DataFrame) -
     )
 
 
-def number_of(sizes: DataFrame, part: str, control_type: str | None = None) -> DataFrame:
-    """Distinct replicates (``sample_rep``) or types (``sample_type``) per species and method."""
-    parts = sizes.select(*k.split_into(F.col("sample"), SAMPLE_PARTS))
+def sample_details(sheet: DataFrame) -> DataFrame:
+    """One row per recoded sample: its species (by name, not by code), method, replicate and type."""
+    return sheet.select(
+        F.col("sample_recode").alias("sample"), "species", "library_method", "sample_rep", "sample_type"
+    ).distinct()
+
+
+def number_of(sizes: DataFrame, sheet: DataFrame, part: str, control_type: str | None = None) -> DataFrame:
+    """Distinct replicates (``sample_rep``) or types (``sample_type``) per species and method, of samples with a size.
+
+    Names come from the sheet: the sample key may hold a code in place of the species.
+    """
+    parts = sample_details(sheet).join(sizes.select("sample"), "sample", "left_semi")
     if control_type:
         parts = parts.where(F.col("sample_type") != control_type)
     return parts.groupBy("species", "library_method").agg(F.countDistinct(part).alias("n"))
@@ -73,10 +75,10 @@ def sample_design(
     sheet here. Counting the sheet therefore bounds this table, and only then is
     it hinted for broadcast.
     """
-    listed = sheet.select(F.col("sample_recode").alias("sample")).distinct()
-    # One row per sample: a single partition, so that no step below shuffles again.
-    sized = sizes.join(listed, "sample", "left_semi").repartition(1)
-    parts = sized.select("sample", "count_frag_sample", *k.split_into(F.col("sample"), SAMPLE_PARTS))
+    small = sheet.limit(max_samples + 1).count() <= max_samples
+    parts = sizes.join(sample_details(sheet), "sample")
+    if small:  # one partition, so that no step below shuffles again
+        parts = parts.repartition(1)
     used = f"sample_type <> '{profile.control_type}'" if profile.control_type else "true"
     method = Window.partitionBy("species", "library_method")
 
@@ -91,22 +93,26 @@ def sample_design(
         distinct_of("sample_rep").alias("n_rep"),
         distinct_of("sample_type").alias("n_type"),
     )
-    small = sheet.limit(max_samples + 1).count() <= max_samples
     return F.broadcast(design) if small else design
 
 
-def drop_contigs(df: DataFrame, profile: Profile, main_contigs: DataFrame | None = None) -> DataFrame:
-    """Remove denied contigs; ``main_contigs`` (column ``chr``) keeps only the contigs it lists."""
-    if profile.chr_deny:
-        df = df.where(~F.col("chr").isin(*profile.chr_deny))
-    if main_contigs is not None:
-        df = df.join(main_contigs.select("chr"), "chr", "left_semi")
-    return df
+def drop_contigs(df: DataFrame, profile: Profile) -> DataFrame:
+    """Remove denied contigs."""
+    return df.where(~F.col("chr").isin(*profile.chr_deny)) if profile.chr_deny else df
 
 
-def on_grid(counts: DataFrame, profile: Profile) -> DataFrame:
-    """Contigs on which sites are called; counts elsewhere are kept but not analysed."""
-    return counts.where(F.col("chr").isin(*profile.chr_allow)) if profile.chr_allow else counts
+def on_grid(counts: DataFrame, profile: Profile, main_contigs: DataFrame | None = None) -> DataFrame:
+    """Contigs on which sites are called; counts elsewhere are kept but not analysed.
+
+    ``main_contigs`` lists pairs (``species``, ``chr``). Reads are aligned to a combined genome, so a sample also
+    has fragments on contigs of other species; these are no sites of its own.
+    """
+    if profile.chr_allow:
+        counts = counts.where(F.col("chr").isin(*profile.chr_allow))
+    if main_contigs is not None:
+        listed = broadcast_if_small(main_contigs.select("species", "chr").distinct())
+        counts = counts.join(listed, ["species", "chr"], "left_semi")
+    return counts
 
 
 def normalize_fragments(fragments: DataFrame) -> DataFrame:
@@ -132,31 +138,26 @@ def count_by_type(fragments: DataFrame) -> DataFrame:
     )
 
 
-def count_end5(
-    fragments: DataFrame, sheet: DataFrame, profile: Profile, main_contigs: DataFrame | None = None
-) -> DataFrame:
+def count_end5(fragments: DataFrame, sheet: DataFrame, profile: Profile) -> DataFrame:
     """Uncapped 5'-end counts per recoded sample and position.
 
     Sheet columns depend on the recoded sample alone, so only the sample key and
     the position are shuffled; the sheet is joined map-side before (key) and
     after (details) the one aggregation.
     """
-    kept = drop_contigs(fragments.where(F.col("type") != "capped"), profile, main_contigs)
+    kept = drop_contigs(fragments.where(F.col("type") != "capped"), profile)
     return _count_positions(kept, sheet)
 
 
 def _count_positions(fragments: DataFrame, sheet: DataFrame) -> DataFrame:
     names = sheet.select("sample", "sample_recode").distinct()
-    details = sheet.select(
-        "species", F.col("sample_recode").alias("sample"), "library_method", "sample_rep", "sample_type"
-    ).distinct()
     counts = (
         normalize_fragments(fragments)
         .join(names, "sample", "left")
         .groupBy(F.col("sample_recode").alias("sample"), "chr", "strand", "end5")
         .agg(F.sum("count_frag").alias("count_end5"))
     )
-    return counts.join(details, "sample", "left").select(
+    return counts.join(sample_details(sheet), "sample", "left").select(
         "species", "sample", "library_method", "sample_rep", "sample_type", "chr", "strand", "end5", "count_end5"
     )
 

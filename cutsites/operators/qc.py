@@ -31,14 +31,20 @@ def _within(value: Column, lo: Column, hi: Column, lo_incl: Column, hi_incl: Col
     return above & below
 
 
-def hotspot_peaks(positions: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct ids of peaks inside a hotspot; a rule without species holds for all."""
+def _in_hotspot(rules: DataFrame) -> tuple[DataFrame, Column]:
+    """Rules with prefixed columns, and whether a position lies in one; a rule without species holds for all."""
     r = rules.select(*[F.col(c).alias(f"_{c}") for c in rules.columns])
     inside = (
         (F.col("chr") == F.col("_chr"))
         & (F.col("_species").isNull() | (F.col("species") == F.col("_species")))
         & _within(F.col("coor_per"), F.col("_lo"), F.col("_hi"), F.col("_lo_incl"), F.col("_hi_incl"))
     )
+    return r, inside
+
+
+def hotspot_peaks(positions: DataFrame, rules: DataFrame) -> DataFrame:
+    """Distinct ids of peaks inside a hotspot."""
+    r, inside = _in_hotspot(rules)
     return positions.join(r, inside, "left_semi").select("peak_id").distinct()
 
 
@@ -54,12 +60,7 @@ def outside_hotspots(peaks: DataFrame, lengths: DataFrame, rules: DataFrame) ->
     gives the same final table as filtering their ratios and saves their range join.
     """
     positions = peak_positions(peaks, lengths)
-    r = rules.select(*[F.col(c).alias(f"_{c}") for c in rules.columns])
-    inside = (
-        (F.col("chr") == F.col("_chr"))
-        & (F.col("_species").isNull() | (F.col("species") == F.col("_species")))
-        & _within(F.col("coor_per"), F.col("_lo"), F.col("_hi"), F.col("_lo_incl"), F.col("_hi_incl"))
-    )
+    r, inside = _in_hotspot(rules)
     return positions.join(r, inside, "left_anti").drop("length", "coor_per")
 
 
@@ -67,13 +68,15 @@ def position_ecdf(positions: DataFrame, keys: Sequence[str], tile_bits: int = TI
     """Empirical distribution of relative positions per key.
 
     Distinct positions are counted first; running totals are then taken inside
-    tiles and over the tile totals, so no task sorts a whole contig.
+    tiles and over the tile totals, so no task sorts a whole contig. One layout by
+    tile serves both, so the input is evaluated once.
     """
     counted = (
         positions.where(F.col("coor_per").isNotNull())
-        .groupBy(*keys, "start")
+        .select(*keys, "start", "coor_per", co.tile_of(F.col("start"), tile_bits).alias(TILE))
+        .repartition(*keys, TILE)
+        .groupBy(*keys, TILE, "start")
         .agg(F.count("*").alias("_n"), F.max("coor_per").alias("coor_per"))
-        .withColumn(TILE, co.tile_of(F.col("start"), tile_bits))
     )
     by_tile = Window.partitionBy(*keys).orderBy(TILE)
     totals = (
@@ -91,6 +94,11 @@ def position_ecdf(positions: DataFrame, keys: Sequence[str], tile_bits: int = TI
     )
 
 
+def with_ids(peaks: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Peaks of a short list of ids; filter with this before anything is joined to the peaks."""
+    return peaks.where(F.col("peak_id").isin(*ids))
+
+
 def known_site_report(ratios: DataFrame, design: DataFrame, ids: Sequence[str] | DataFrame) -> DataFrame:
     """Signal of known sites per sample, with its CPM, ordered for reading."""
     if isinstance(ids, DataFrame):
@@ -106,6 +114,6 @@ def known_site_report(ratios: DataFrame, design: DataFrame, ids: Sequence[str] |
     )
 
 
-def contingency(df: DataFrame, rows: str, columns: str, values: Sequence[str]) -> DataFrame:
-    """Two-way table of counts, zero where a combination is absent."""
-    return df.groupBy(rows).pivot(columns, list(values)).count().fillna(0)
+def contingency(df: DataFrame, rows: str, columns: str) -> DataFrame:
+    """Two-way table of counts in long form (``rows``, ``columns``, ``n``): no value can be missed."""
+    return df.groupBy(rows, columns).agg(F.count("*").alias("n"))

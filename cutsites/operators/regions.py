@@ -3,7 +3,8 @@
 Intervals are merged without ever sorting a whole contig in one task. Positions
 are cut into fixed tiles; islands are found inside each tile; only islands that
 come within the gap of a tile border (at most two per tile) are chained over the
-contig. What one task sees is bounded by positions, not by rows of a contig.
+contig. Equal intervals are aggregated first, so what one task sees is bounded by the
+distinct intervals of a tile, however many rows lie on one locus.
 """
 
 from __future__ import annotations
@@ -14,8 +15,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from cutsites.functions.coordinates import tile_of
-
 TILE_BITS = 14
 BIN_BITS = 8
 TILE = "tile"
@@ -48,18 +47,25 @@ def merge_regions(
     aggs: Sequence[Agg] = (),
     tile_bits: int = TILE_BITS,
     tiled: bool = False,
+    few: bool = False,
 ) -> DataFrame:
     """Merge intervals of equal ``keys`` whose distance is at most ``gap``.
 
     Returns one row per merged region: keys, ``start``, ``end`` and the aggregates.
     ``gap=0`` merges overlapping and book-ended intervals. ``tiled=True`` states
     that ``df`` holds unit intervals and already carries their tile number, so an
-    existing layout hashed on (keys, tile) is used as it is.
+    existing layout hashed on (keys, tile) is used as it is. ``few=True`` states that rows
+    per position are bounded (picks of sites); otherwise equal intervals are combined first,
+    which costs one more shuffle of what is left.
     """
     if not 0 <= gap < 1 << tile_bits:
         raise ValueError("gap must be at least 0 and smaller than a tile")
     pieces = df if tiled else _cut_at_tiles(df, tile_bits)
-    islands = _tile_islands(pieces, list(keys), gap, aggs, None if tiled else "_home")
+    if not tiled and not few:
+        pieces = _distinct_pieces(pieces, list(keys), aggs)
+        islands = _tile_islands(pieces, list(keys), gap, [a.merge() for a in aggs])
+    else:
+        islands = _tile_islands(pieces, list(keys), gap, [a.update(None if tiled else "_home") for a in aggs])
     return _chain_over_borders(islands, list(keys), gap, aggs, tile_bits)
 
 
@@ -77,6 +83,13 @@ def _cut_at_tiles(df: DataFrame, bits: int) -> DataFrame:
     )
 
 
+def _distinct_pieces(pieces: DataFrame, keys: list[str], aggs: Sequence[Agg]) -> DataFrame:
+    """One row per distinct piece with its aggregates, combined before the shuffle."""
+    return pieces.groupBy(TILE, *keys, "start", "end").agg(
+        F.count("*").alias("_rows"), *[a.update("_home") for a in aggs]
+    )
+
+
 def _running_start(df: DataFrame, window: WindowSpec, reach: Column, gap: int) -> DataFrame:
     """Number rows by ``_island``: the start of the last row that lies beyond ``reach`` by more than ``gap``."""
     opens = F.expr(f"if(_reach is null or start - _reach > {gap}, start, null)")
@@ -85,7 +98,7 @@ def _running_start(df: DataFrame, window: WindowSpec, reach: Column, gap: int) -
 
 
 def _tile_islands(
-    pieces: DataFrame, keys: list[str], gap: int, aggs: Sequence[Agg], home: str | None
+    pieces: DataFrame, keys: list[str], gap: int, aggs: Sequence[Column]
 ) -> DataFrame:
     ordered = Window.partitionBy(TILE, *keys).orderBy("start", "end")
     # Running maximum, not the previous end: intervals may be nested.
@@ -93,7 +106,7 @@ def _tile_islands(
     return (
         _running_start(pieces, ordered, reach, gap)
         .groupBy(TILE, *keys, "_island")
-        .agg(F.expr("max(end) as end"), *[a.update(home) for a in aggs])
+        .agg(F.expr("max(end) as end"), *aggs)
     )
 
 
@@ -156,18 +169,10 @@ def region_members(
     return range_join(df, regions, keys, "start", "region_start", "_last", bin_bits).drop("_last")
 
 
-def id_lists(members: DataFrame, keys: Sequence[str], id_column: str = "id", part_bits: int = 12) -> DataFrame:
-    """Sorted, distinct, comma-joined ids of each region, for text sinks.
+def split_ids(df: DataFrame, column: str = "id") -> DataFrame:
+    """One row per id of a comma-joined list, as foreign files hold them.
 
-    A region longer than ``2**part_bits`` positions gives several rows (``part``
-    0, 1, ...), so that no list grows with the length of a region.
+    The library itself keeps one row per (region, id), see ``region_members``: a list
+    would grow with its region.
     """
-    part = tile_of(F.col("start") - F.col("region_start"), part_bits).alias("part")
-    return members.groupBy(*keys, "region_start", "region_end", part).agg(
-        F.array_join(F.array_sort(F.collect_set(id_column)), ",").alias("id")
-    )
-
-
-def split_ids(df: DataFrame, column: str = "id") -> DataFrame:
-    """One row per id of a comma-joined list."""
     return df.withColumn(column, F.explode(F.split(column, ",")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutsites.functions import coordinates as co
@@ -102,6 +104,10 @@ def below_limit(identities: DataFrame, oligo_len: int, limit: int) -> DataFrame:
     return identities.where((F.col("oligo_len") == oligo_len) & (F.col("identical_base_num") < limit))
 
 
+def _below(window: Column, length: int, limit: int) -> Callable[[Column], Column]:
+    return lambda oligo: identity_of_length(oligo, window, length) < limit
+
+
 def mispriming_filter(
     sites: DataFrame,
     chunks: DataFrame,
@@ -114,17 +120,18 @@ def mispriming_filter(
     """Keep sites whose upstream bases differ enough from their method's oligos at every length.
 
     One sequence fetch for the longest window; the comparison itself is a
-    predicate on the joined row.
+    predicate on the joined row. A method needs an oligo of every length; where it has
+    several of one length, the site must pass for each.
     """
     longest = max(limits)
     with_seq = upstream_sequence(sites, chunks, lengths, longest + flank, chunk_len)
     per_method = oligos.groupBy("library_method").agg(
-        *[F.max(F.when(F.col("oligo_len") == n, F.col("seq"))).alias(f"_oligo_{n}") for n in limits]
+        *[F.collect_set(F.when(F.col("oligo_len") == n, F.col("seq"))).alias(f"_oligos_{n}") for n in limits]
     )
     passed = F.lit(True)
     for n, limit in limits.items():
         window = F.expr(f"right(seq, {n + flank + 1})")
-        passed = passed & (identity_of_length(F.col(f"_oligo_{n}"), window, n) < limit)
+        passed = passed & (F.size(f"_oligos_{n}") > 0) & F.forall(f"_oligos_{n}", _below(window, n, limit))
     return with_seq.join(per_method, "library_method").where(passed).select(*sites.columns)
 
 

@@ -37,7 +37,7 @@ def pick_per_method(
     The number of methods is fixed, so a wide row replaces grouped collections and
     everything that follows (tiers, tightened bounds, long form) stays row-local.
     """
-    return merge_regions(intervals, keys, gap, [*[_method_pick(m) for m in methods], count_members()], tile_bits)
+    return merge_regions(intervals, keys, gap, [*[_method_pick(m) for m in methods], count_members()], tile_bits, few=True)
 
 
 def _explode_picks(methods: Sequence[str]) -> str:

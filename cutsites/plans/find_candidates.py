@@ -14,7 +14,10 @@ from cutsites.sources import sinks, tables
 
 @dataclass(frozen=True)
 class Inputs:
-    """Input tables; the sequence tables are optional (no mispriming filter without them)."""
+    """Input tables; the sequence tables are optional (no mispriming filter without them).
+
+    ``main_contigs`` lists the pairs (species, chr) to analyse.
+    """
 
     fragments: DataFrame
     spikeins: DataFrame
@@ -42,6 +45,7 @@ class Candidates:
     peaks: DataFrame
     ratios: DataFrame
     info: DataFrame
+    known: DataFrame | None = None
 
 
 def call_sites(inputs: Inputs, profile: Profile, tiled: DataFrame, design: DataFrame) -> DataFrame:
@@ -74,11 +78,11 @@ def stages(inputs: Inputs, profile: Profile, counts_path: str | None = None) ->
     sheet = C.recode_sheet(inputs.sheet, profile)
     sizes = C.library_sizes(inputs.fragments, inputs.spikeins, sheet)
     design = C.sample_design(sizes, sheet, profile)
-    counts = C.count_end5(inputs.fragments, sheet, profile, inputs.main_contigs)
+    counts = C.count_end5(inputs.fragments, sheet, profile)
     if counts_path:
         sinks.write_counts(counts, counts_path)
         counts = tables.read_counts_dataset(counts.sparkSession, counts_path)
-    tiled = sites.tile_counts(C.on_grid(counts, profile), profile.control_type)
+    tiled = sites.tile_counts(C.on_grid(counts, profile, inputs.main_contigs), profile.control_type)
     best = call_sites(inputs, profile, tiled, design)
     regions = tiers.merge_methods(best, profile)
     tiered = tiers.assign_tiers(regions, profile)
@@ -88,7 +92,12 @@ def stages(inputs: Inputs, profile: Profile, counts_path: str | None = None) ->
     peaks = tiers.tier_sites(tiered, profile.methods)
     ratios = ratio.cleavage_ratio(tiled, peaks, profile.ratio_windows)
     info = ratio.tier_info(ratios, profile, inputs.alias)
-    return Candidates(sheet, sizes, design, counts, tiled, best, regions, tiered, peaks, ratios, info)
+    known = None
+    if profile.known_sites:
+        listed = qc.with_ids(peaks, profile.known_sites)
+        own = ratio.cleavage_ratio(tiled, listed, profile.ratio_windows)
+        known = qc.known_site_report(own, design, profile.known_sites)
+    return Candidates(sheet, sizes, design, counts, tiled, best, regions, tiered, peaks, ratios, info, known)
 
 
 def find_candidates(inputs: Inputs, profile: Profile, counts_path: str | None = None) -> DataFrame:

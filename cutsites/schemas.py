@@ -25,6 +25,11 @@ GENOME_LENGTHS = _struct("chr string, length bigint")
 ALIAS_FOUR = _struct("UCSC string, ensembl string, ENA string, genbank string")
 ALIAS_TWO = _struct("genbank string, UCSC string")
 ALIAS_ONE = _struct("chr string")
+COUNTS = _struct(
+    "species string, sample string, library_method string, sample_rep string, sample_type string,"
+    " chr string, strand string, end5 bigint, count_end5 bigint"
+)
+MAIN_CONTIGS = _struct("species string, chr string")
 SITE_BED = _struct("chrom string, start bigint, end bigint, id string, cpm_end5_mean double, strand string")
 MERGED_BED = _struct("chr string, start bigint, end bigint, strand string, id string")
 OLIGOS = _struct("library_method string, oligo_len bigint, seq string")

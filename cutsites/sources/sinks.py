@@ -1,4 +1,4 @@
-"""Writers: partitioned datasets, BED and TSV text, one folder per key."""
+"""Writers: partitioned datasets, BED and TSV text, one folder per key. None replaces what already lies at its path."""
 
 from __future__ import annotations
 
@@ -19,14 +19,14 @@ def write_counts(counts: DataFrame, path: str) -> None:
     spread = F.shiftright("end5", 20)
     (
         counts.repartition(*SITE_KEYS, spread)
-        .write.mode("overwrite")
+        .write
         .partitionBy(*SITE_KEYS)
         .parquet(path)
     )
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    df.write.parquet(path)
 
 
 def sorted_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -37,13 +37,13 @@ def sorted_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def write_tsv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
     """Tab-separated text with a header."""
     out = sorted_by(df, order) if order else df
-    out.write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
+    out.write.option("header", True).option("sep", "\t").csv(path)
 
 
 def write_bed(df: DataFrame, path: str, order: Sequence[str] = ("chrom", "start")) -> None:
     """Headerless tab-separated intervals, sorted by contig and start."""
     out = sorted_by(df, order) if order else df
-    out.write.mode("overwrite").option("header", False).option("sep", "\t").csv(path)
+    out.write.option("header", False).option("sep", "\t").csv(path)
 
 
 def write_split(df: DataFrame, path: str, key: str, order: Sequence[str]) -> None:
@@ -54,7 +54,7 @@ def write_split(df: DataFrame, path: str, key: str, order: Sequence[str]) -> Non
     (
         df.repartitionByRange(*[F.asc_nulls_last(c) for c in (key, *order)])
         .sortWithinPartitions(*[F.asc_nulls_last(c) for c in (key, *order)])
-        .write.mode("overwrite")
+        .write
         .partitionBy(key)
         .option("sep", "\t")
         .csv(path)
@@ -63,4 +63,4 @@ def write_split(df: DataFrame, path: str, key: str, order: Sequence[str]) -> Non
 
 def write_report(df: DataFrame, path: str) -> None:
     """Report table as CSV with a header."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.option("header", True).csv(path)

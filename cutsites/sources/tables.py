@@ -35,9 +35,15 @@ def with_paths(sheet: DataFrame, root: str, kind: str) -> DataFrame:
 
 
 def read_sheet_fragments(spark: SparkSession, sheet: DataFrame, root: str, kind: str) -> DataFrame:
-    """Fragments of all samples of the sheet (only the list of paths reaches the driver)."""
-    rows = with_paths(sheet, root, kind).select("path").distinct().toLocalIterator()
-    return read_fragments(spark, sorted(r.path for r in rows if r.path is not None))
+    """Fragments of all samples of the sheet (only the list of paths reaches the driver).
+
+    A line without a path (no dataset or sample name) is an error: leaving it out would
+    change the number of replicates.
+    """
+    rows = with_paths(sheet, root, kind).select("sample", "path").distinct().collect()
+    if missing := sorted(str(r.sample) for r in rows if r.path is None):
+        raise ValueError(f"no path for the samples {', '.join(missing)}: dataset or sample is empty")
+    return read_fragments(spark, sorted({r.path for r in rows}))
 
 
 def read_genome_lengths(spark: SparkSession, path: str) -> DataFrame:
@@ -86,11 +92,13 @@ def read_site_bed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_oligos(spark: SparkSession, fasta_path: str) -> DataFrame:
-    """Oligos from FASTA files with one record each, named ``<a>_<method>_<length>``."""
-    lines = spark.read.text(fasta_path).select("value", "_metadata.file_path")
-    name = F.max(F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S+)", 1)))
-    seq = F.max(F.when(~F.col("value").startswith(">") & (F.length("value") > 0), F.trim("value")))
-    records = lines.groupBy("file_path").agg(name.alias("name"), seq.alias("seq"))
+    """Oligos from (small) FASTA files, records named ``<a>_<method>_<length>``; wrapped lines are joined in order."""
+    files = spark.read.text(fasta_path, wholetext=True)
+    records = files.select(F.explode(F.split(F.concat(F.lit("\n"), "value"), r"[\r\n]+>")).alias("record"))
+    records = records.where(F.trim("record") != "").select(
+        F.regexp_extract("record", r"^(\S*)", 1).alias("name"),
+        F.regexp_replace(F.regexp_replace("record", r"^[^\r\n]*", ""), r"\s+", "").alias("seq"),
+    )
     return records.select(
         k.token(F.col("name"), 2, "_").alias("library_method"),
         k.token(F.col("name"), 3, "_").try_cast("bigint").alias("oligo_len"),
@@ -101,6 +109,6 @@ def read_oligos(spark: SparkSession, fasta_path: str) -> DataFrame:
 def read_counts_dataset(spark: SparkSession, path: str) -> DataFrame:
     """Counts written by ``write_counts``; equality filters on the key columns prune folders.
 
-    Partition values must stay strings, see ``session.configure``.
+    The schema is explicit, so a contig named ``1`` stays text in any session.
     """
-    return spark.read.parquet(path)
+    return spark.read.schema(schemas.COUNTS).parquet(path)

@@ -39,6 +39,11 @@ THREE = replace(
     hotspots=(),
     edge_margin=None,
 )
+# Two species aligned to one genome: codes in the sample keys, two raw samples under one name.
+SPECIES_CODES = {"spA": "A1", "spB": "B1"}
+FOUR_2S = replace(FOUR, species_codes=SPECIES_CODES)
+THREE_2S = replace(THREE, species_codes=SPECIES_CODES)
+MAIN_CONTIGS = (("spA", "chr1"), ("spA", "chr2"), ("spA", "chr3"), ("spB", "chr3"), ("spB", "chr4"), ("spB", "chr5"))
 GRID = (RatioWindow(50, True), RatioWindow(100, True), RatioWindow(50, False), RatioWindow(100, False))
 
 OLIGOS = (
@@ -51,6 +56,8 @@ OLIGOS = (
     ("TC", 4, "CCCC"),
     ("TC", 10, "CCCCCCCCCC"),
 )
+# Ids of four regions that reach the first tier at every scale.
+KNOWN = ("spA|chr1|2161|-", "spA|chr1|3241|-", "spA|chr1|521|+", "spA|chr1|5401|-")
 ALIAS = (("chr1", "c1", None), ("chr2", "c2", None), ("chr3", None, "c3"))
 
 
@@ -62,8 +69,16 @@ def _method(index):
     return F.element_at(F.array(*[F.lit(m) for m in METHODS]), (index + 1).cast("int"))
 
 
-def fragments(spark: SparkSession, sf_dir: str, control: bool = False) -> DataFrame:
-    """Fragments from line items; with ``control``, the three-method variant with control samples."""
+def _sample(two: bool, species, lane, method, rep, kind):
+    """Sample key; with ``two`` species a raw name that differs from it and has a lane."""
+    key = F.concat(method, F.lit("|r"), rep.cast("string"), F.lit("|"), kind)
+    if not two:
+        return F.concat(F.lit("spA|"), key)
+    return F.concat(F.lit("raw_"), F.when(species == 0, "spA").otherwise("spB"), F.lit("_"), F.translate(key, "|", "_"), F.lit("_"), lane.cast("string"))
+
+
+def fragments(spark: SparkSession, sf_dir: str, control: bool = False, two: bool = False) -> DataFrame:
+    """Fragments from line items; with ``control``, the three-method variant with control samples; with ``two`` species on all contigs."""
     q = F.col("l_quantity").cast("bigint")
     key = F.expr("l_partkey div 5")
     pos = 201 + F.expr("(l_partkey div 5) div 3") * 40 + (key % 3) * 2
@@ -75,6 +90,8 @@ def fragments(spark: SparkSession, sf_dir: str, control: bool = False) -> DataFr
         (F.col("l_orderkey") % 3 + 1).alias("rep"),
         _method(F.expr("(l_orderkey div 3) % 4")).alias("method"),
         F.col("l_returnflag").alias("kind"),
+        (F.col("l_linenumber") % 2).alias("species"),
+        F.expr("(l_linenumber div 2) % 2").alias("lane"),
     )
     if control:
         base = base.where(F.col("method") != "L2").withColumn("kind", F.when(F.col("q") >= 46, "endo").otherwise(F.col("kind")))
@@ -86,11 +103,12 @@ def fragments(spark: SparkSession, sf_dir: str, control: bool = False) -> DataFr
         F.when(F.col("q") <= 2, "capped").otherwise("uncapped").alias("type"),
         F.col("q").alias("count_frag"),
         "strand",
-        F.concat(F.lit("spA|"), "method", F.lit("|r"), F.col("rep").cast("string"), F.lit("|"), "kind").alias("sample"),
+        _sample(two, F.col("species"), F.col("lane"), F.col("method"), F.col("rep"), F.col("kind")).alias("sample"),
     )
 
 
-def spikeins(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spikeins(spark: SparkSession, sf_dir: str, two: bool = False) -> DataFrame:
+    """Spike-ins from orders; with ``two`` species some are capped."""
     base = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("spike"), (F.col("o_custkey") % 3 + 1).cast("string")).alias("chr"),
         (F.col("o_custkey") % 20 + 101).alias("pos"),
@@ -99,6 +117,8 @@ def spikeins(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_orderkey") % 3 + 1).alias("rep"),
         _method(F.expr("(o_orderkey div 3) % 4")).alias("method"),
         F.expr("(o_orderkey div 12) % 3").alias("t"),
+        (F.col("o_custkey") % 2).alias("species"),
+        F.expr("(o_custkey div 2) % 2").alias("lane"),
     )
     plus = F.col("strand") == "+"
     kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.col("t") + 1).cast("int"))
@@ -106,14 +126,14 @@ def spikeins(spark: SparkSession, sf_dir: str) -> DataFrame:
         "chr",
         F.when(plus, F.col("pos") - 1).otherwise(F.col("pos") - 20).alias("start"),
         F.when(plus, F.col("pos") + 19).otherwise(F.col("pos")).alias("end"),
-        F.lit("uncapped").alias("type"),
+        (F.when(F.col("q") <= 2, "capped").otherwise("uncapped") if two else F.lit("uncapped")).alias("type"),
         F.col("q").alias("count_frag"),
         "strand",
-        F.concat(F.lit("spA|"), "method", F.lit("|r"), F.col("rep").cast("string"), F.lit("|"), kind).alias("sample"),
+        _sample(two, F.col("species"), F.col("lane"), F.col("method"), F.col("rep"), kind).alias("sample"),
     )
 
 
-def sample_sheet(spark: SparkSession, control: bool = False) -> DataFrame:
+def sample_sheet(spark: SparkSession, control: bool = False, two: bool = False) -> DataFrame:
     """Sheet of all designed samples, with one excluded line that must not count."""
     names = {v: n for n, v in PROFILE_HUMAN.method_names.items()}
     methods = [m for m in METHODS if not (control and m == "L2")]
@@ -124,6 +144,11 @@ def sample_sheet(spark: SparkSession, control: bool = False) -> DataFrame:
         for r in (1, 2, 3)
         for t in kinds
     ]
+    if two:
+        rows = [
+            (sp, f"raw_{sp}_{m}_r{r}_{t}_{lane}", names[m], f"rep{r}", t, f"run{r}#{t}", None)
+            for sp in SPECIES_CODES for m in methods for r in (1, 2, 3) for t in kinds for lane in (0, 1)
+        ]
     rows.append(("spA", "spA|L1|r9|A", "ligation_oligo1", "rep9", "A", "run9", "Y"))
     return local_table(spark, rows, schemas.SAMPLE_SHEET)
 
@@ -161,12 +186,13 @@ def alias(spark: SparkSession) -> DataFrame:
     return raw.select("chr", F.coalesce("alias", "fallback").alias("alias"))
 
 
-def inputs(spark: SparkSession, sf_dir: str, control: bool = False, sequences: bool = False) -> Inputs:
+def inputs(spark: SparkSession, sf_dir: str, control: bool = False, sequences: bool = False, two: bool = False) -> Inputs:
     return Inputs(
-        fragments=fragments(spark, sf_dir, control),
-        spikeins=spikeins(spark, sf_dir),
-        sheet=sample_sheet(spark, control),
+        fragments=fragments(spark, sf_dir, control, two),
+        spikeins=spikeins(spark, sf_dir, two),
+        sheet=sample_sheet(spark, control, two),
         lengths=genome_lengths(spark, sf_dir),
+        main_contigs=local_table(spark, list(MAIN_CONTIGS), schemas.MAIN_CONTIGS) if two else None,
         chunks=genome_chunks(spark, sf_dir) if sequences else None,
         chunk_len=CHUNK_LEN,
         oligos=oligos(spark) if sequences else None,

@@ -6,10 +6,18 @@ range joins without bins, stepwise means) and share no logic with the Spark plan
 
 from __future__ import annotations
 
+from cutsites.workloads.fixtures import KNOWN
+
 _M = "case m when 0 then 'L1' when 1 then 'L2' when 2 then 'TA' else 'TC' end"
 
 
-def _fragments(control: bool) -> str:
+def _sample(two: bool, kind: str) -> str:
+    """Recoded sample key."""
+    species = "case sp when 0 then 'A1|' else 'B1|' end" if two else "'spA|'"
+    return f"concat({species}, {_M}, '|r', cast(rep as varchar), '|', {kind})"
+
+
+def _fragments(control: bool, two: bool = False) -> str:
     kind = "case when q >= 46 then 'endo' else l_returnflag end" if control else "l_returnflag"
     only = "where m <> 1" if control else ""
     return f"""
@@ -18,9 +26,9 @@ select chr,
        cast(case when strand = '+' then pos + 19 + q else pos end as bigint) as "end",
        case when q <= 2 then 'capped' else 'uncapped' end as type,
        q as count_frag, strand,
-       concat('spA|', {_M}, '|r', cast(rep as varchar), '|', {kind}) as sample
+       {_sample(two, kind)} as sample
 from (select *, 201 + cast(floor(k / 3.0) as bigint) * 40 + (k % 3) * 2 as pos
-      from (select l_returnflag,
+      from (select l_returnflag, l_linenumber % 2 as sp,
                    concat('chr', cast(l_partkey % 5 + 1 as varchar)) as chr,
                    cast(floor(l_partkey / 5.0) as bigint) as k,
                    case l_linestatus when 'O' then '+' else '-' end as strand,
@@ -30,14 +38,15 @@ from (select *, 201 + cast(floor(k / 3.0) as bigint) * 40 + (k % 3) * 2 as pos
             from lineitem)) {only}"""
 
 
-_SPIKE = f"""
+def _spike(two: bool = False) -> str:
+    kind = "case when q <= 2 then 'capped' else 'uncapped' end" if two else "'uncapped'"
+    return f"""
 select chr,
        cast(case when strand = '+' then pos - 1 else pos - 20 end as bigint) as "start",
        cast(case when strand = '+' then pos + 19 else pos end as bigint) as "end",
-       'uncapped' as type, q as count_frag, strand,
-       concat('spA|', {_M}, '|r', cast(rep as varchar), '|',
-              case t when 0 then 'A' when 1 then 'N' else 'R' end) as sample
-from (select concat('spike', cast(o_custkey % 3 + 1 as varchar)) as chr, 101 + o_custkey % 20 as pos,
+       {kind} as type, q as count_frag, strand,
+       {_sample(two, "case t when 0 then 'A' when 1 then 'N' else 'R' end")} as sample
+from (select concat('spike', cast(o_custkey % 3 + 1 as varchar)) as chr, 101 + o_custkey % 20 as pos, o_custkey % 2 as sp,
              case when o_orderkey % 2 = 0 then '+' else '-' end as strand, 1 + o_orderkey % 10 as q,
              o_orderkey % 3 + 1 as rep, cast(floor(o_orderkey / 3.0) as bigint) % 4 as m,
              cast(floor(o_orderkey / 12.0) as bigint) % 3 as t
@@ -59,6 +68,9 @@ from (select *, case when "start" - max("end") over (
       from {source})"""
 
 
+# Contigs of each species.
+_MAIN = "('spA', 'chr1'), ('spA', 'chr2'), ('spA', 'chr3'), ('spB', 'chr3'), ('spB', 'chr4'), ('spB', 'chr5')"
+
 _CPM_ORDER = "round(cpm_end5_mean, 6) desc nulls last, id"
 
 _SITE_ID = "concat(species, '|', chr, '|', strand, '|', cast(end5 as varchar), '|', library_method)"
@@ -70,21 +82,23 @@ def pipeline(
     filters: str = "",
     tiers: str = "case when n >= 4 then 't0' when n = 3 then 't1' when n = 2 then 't2' end",
     edge: bool = False,
+    two: bool = False,
 ) -> dict[str, str]:
     """Named steps in dependency order."""
     steps: dict[str, str] = {}
-    steps["frags"] = _fragments(control)
-    steps["spike"] = _SPIKE
+    steps["frags"] = _fragments(control, two)
+    steps["spike"] = _spike(two)
+    species = "case split_part(sample, '|', 1) when 'A1' then 'spA' when 'B1' then 'spB' end" if two else "'spA'"
     steps["sizes"] = """
 select sample, cast(sum(count_frag) as bigint) as count_frag_sample
 from (select sample, count_frag from frags union all select sample, count_frag from spike) group by sample"""
-    steps["counts_all"] = """
-select 'spA' as species, sample, split_part(sample, '|', 2) as library_method,
+    steps["counts_all"] = f"""
+select {species} as species, sample, split_part(sample, '|', 2) as library_method,
        split_part(sample, '|', 3) as sample_rep, split_part(sample, '|', 4) as sample_type,
        chr, strand, end5, cast(sum(count_frag) as bigint) as count_end5
 from (select *, case when strand = '+' then "start" + 1 else "end" end as end5 from frags where type <> 'capped')
 group by all"""
-    steps["counts"] = "select * from counts_all where sample_type <> 'endo'"
+    steps["counts"] = "select * from counts_all where sample_type <> 'endo'" + (f" and (species, chr) in ({_MAIN})" if two else "")
     steps["design"] = """
 select split_part(sample, '|', 2) as library_method,
        count(distinct split_part(sample, '|', 3)) as n_rep, count(distinct split_part(sample, '|', 4)) as n_type
@@ -289,6 +303,12 @@ def _outside_hotspots(steps: dict[str, str]) -> dict[str, str]:
     return steps
 
 
+_KNOWN_SQL = f"""
+select * from (select distinct tier, peak_id, r.sample, library_method, sample_rep, sample_type, cs,
+round(cs * 1e6 / count_frag_sample, 6) as cpm from ratios r join sizes z on z.sample = r.sample
+where peak_id in ({_in_list(KNOWN)}))"""
+
+
 def oracle_sql() -> dict[str, str]:
     four = pipeline()
     counted = with_ratios(four)
@@ -316,6 +336,14 @@ select w.*, case when strand = '+' then substr(bases, cast("start" + 1 as bigint
 from w join genome using (chr)"""
         return steps
 
+    wide = dict(four)
+    wide["wide_islands"] = _islands("sites", "species, library_method, chr, strand", 60)
+    wide["wide_regions"] = """
+select species, library_method, chr, strand, region, min("start") as region_start, max("end") as region_end
+from wide_islands group by all"""
+    two = pipeline(two=True)
+    two_full = with_ratios(_outside_hotspots(pipeline(filters="identity", two=True)), tiered="cool")
+    three_two = pipeline(two=True, **_THREE)
     lists = dict(four)
     lists["members"] = """
 select r.species, r.library_method, r.chr, r.strand, region_start, region_end, s.id, s."start"
@@ -326,7 +354,38 @@ from site_islands s join regions r
     frag["f"] = "select *, 0 as end5, '' as library_method from frags"
     frag["fi"] = _islands("f", "sample, chr, strand", 0)
 
+    best_columns = f"select species, library_method, chr, strand, region_start, region_end, end5, {info_cpm}, id from {all_rows}"
+
+    def spike_sql(species: str) -> str:
+        return f"""select {species} as species, s.sample, split_part(s.sample, '|', 2) as library_method,
+            split_part(s.sample, '|', 3) as sample_rep, split_part(s.sample, '|', 4) as sample_type, chr, strand, end5,
+            count_end5, count_frag_sample, round(count_end5 * 1e6 / count_frag_sample, 6) as cpm_end5
+            from (select sample, chr, strand, case when strand = '+' then "start" + 1 else "end" end as end5,
+                  cast(sum(count_frag) as bigint) as count_end5 from spike where type <> 'capped' group by all) s
+            left join sizes z on z.sample = s.sample"""
+
+    two_species = "case split_part(s.sample, '|', 1) when 'A1' then 'spA' else 'spB' end"
     return {
+        "library_sizes_2s": sql(two, "select * from sizes"),
+        "design_numbers_2s": sql(
+            two,
+            """select case split_part(sample, '|', 1) when 'A1' then 'spA' else 'spB' end as species,
+            split_part(sample, '|', 2) as library_method, count(distinct split_part(sample, '|', 3)) as n_rep,
+            count(distinct split_part(sample, '|', 4)) as n_type from sizes group by 1, 2""",
+        ),
+        "end5_counts_2s": sql(two, f"select {count_columns} from counts_all"),
+        "end5_counts_grid_2s": sql(two, f"select {count_columns} from counts"),
+        "spikein_cpm_2s": sql(two, spike_sql(two_species)),
+        "region_best_site_2s": sql(two, best_columns),
+        "background_all_2s": sql(
+            three_two,
+            f"""select {_SITE_ID} as site_id from counts_all where sample_type = 'endo'
+            group by species, library_method, chr, strand, end5
+            having count(*) >= 3""",
+        ),
+        "tier_info_2s": sql(with_ratios(two), _info_sql(_FOUR_METHODS)),
+        "tier_info_multi": sql(two_full, _info_sql(_FOUR_METHODS)),
+        "tier_info_3m_2s": sql(with_ratios(three_two), _info_sql(_THREE["methods"])),
         "library_sizes": sql(four, "select * from sizes"),
         "design_numbers": sql(
             four,
@@ -378,10 +437,28 @@ from site_islands s join regions r
         ),
         "merge_d5_id_lists": sql(
             lists,
-            """select species, library_method, chr, strand, region_start, region_end,
-            cast(floor(("start" - region_start) / 4096.0) as bigint) as part, string_agg(distinct id, ',' order by id) as id
-            from members group by all""",
+            """select species, library_method, chr, strand, region_start, region_end, id,
+            count(*) over (partition by species, library_method, chr, strand, region_start) as n_ids from members""",
+        ),
+        "merge_d60_members": sql(
+            wide,
+            """select i.species, i.library_method, i.chr, i.strand, region_start, region_end, id
+            from wide_islands i join wide_regions r
+            on i.species = r.species and i.library_method = r.library_method and i.chr = r.chr and i.strand = r.strand
+            and i.region = r.region""",
+        ),
+        "sample_crosstab": sql(
+            four,
+            """select library_method, sample_type, count(*) as n from (select distinct split_part(sample, '|', 2) as library_method,
+            split_part(sample, '|', 3) as sample_rep, split_part(sample, '|', 4) as sample_type from sizes) group by 1, 2""",
+        ),
+        "lengths_roundtrip": sql(four, "select chr, cast(length as bigint) as length from genome_len"),
+        "genome_roundtrip": sql(
+            seq,
+            """select chr, i as chunk, substr(bases, cast(96 * i + 1 as bigint), 96) as seq
+            from (select chr, bases, unnest(range(0, cast(ceil(length(bases) / 96.0) as bigint))) as i from genome)""",
         ),
+        "report_roundtrip": sql(counted, _KNOWN_SQL + " cross join (values ('csv'), ('parquet')) f(form)"),
         "fragment_islands": sql(
             frag,
             """select sample, chr, strand, min("start") as "start", max("end") as "end", count(*) as n_fragments,
@@ -421,9 +498,7 @@ from site_islands s join regions r
         ),
         "tier_by_method": sql(
             four,
-            "select tier, "
-            + ", ".join(f"count(case when library_method = '{m}' then 1 end) as {m}" for m in _FOUR_METHODS)
-            + " from tiered group by tier",
+            "select tier, library_method, count(*) as n from tiered group by tier, library_method",
         ),
         "window_regions": sql(
             four,
@@ -479,9 +554,7 @@ from site_islands s join regions r
         ),
         "known_sites": sql(
             counted,
-            """select distinct tier, peak_id, r.sample, library_method, sample_rep, sample_type, cs,
-            round(cs * 1e6 / count_frag_sample, 6) as cpm from ratios r join sizes z on z.sample = r.sample
-            where peak_id in (select distinct peak_id from tiered where tier = 't0' order by peak_id limit 4)""",
+            _KNOWN_SQL,
         ),
         "tier_info_full": sql(full, _info_sql(_FOUR_METHODS)),
         "partition_roundtrip": sql(four, f"select {count_columns} from counts_all"),

@@ -25,15 +25,17 @@ from cutsites.workloads import fixtures as fx
 class Lab:
     """The steps of one run over one scale, each built when first asked for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, control: bool = False):
+    def __init__(self, spark: SparkSession, sf_dir: str, control: bool = False, two: bool = False):
         self.spark = configure(spark)
         self.sf_dir = sf_dir
         self.control = control
-        self.profile: Profile = fx.THREE if control else fx.FOUR
+        self.two = two
+        one = fx.THREE if control else fx.FOUR
+        self.profile: Profile = (fx.THREE_2S if control else fx.FOUR_2S) if two else one
 
     @cached_property
     def inputs(self) -> Inputs:
-        return fx.inputs(self.spark, self.sf_dir, self.control, sequences=True)
+        return fx.inputs(self.spark, self.sf_dir, self.control, sequences=True, two=self.two)
 
     @cached_property
     def sheet(self) -> DataFrame:
@@ -53,7 +55,8 @@ class Lab:
 
     @cached_property
     def tiled(self) -> DataFrame:
-        return sites.tile_counts(self.counts, self.profile.control_type)
+        counts = C.on_grid(self.counts, self.profile, self.inputs.main_contigs)
+        return sites.tile_counts(counts, self.profile.control_type)
 
     @cached_property
     def means(self) -> DataFrame:
@@ -97,8 +100,8 @@ def library_sizes(lab: Lab) -> DataFrame:
 
 
 def design_numbers(lab: Lab) -> DataFrame:
-    reps = C.number_of(lab.sizes, "sample_rep").withColumnRenamed("n", "n_rep")
-    types = C.number_of(lab.sizes, "sample_type").withColumnRenamed("n", "n_type")
+    reps = C.number_of(lab.sizes, lab.sheet, "sample_rep").withColumnRenamed("n", "n_rep")
+    types = C.number_of(lab.sizes, lab.sheet, "sample_type").withColumnRenamed("n", "n_type")
     return reps.join(types, ["species", "library_method"])
 
 
@@ -115,11 +118,22 @@ def end5_counts(lab: Lab) -> DataFrame:
 
 
 def end5_counts_main_contigs(lab: Lab) -> DataFrame:
-    """Deny list and allow table at once."""
+    """Deny list and table of (species, contig) pairs at once."""
     i = lab.inputs
     denied = replace(lab.profile, chr_deny=("chr5",))
-    listed = i.lengths.where(F.col("chr") != "chr1")
-    return C.count_end5(i.fragments, lab.sheet, denied, listed)
+    listed = i.lengths.where(F.col("chr") != "chr1").withColumn("species", F.lit("spA"))
+    return C.on_grid(C.count_end5(i.fragments, lab.sheet, denied), denied, listed)
+
+
+def end5_counts_grid(lab: Lab) -> DataFrame:
+    """Counts on the contigs listed for the species of their sample."""
+    return C.on_grid(lab.counts, lab.profile, lab.inputs.main_contigs)
+
+
+def sample_crosstab(lab: Lab) -> DataFrame:
+    """Samples with a size, by method and type."""
+    seen = C.sample_details(lab.sheet).join(lab.sizes, "sample", "left_semi")
+    return qc.contingency(seen, "library_method", "sample_type")
 
 
 def spikein_cpm(lab: Lab) -> DataFrame:
@@ -157,7 +171,16 @@ def merge_d5_members(lab: Lab) -> DataFrame:
 
 
 def merge_d5_id_lists(lab: Lab) -> DataFrame:
-    return regions.id_lists(regions.region_members(_unit(lab), SITE_KEYS, 5), SITE_KEYS)
+    """Ids of each region, one row per id, with their number."""
+    members = regions.region_members(_unit(lab), SITE_KEYS, 5)
+    sizes = regions.merge_regions(_unit(lab), SITE_KEYS, 5, [regions.count_members("n_ids")])
+    sizes = sizes.withColumnsRenamed({"start": "region_start", "end": "region_end"})
+    return members.join(sizes, [*SITE_KEYS, "region_start", "region_end"]).drop("start", "end")
+
+
+def merge_d60_members(lab: Lab) -> DataFrame:
+    """Regions of thousands of positions."""
+    return regions.region_members(_unit(lab), SITE_KEYS, 60).select(*SITE_KEYS, "region_start", "region_end", "id")
 
 
 def fragment_islands(lab: Lab) -> DataFrame:
@@ -218,7 +241,7 @@ def tier_region_bounds(lab: Lab) -> DataFrame:
 
 
 def tier_by_method(lab: Lab) -> DataFrame:
-    return qc.contingency(lab.peaks, "tier", "library_method", lab.profile.methods)
+    return qc.contingency(lab.peaks, "tier", "library_method")
 
 
 # Ratios --------------------------------------------------------------------------
@@ -335,7 +358,7 @@ def background_any(lab: Lab) -> DataFrame:
 
 def background_all(lab: Lab) -> DataFrame:
     control = C.split_controls(lab.counts, "endo")[0]
-    n_rep = C.number_of(lab.sizes, "sample_rep", "endo")
+    n_rep = C.number_of(lab.sizes, lab.sheet, "sample_rep", "endo")
     return sites.control_sites(control, n_rep).select(k.site_id().alias("site_id"))
 
 
@@ -378,9 +401,10 @@ def position_ecdf(lab: Lab) -> DataFrame:
 
 
 def known_sites(lab: Lab) -> DataFrame:
-    """Report on the first four top-tier regions in id order."""
-    first = lab.tiered.where("tier = 't0'").select("peak_id").orderBy("peak_id").limit(4)
-    return _rounded(qc.known_site_report(lab.ratios(), lab.design, first), "cpm")
+    """Report on four regions given by id, chosen before the range join."""
+    listed = qc.with_ids(lab.peaks, fx.KNOWN)
+    ratios = ratio.cleavage_ratio(lab.tiled, listed, lab.profile.ratio_windows)
+    return _rounded(qc.known_site_report(ratios, lab.design, fx.KNOWN), "cpm")
 
 
 # Whole analyses ------------------------------------------------------------------
@@ -418,15 +442,40 @@ def fragment_roundtrip(lab: Lab) -> DataFrame:
 
 
 def merged_bed_roundtrip(lab: Lab) -> DataFrame:
-    """Merged regions with id lists as text, read back and unnested to one row per id."""
+    """Merged regions with their ids as text, read back and unnested to one row per id."""
     path = scratch_path(lab.spark, "merged")
-    lists = merge_d5_id_lists(lab).select(
+    lists = merge_d5_members(lab).select(
         k.contig_key().alias("chr"), F.col("region_start").alias("start"), F.col("region_end").alias("end"), "strand", "id"
     )
     sinks.write_bed(lists, path, order=("chr", "start"))
     return regions.split_ids(tables.read_merged_bed(lab.spark, path))
 
 
+def lengths_roundtrip(lab: Lab) -> DataFrame:
+    path = scratch_path(lab.spark, "lengths")
+    sinks.write_bed(lab.inputs.lengths, path, order=("chr",))
+    return tables.read_genome_lengths(lab.spark, path)
+
+
+def genome_roundtrip(lab: Lab) -> DataFrame:
+    """The genome written as one wrapped FASTA record per contig, scanned back into longer chunks over several splits."""
+    path = scratch_path(lab.spark, "genome")
+    lines = lab.inputs.chunks.select("chr", F.struct("chunk", "seq").alias("line"))
+    records = lines.groupBy("chr").agg(F.sort_array(F.collect_list("line")).alias("lines"))  # the test genome is small
+    text = F.concat(F.lit(">"), "chr", F.lit("\n"), F.array_join("lines.seq", "\n"))
+    records.select(text.alias("value")).repartition(3).write.text(path)
+    return fasta.read_genome_chunks(lab.spark, path, 3 * fx.CHUNK_LEN)
+
+
+def report_roundtrip(lab: Lab) -> DataFrame:
+    """The report on known sites as CSV and as Parquet, read back."""
+    report, path = known_sites(lab), scratch_path(lab.spark, "report")
+    sinks.write_report(report, f"{path}/csv")
+    sinks.write_parquet(report, f"{path}/parquet")
+    text = lab.spark.read.schema(report.schema).option("header", True).csv(f"{path}/csv")
+    return text.withColumn("form", F.lit("csv")).unionByName(lab.spark.read.parquet(f"{path}/parquet").withColumn("form", F.lit("parquet")))
+
+
 def tsv_roundtrip(lab: Lab) -> DataFrame:
     path = scratch_path(lab.spark, "tiers")
     bounds = tier_region_bounds(lab)
@@ -451,6 +500,7 @@ FOUR_METHOD = [
     end5_counts_by_type,
     end5_counts,
     end5_counts_main_contigs,
+    sample_crosstab,
     spikein_cpm,
     samples_without_size,
     reproducible_sites,
@@ -458,6 +508,7 @@ FOUR_METHOD = [
     merge_d5_regions,
     merge_d5_members,
     merge_d5_id_lists,
+    merge_d60_members,
     fragment_islands,
     region_best_site,
     site_windows,
@@ -495,6 +546,9 @@ FOUR_METHOD = [
     bed_roundtrip,
     fragment_roundtrip,
     merged_bed_roundtrip,
+    lengths_roundtrip,
+    genome_roundtrip,
+    report_roundtrip,
     tsv_roundtrip,
     split_by_method,
 ]
@@ -510,9 +564,24 @@ THREE_METHOD = {
 }
 
 
-def _bind(step: Callable[[Lab], DataFrame], control: bool) -> Callable[[SparkSession, str], DataFrame]:
+#: Two species on one genome: with control samples or without.
+TWO_SPECIES = {
+    "library_sizes_2s": (library_sizes, False),
+    "design_numbers_2s": (design_numbers, False),
+    "end5_counts_2s": (end5_counts, False),
+    "end5_counts_grid_2s": (end5_counts_grid, False),
+    "spikein_cpm_2s": (spikein_cpm, False),
+    "region_best_site_2s": (region_best_site, False),
+    "background_all_2s": (background_all, True),
+    "tier_info_2s": (tier_info, False),
+    "tier_info_multi": (tier_info_full, False),
+    "tier_info_3m_2s": (tier_info, True),
+}
+
+
+def _bind(step: Callable[[Lab], DataFrame], control: bool, two: bool = False) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return step(Lab(spark, sf_dir, control))
+        return step(Lab(spark, sf_dir, control, two))
 
     run.__doc__ = step.__doc__
     return run
@@ -521,4 +590,5 @@ def _bind(step: Callable[[Lab], DataFrame], control: bool) -> Callable[[SparkSes
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registry = {step.__name__: _bind(step, False) for step in FOUR_METHOD}
     registry.update({name: _bind(step, True) for name, step in THREE_METHOD.items()})
+    registry.update({name: _bind(step, control, True) for name, (step, control) in TWO_SPECIES.items()})
     return registry

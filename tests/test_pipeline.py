@@ -10,6 +10,7 @@ import __spark_entry__ as entry_module
 from cutsites.plans.find_candidates import stages
 from cutsites.session import scratch_path
 from cutsites.workloads import fixtures as fx
+from cutsites.workloads import oracle, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,7 +25,8 @@ def rows(df):
 
 
 def test_every_query_has_sql():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(queries.queries()) == set(oracle.oracle_sql())
+    assert set(queries.queries()) <= set(entry_module.queries()) and set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
 def test_fragments_are_aggregated_once(spark, run):

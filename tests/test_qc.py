@@ -62,5 +62,16 @@ def test_known_sites_and_contingency(spark):
     design = spark.createDataFrame([("s", 1_000_000, "r1", "A")], "sample string, count_frag_sample long, sample_rep string, sample_type string")
     got = [tuple(r) for r in qc.known_site_report(ratios, design, ["p"]).collect()]
     assert got == [("t0", "p", "s", "L1", "r1", "A", 2, 2.0)]
-    table = qc.contingency(ratios, "peak_id", "library_method", ["L1", "TA"]).orderBy("peak_id")
-    assert [tuple(r) for r in table.collect()] == [("p", 2, 0), ("x", 1, 0)]
+    more = ratios.union(ratios.limit(1).selectExpr("tier", "peak_id", "sample", "'new' as library_method", "cs"))
+    table = qc.contingency(more, "peak_id", "library_method").orderBy("peak_id", "library_method")
+    assert [tuple(r) for r in table.collect()] == [("p", "L1", 2), ("p", "new", 1), ("x", "L1", 1)]
+    assert [r.peak_id for r in qc.with_ids(ratios, ["x"]).collect()] == ["x"]
+
+
+def test_distribution_evaluates_its_input_once(spark):
+    positions = spark.range(100).selectExpr("'c' as chr", "id as start", "id / 100.0D as coor_per")
+    plan = qc.position_ecdf(positions, ["chr"], tile_bits=3)
+    assert len(plan.collect()) == 100
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    final = text.split("Initial Plan")[0]
+    assert final.count("Range (0, 100") == 1 and "ReusedExchange" in final

@@ -67,11 +67,25 @@ def test_members_and_lists(spark):
     assert sorted((r.region_start, r.region_end, r.id) for r in members.collect()) == [
         (1, 4, "i00001"), (1, 4, "i00003"), (10, 11, "i00010"), (30, 33, "i00030"), (30, 33, "i00031"), (30, 33, "i00032"),
     ]
-    lists = R.id_lists(members, ["key"], part_bits=1)
-    assert sorted((r.region_start, r.part, r.id) for r in lists.collect()) == [
-        (1, 0, "i00001"), (1, 1, "i00003"), (10, 0, "i00010"), (30, 0, "i00030,i00031"), (30, 1, "i00032"),
-    ]
-    assert R.split_ids(lists).count() == 6
+    lists = spark.createDataFrame([("r1", "a,b"), ("r2", "c")], "region string, id string")
+    assert sorted((r.region, r.id) for r in R.split_ids(lists).collect()) == [("r1", "a"), ("r1", "b"), ("r2", "c")]
+
+
+def test_members_of_a_long_region(spark):
+    """A region of 9,000 positions is one region, whatever the tiles, with one row per member."""
+    df = spark.range(0, 9000, 3).selectExpr("'a' as key", "id as start", "id + 1 as end", "string(id) as id")
+    members = R.region_members(df, ["key"], 5, tile_bits=9)
+    assert members.select("region_start", "region_end").distinct().collect() == [(0, 8998)]
+    assert members.count() == 3000
+
+
+def test_equal_intervals_are_combined_before_the_window(spark):
+    """One deep locus is one row for the sort of its tile."""
+    df = spark.range(5000).selectExpr("'a' as key", "id % 3 as start", "10L as end", "id % 2 as v")
+    pieces = R._distinct_pieces(R._cut_at_tiles(df, 14), ["key"], [R.count_members("n"), R.Agg("v", "sum", "v")])
+    assert pieces.count() == 3
+    got = R.merge_regions(df, ["key"], 0, [R.count_members("n"), R.Agg("v", "sum", "v")])
+    assert [tuple(r) for r in got.collect()] == [("a", 0, 10, 5000, 2500)]
 
 
 def test_range_join_equals_theta_join(spark):
@@ -88,7 +102,7 @@ def test_range_join_equals_theta_join(spark):
 def test_no_task_depends_on_a_whole_contig(spark):
     """The windows of the merge are keyed by tile or border group, never by contig alone."""
     df = spark.range(10).selectExpr("'a' as key", "id as start", "id + 1 as end")
-    plan = R.merge_regions(df, ["key"], 5)._jdf.queryExecution().executedPlan().toString()
+    plan = R.merge_regions(df, ["key"], 5, few=True)._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "hashpartitioning" in line]
     assert len(exchanges) == 2
     assert "tile" in exchanges[1] and "_group" in exchanges[0]

@@ -88,3 +88,16 @@ def test_fasta_over_many_splits(spark, tmp_path):
     finally:
         for name, value in old.items():
             spark.conf.set(name, value)
+
+
+def test_every_oligo_of_a_length_counts(spark):
+    """A second oligo of the same length must not hide the first one."""
+    bases = "TTTTACGATTTT"
+    site = spark.createDataFrame([("sp", "TA", "chr1", "+", 8)], "species string, library_method string, chr string, strand string, end5 long")
+    lengths = spark.createDataFrame([("chr1", 12)], schemas.GENOME_LENGTHS)
+    for oligos, kept in (([("TA", 4, "TACG")], 0), ([("TA", 4, "TACG"), ("TA", 4, "TTTT")], 0), ([("TA", 4, "GGGG"), ("TA", 4, "CCCC")], 1)):
+        oligo = spark.createDataFrame(oligos, schemas.OLIGOS)
+        got = S.mispriming_filter(site, genome(spark, bases, 4), lengths, oligo, {4: 4}, 0, 4)
+        with_seq = S.upstream_sequence(site, genome(spark, bases, 4), lengths, 4, 4)
+        ids = S.oligo_identities(with_seq, oligo, 0)
+        assert got.count() == kept == int(S.below_limit(ids, 4, 4).count() == len(oligos))

@@ -172,3 +172,22 @@ def test_background_and_edges(spark):
     assert sites.control_sites(back, n_rep).count() == 1
     assert sites.control_sites(back.limit(1), n_rep).count() == 0
     assert sites.control_sites(back).count() == 1
+
+
+def test_species_codes_and_contig_pairs(spark):
+    """Codes in the sample key meet names in the sheet; contigs count for their own species only."""
+    names = ("Drosophila", "Trichoderma")
+    rows = [(sp, f"raw{i}", "ligation", r, t, "d", None) for sp in names for i, (r, t) in enumerate([("r1", "A"), ("r2", "A"), ("r1", "endo"), ("r2", "endo")])]
+    rows = [(sp, f"{sp}-{s}", *rest) for sp, s, *rest in rows]
+    sheet = C.recode_sheet(sheet_rows(spark, rows), PROFILE_CONTROL)
+    frags = spark.createDataFrame([(c, 5, 9, "x", 3, "+", r[1]) for r in rows for c in ("c1", "c2")], schemas.FRAGMENTS)
+    sizes = C.library_sizes(frags, frags.limit(0), sheet)
+    n_rep = C.number_of(sizes, sheet, "sample_rep", "endo")
+    assert sorted(map(tuple, n_rep.collect())) == [(n, "L1", 2) for n in names]
+    counts = C.count_end5(frags, sheet, PROFILE_CONTROL)
+    control, _ = C.split_controls(counts, "endo")
+    assert sites.control_sites(control).count() == 4
+    assert sites.control_sites(control, n_rep).count() == 4
+    main = spark.createDataFrame([("Drosophila", "c1"), ("Trichoderma", "c2")], schemas.MAIN_CONTIGS)
+    grid = C.on_grid(counts, PROFILE_CONTROL, main)
+    assert {(r.species, r.chr) for r in grid.collect()} == {("Drosophila", "c1"), ("Trichoderma", "c2")}

@@ -1,5 +1,9 @@
 """Readers and sinks over small files."""
 
+import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+
 from cutsites import schemas
 from cutsites.operators import counts as C
 from cutsites.profile import PROFILE_MULTI
@@ -26,6 +30,9 @@ def test_sheet_paths_and_fragments(spark, tmp_path):
     assert paths == ["/root_dir/run1/results/04.bed/s1_spikeins.bed", "/root_dir/run2/results/04.bed/s2_spikeins.bed"]
     frags = tables.read_sheet_fragments(spark, recoded, str(tmp_path), "genome")
     assert frags.schema == schemas.FRAGMENTS and frags.count() == 4
+    with pytest.raises(ValueError, match="s2"):
+        bad = sheet.withColumn("dataset", F.when(F.col("sample") != "s2", F.col("dataset")))
+        tables.read_sheet_fragments(spark, C.recode_sheet(bad, PROFILE_MULTI), str(tmp_path), "genome")
     counts = C.count_end5(frags, recoded, PROFILE_MULTI)
     assert sorted((r.sample, r.end5, r.count_end5) for r in counts.collect()) == [
         ("mouse|TA|r1|A", 6, 3), ("mouse|TA|r2|A", 6, 3),
@@ -49,8 +56,9 @@ def test_alias_tables(spark, tmp_path):
 def test_oligos(spark, tmp_path):
     for name, seq in (("oligo_TA_4", "AAAA"), ("oligo_TA_10", "A" * 10)):
         (tmp_path / f"{name}.fa").write_text(f">{name} text\n{seq}\n")
+    (tmp_path / "wrapped.fa").write_text(">x_L1_10 text\nACGT\nTTGC\nAA\n\n>x_L1_4\nACGT")
     got = tables.read_oligos(spark, str(tmp_path)).collect()
-    assert sorted(map(tuple, got)) == [("TA", 4, "AAAA"), ("TA", 10, "A" * 10)]
+    assert sorted(map(tuple, got)) == [("L1", 4, "ACGT"), ("L1", 10, "ACGTTTGCAA"), ("TA", 4, "AAAA"), ("TA", 10, "A" * 10)]
 
 
 COUNTS = "species string, sample string, library_method string, sample_rep string, sample_type string, chr string, strand string, end5 long, count_end5 long"
@@ -62,7 +70,12 @@ def test_partitioned_counts_prune(spark):
     df = spark.createDataFrame(rows, COUNTS)
     path = scratch_path(spark, "counts")
     sinks.write_counts(df, path)
+    inference = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    spark.conf.unset(inference)  # the reader does not depend on it
     back = tables.read_counts_dataset(spark, path)
+    spark.conf.set(inference, "false")
+    with pytest.raises(AnalysisException):
+        sinks.write_counts(df, path)  # nothing is replaced
     assert sorted(map(tuple, back.select(*df.columns).collect())) == sorted(rows)
     some = back.where("chr = '1' and strand = '+' and library_method = 'TA'")
     plan = some._jdf.queryExecution().executedPlan().toString()
