@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 19
+CHUNK_ROWS = 1 << 16
 
 _STEP = 0x9E3779B97F4A7C15 | 1
 _STEP_INVERSE = pow(_STEP, -1, 1 << 64)
@@ -52,6 +53,17 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((prefix[end] - prefix[start]) * _power_table(_STEP_INVERSE, len(prefix))[start])
 
 
+def window_hashes(values: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every n values in a row."""
+    prefix = running(values)
+    out = prefix[n:] - prefix[:-n]
+    out *= _power_table(_STEP_INVERSE, len(out))
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(32)
+    return out
+
+
 BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64))
 _lower = np.arange(256)
 _lower[65:91] += 32
@@ -104,12 +116,12 @@ def texts_of(array: pa.Array) -> Texts:
 
 
 def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """Slices of a batch with at most ``limit`` bytes of text (a longer text alone)."""
+    """Slices of a batch with at most ``limit`` bytes of text (a longer text alone) and ``CHUNK_ROWS`` rows."""
     whole = texts_of(batch.column(batch.schema.get_field_index(text)))
     begin = 0
     while begin < len(whole):
         end = int(np.searchsorted(whole.offsets, whole.offsets[begin] + limit, "right")) - 1
-        end = min(max(end, begin + 1), len(whole))
+        end = min(max(end, begin + 1), begin + CHUNK_ROWS, len(whole))
         low, high = whole.offsets[begin], whole.offsets[end]
         yield batch.slice(begin, end - begin), Texts(whole.data[low:high], whole.offsets[begin : end + 1] - low)
         begin = end

@@ -13,7 +13,7 @@ of them a shuffle of packed arrays:
    Strings equal over 50 bytes meet, and the smallest document of each goes back to the text groups;
 5. a text group marks the strings that start in a smaller document and cuts the covered bytes.
 
-Text groups (8 MB) and hash ranges (the anchors of 16 MB) grow in number with the input, not in size. A string that very many
+Text groups (8 MB) and hash ranges (the anchors of 4 MB) grow in number with the input, not in size. A string that very many
 documents share is sent once by each text group. Strings are judged on the input, not on what is left.
 
 Null and empty texts have no bytes; texts under 50 bytes lose none. Documents with equal ids are not smaller than each other, so repeated
@@ -22,7 +22,7 @@ rows all keep what no smaller id has; a null id is larger than all others. Other
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cutsites.llm.arrays import BYTE_CODES, Texts, chunks, covered, mix, range_hash, running
+from cutsites.llm.arrays import BYTE_CODES, Texts, chunks, covered, range_hash, running, window_hashes
 from cutsites.llm.common import TEXT, ship
 
 LENGTH, ANCHOR = 50, 20
-GROUP_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
+GROUP_BYTES, RANGE_BYTES = 8 << 20, 4 << 20
 SHALLOW = 16
 _NO_ID = np.iinfo(np.int64).max
 _LOW24 = np.uint64((1 << 24) - 1)
@@ -43,30 +43,28 @@ _LOW24 = np.uint64((1 << 24) - 1)
 def anchors(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per anchor: text, first and last start of the strings it stands for, and its hash (48 bits)."""
     data, n = texts.data, len(texts.data)
-    none = np.zeros(0, np.int64)
     if n < LENGTH:
+        none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64)
-    at = np.arange(n - ANCHOR + 1)
-    hashes = range_hash(running(BYTE_CODES[data]), at, at + ANCHOR)
-    value = (hashes & ~_LOW24) | (at.astype(np.uint64) & _LOW24)
+    hashes = window_hashes(BYTE_CODES[data], ANCHOR)
+    value = hashes & ~_LOW24
+    value |= np.arange(len(value), dtype=np.uint64) & _LOW24
     width, have = LENGTH - ANCHOR + 1, 1
     while have * 2 <= width:
         value = np.minimum(value[:-have], value[have:])
         have *= 2
     value = np.minimum(value[: len(value) - (width - have)], value[width - have :])
-    start = np.arange(n - LENGTH + 1)
-    # Starts whose string lies inside one text.
-    text = np.repeat(np.arange(len(texts)), np.diff(texts.offsets))[: len(start)]
-    inside = start + LENGTH <= texts.offsets[text + 1]
-    start, text, value = start[inside], text[inside], value[inside]
-    if not len(start):
-        return none, none, none, none.astype(np.uint64)
-    owner = start + ((value & _LOW24).astype(np.int64) - start) % (1 << 24)
-    new = np.ones(len(start), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])
+    # Runs of starts with one anchor, cut at the texts' ends.
+    new = np.zeros(len(value), bool)
+    new[1:] = value[1:] != value[:-1]
+    new[texts.offsets[texts.offsets < len(value)]] = True
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(start)) - 1
-    return text[first], start[first], start[last], hashes[owner[first]] >> np.uint64(16)
+    text = np.searchsorted(texts.offsets, first, "right") - 1
+    last = np.minimum(np.append(first[1:], len(value)) - 1, texts.offsets[text + 1] - LENGTH)
+    inside = last >= first
+    first, last, text = first[inside], last[inside], text[inside]
+    owner = first + ((value[first] & _LOW24).astype(np.int64) - first) % (1 << 24)
+    return text, first, last, hashes[owner] >> np.uint64(16)
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -134,6 +132,16 @@ def _pack(**arrays: np.ndarray) -> bytes:
     return b"".join([np.int64(n).tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays.values())])
 
 
+def _squeeze(raw: bytes) -> bytes:
+    """Compressed bytes after their length."""
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _expand(packed: bytes) -> bytes:
+    size = int(np.frombuffer(packed, np.int64, 1)[0])
+    return pa.decompress(packed[8:], size, codec="zstd", asbytes=True) if size else b""
+
+
 def _unpack(payload: bytes, *types: type) -> list[np.ndarray]:
     n = int(np.frombuffer(payload, np.int64, 1)[0])
     out, at = [], 8
@@ -146,13 +154,16 @@ def _unpack(payload: bytes, *types: type) -> list[np.ndarray]:
 def _send(name: str, to: np.ndarray, payload) -> pa.RecordBatch:
     """One row for each receiver in ``to`` (sorted); ``payload(low, high)`` packs its part."""
     who, low = np.unique(to, return_index=True)
-    high = np.append(low[1:], len(to))
+    high = np.append(low[1:], len(to))[: len(who)]
     packed = [payload(a, b) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(who.astype(np.int64)), pa.array(packed, pa.binary())], names=[name, "packed"])
 
 
-def _received(table: pa.Table, *types: type) -> list[np.ndarray]:
+def _received(table: pa.Table, *types: type, rest: Callable[[bytes], bytes] | None = None) -> list[np.ndarray]:
+    """The arrays of all payloads, joined; last the bytes behind them."""
     parts = [_unpack(x, *types) for x in table.column("packed").to_pylist()]
+    if rest:
+        parts = [[*p[:-1], np.frombuffer(rest(p[-1].tobytes()), np.uint8)] for p in parts]
     return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate([*types, np.uint8])]
 
 
@@ -179,8 +190,22 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     kept = [c for c in docs.columns if c not in new]
     source = docs.select(
         *[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(TEXT), F.col(f"`{doc_id}`").cast("long").alias("__id"),
-        F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), F.lit(n_groups)).alias("g"),
+        F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), F.lit(n_groups)).alias("__g"),
     )
+    carried = [c for c in kept if c != text]
+    squeezed_schema = T.StructType([*[source.schema[c] for c in [*carried, "__id", "__g"]], T.StructField("__packed", T.BinaryType())])
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index
+            packed = [None if x is None else _squeeze(x.encode()) for x in batch.column(at(TEXT)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(at(c)) for c in [*carried, "__id", "__g"]], pa.array(packed, pa.binary())], names=squeezed_schema.names)
+
+    def expanded(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Slices of a text group with the texts back in place."""
+        for batch in table.combine_chunks().to_batches(max_chunksize=4096):
+            raw = pa.array([None if x is None else _expand(x).decode() for x in batch.column(batch.num_columns - 1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], raw], names=[*squeezed_schema.names[:-1], TEXT])
 
     def range_of(hashes: np.ndarray) -> np.ndarray:
         return (hashes % np.uint64(n_ranges)).astype(np.int64)
@@ -189,12 +214,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         for batch in batches:
             found_h, found_g = [], []
             for part, texts in chunks(batch, TEXT):
-                group = part.column(part.schema.get_field_index("g")).to_numpy()
+                group = part.column(part.schema.get_field_index("__g")).to_numpy()
                 which, _, _, h = anchors(texts)
                 # Once for each text, then once for each group with a mark if it was there twice.
-                pair = np.unique(np.stack([h, which.astype(np.uint64)]), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
-                found_h.append(pair[0])
-                found_g.append(group[pair[1].astype(np.int64)])
+                pair = np.unique(h << np.uint64(16) | which.astype(np.uint64))
+                found_h.append(pair >> np.uint64(16))
+                found_g.append(group[(pair & np.uint64(0xFFFF)).astype(np.int64)])
             h, g = np.concatenate(found_h), np.concatenate(found_g)
             order = np.lexsort((h, g))
             h, g = h[order], g[order]
@@ -215,12 +240,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         values, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
         n = n + np.bincount(inverse, twice, len(values)).astype(np.int64)
         good = n[inverse] > 1
-        pair = np.unique(np.stack([g[good].astype(np.uint64), h[good]]), axis=1)
-        return pa.Table.from_batches([_send("g", pair[0], lambda a, b: _pack(h=pair[1][a:b]))])
+        g, h = g[good], h[good]
+        order = np.argsort(g, kind="stable")
+        g, h = g[order], h[order]
+        return pa.Table.from_batches([_send("g", g, lambda a, b: _pack(h=h[a:b]))])
 
     def stretches(texts_: pa.Table, known: np.ndarray) -> Iterator[tuple[pa.RecordBatch, Texts, tuple[np.ndarray, ...]]]:
         """Per chunk: the anchors with known hashes, as text, first, last, stretch key and hash."""
-        for batch in texts_.combine_chunks().to_batches():
+        for batch in expanded(texts_):
             for part, texts in chunks(batch, TEXT):
                 which, first, last, h = anchors(texts)
                 at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
@@ -231,7 +258,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     def stretches_out(texts_: pa.Table, answers: pa.Table) -> pa.Table:
         known = np.unique(_received(answers, np.uint64)[0])
         keys, hs, ids, sizes, raws, owners = [], [], [], [], [], []
-        group = texts_.column("g")[0].as_py() if texts_.num_rows else 0
+        group = texts_.column("__g")[0].as_py() if texts_.num_rows else 0
         for part, texts, (which, first, last, key, h) in stretches(texts_, known):
             size = last - first + LENGTH
             offset = np.concatenate([[0], np.cumsum(size)])
@@ -256,13 +283,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
             c = chosen[a:b]
             end = np.cumsum(size[c])
             data = raw[np.repeat(begin[c] - end + size[c], size[c]) + np.arange(end[-1])]
-            return _pack(key=key[c], g=np.full(b - a, group, np.int32), doc=doc[c], size=size[c].astype(np.uint8), one=one[a:b]) + data.tobytes()
+            return _pack(key=key[c], g=np.full(b - a, group, np.int32), doc=doc[c], size=size[c].astype(np.uint8), one=one[a:b]) + _squeeze(data.tobytes())
 
         return pa.Table.from_batches([_send("r", to, packed)])
 
     def smallest(table: pa.Table) -> pa.Table:
         """For each stretch, runs of its strings with the smallest document that holds them."""
-        key, g, doc, size, one, data = _received(table, np.uint64, np.int32, np.int64, np.uint8, np.bool_)
+        key, g, doc, size, one, data = _received(table, np.uint64, np.int32, np.int64, np.uint8, np.bool_, rest=_expand)
         many = size.astype(np.int64) - LENGTH + 1
         begin = np.cumsum(size.astype(np.int64)) - size
         owner = np.repeat(np.arange(len(key)), many)
@@ -284,7 +311,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         at, last, who, answer_ = at[order], last[order], who[order], answer_[order]
         return pa.Table.from_batches([_send("g", g[who], lambda a, b: _pack(key=key[who[a:b]], low=inner[at[a:b]].astype(np.uint8), high=inner[last[a:b]].astype(np.uint8), doc=answer_[a:b]))])
 
-    out_fields = [source.schema[c] for c in kept] + [
+    out_fields = [T.StructField(c, T.StringType()) if c == text else source.schema[c] for c in kept] + [
         T.StructField("n_bytes", T.LongType(), False), T.StructField("spans", T.ArrayType(SPAN, False), False), T.StructField("kept_bytes", T.BinaryType(), False),
     ]
     span_type = pa.list_(pa.field("element", pa.struct([pa.field("start", pa.int64(), False), pa.field("end", pa.int64(), False)]), False))
@@ -294,7 +321,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         order = np.argsort(key, kind="stable")
         key, low, high, doc = key[order], low[order].astype(np.int64), high[order].astype(np.int64), doc[order]
         out = []
-        for batch in texts_.combine_chunks().to_batches():
+        for batch in expanded(texts_):
             for part, texts in chunks(batch, TEXT):
                 which, first, last, _ = anchors(texts)
                 own = _stretch_keys(texts, first, last)
@@ -314,7 +341,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
                 left = np.concatenate([[0], np.cumsum(~gone)])
                 kept_data, cuts = texts.data[~gone], left[texts.offsets]
                 spans = pa.StructArray.from_arrays([pa.array(start - base), pa.array(end - base)], fields=list(span_type.value_type))
-                columns = [part.column(part.schema.get_field_index(c)) for c in kept]
+                columns = [part.column(part.schema.get_field_index(TEXT if c == text else c)) for c in kept]
                 columns += [
                     pa.array(np.diff(texts.offsets)), pa.ListArray.from_arrays(pa.array(per.astype(np.int32)), spans, type=span_type),
                     pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(kept_data.tobytes())]),
@@ -322,8 +349,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
                 out.append(pa.RecordBatch.from_arrays(columns, names=[*kept, *new]))
         return pa.Table.from_batches(out)
 
-    texts_by_group = source.groupBy("g")
-    hashes = source.select(TEXT, "g").mapInArrow(hashes_out, "r long, packed binary")
+    texts_by_group = source.mapInArrow(squeeze, squeezed_schema).groupBy("__g")
+    hashes = source.select(TEXT, "__g").mapInArrow(hashes_out, "r long, packed binary")
     answers = hashes.groupBy("r").applyInArrow(answer, "g long, packed binary")
     sent = texts_by_group.cogroup(answers.groupBy("g")).applyInArrow(stretches_out, "r long, packed binary")
     found = sent.groupBy("r").applyInArrow(smallest, "g long, packed binary")
