@@ -11,7 +11,8 @@ miss a text shown on more than a ninth of the pages), and a wrapper at most ``NO
 the others count as varying, so nothing of them is lost.
 
 Null and empty pages give an empty text. A null or odd url belongs to the host ''. Equal and repeated pages give equal rows. Broken markup
-is read like a browser would: unclosed and stray tags, unquoted attributes, missing ends. An empty table gives an empty result.
+is read like a browser would: unclosed and stray tags, unquoted attributes, missing ends; elements nested deeper than ``DEPTH`` count as
+siblings, with all their text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from cutsites.llm.common import ship
 
-TEXTS, NODES = 8, 400
+TEXTS, NODES, DEPTH = 8, 400, 120
 CONSTANT, LEAST_PAGES = 0.9, 4
 
 # Element names of the HTML standard.
@@ -155,7 +156,7 @@ def parse(page: str) -> Node:
                 rest = page.find(">", stop)
                 at = n if not end or rest < 0 else rest + 1
             elif tag not in VOID and not attributes.rstrip().endswith("/") or tag in ("p", "div", "a", "li"):
-                if len(open_) < 500:
+                if len(open_) < DEPTH:
                     open_.append(node)
     return root
 

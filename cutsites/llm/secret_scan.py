@@ -51,8 +51,8 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
 
 
 def dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> list[str]:
-    """The most frequent words of three letters or more, over all documents; ties by the word."""
-    words = docs.select(F.explode(F.expr(f"regexp_extract_all(lower(`{text}`), '[a-z]{{3,}}', 0)")).alias("word"))
+    """The most frequent words of 3 to 24 letters, over all documents; ties by the word."""
+    words = docs.select(F.explode(F.expr(f"regexp_extract_all(lower(`{text}`), '(?<![a-z])[a-z]{{3,24}}+(?![a-z])', 0)")).alias("word"))
     top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(size)
     return [r.word for r in top.collect()]
 
