@@ -37,11 +37,12 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; one without words stays once if its source has a target or nothing else."""
-    names = docs.columns
-    packed = docs.select(F.struct(*names).alias("row"), "doc_id", "text", "source")
-    taken = mixing.mix(packed).withColumn("copies", F.expr("cast(case when size > 0 then taken div size else 1 end as int)"))
-    return taken.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+    """Documents as often as the mix takes them; one without words costs nothing and stays once."""
+    hidden = {c: f"__own_{c}" for c in docs.columns if c in ("size", "source_size", "target", "taken")}
+    taken = mixing.mix(docs.withColumnsRenamed(hidden))
+    copies = F.expr("cast(case when size > 0 then taken div size else 1 end as int)")
+    repeated = taken.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies")))
+    return repeated.select(*[F.col(hidden.get(c, c)).alias(c) for c in docs.columns])
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -233,7 +233,7 @@ def near_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     answers = hashes.groupBy("r").applyInArrow(answer, "g long, packed binary")
     found = source.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(lines_out, "node binary, line string, keys array<long>")
     lines = written(found.dropDuplicates(["node"]), "lines")
-    buckets = lines.select(F.explode("keys").alias("bucket"), "node")
+    buckets = lines.select(F.explode("keys").alias("bucket"), "node", F.octet_length("line").alias("size"))
     shared = buckets.groupBy("bucket").count().where("count > 1").select("bucket")
     buckets = written(buckets.join(shared, "bucket"), "buckets")
 
@@ -250,7 +250,21 @@ def near_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
         return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, d double, linked boolean")
 
-    return connected(link_buckets(buckets, distances, LIMIT))
+    def inside(groups: DataFrame) -> DataFrame:
+        def run(table: pa.Table) -> pa.Table:
+            nodes, points = table.column("node").combine_chunks(), _points(texts_of(table.column("line")))
+            size = np.array([len(x) for x in points], np.int64)
+            second = table.column("second").to_numpy()
+            root = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
+            i, j = np.triu_indices(len(points), 1)
+            near = (np.abs(size[i] - size[j]) <= LIMIT) & (root[i] != root[j]) & ((second[i] != second[j]) | (not second.any()))
+            i, j = i[near], j[near]
+            linked = edit_distances([points[k] for k in i], [points[k] for k in j], LIMIT) <= threshold(np.minimum(size[i], size[j]))
+            return pa.table({"a": nodes.take(pa.array(i[linked])), "b": nodes.take(pa.array(j[linked]))})
+
+        return groups.join(lines.select("node", "line"), "node").groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary")
+
+    return connected(link_buckets(buckets, distances, LIMIT, inside, max_members=128))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

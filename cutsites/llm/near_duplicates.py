@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,13 +50,14 @@ def shingles(texts: Texts, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counted(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each text with their counts, sorted by (text, hash)."""
-    order = np.lexsort((hashes, text))
-    text, hashes = text[order], hashes[order]
-    new = np.ones(len(text), bool)
-    new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
+    """Distinct shingles of each text with their counts, sorted by (text, hash). A shingle's hash keeps its upper 48 bits."""
+    both = text.astype(np.uint64) << np.uint64(48) | hashes >> np.uint64(16)
+    both.sort()
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
     at = np.flatnonzero(new)
-    return text[at], hashes[at], np.diff(np.append(at, len(text)))
+    both = both[at]
+    return (both >> np.uint64(48)).astype(np.int64), both << np.uint64(16), np.diff(np.append(at, len(text)))
 
 
 class Weights:
@@ -97,8 +99,9 @@ def frequent(docs: DataFrame, text: str = "text") -> Weights:
         docs_in = size = 0
         for batch in batches:
             for part, texts in chunks(batch, TEXT):
-                _, hashes, _ = counted(*shingles(texts))
-                held.append(hashes)
+                _, hashes = shingles(texts)
+                hashes = hashes >> np.uint64(16) << np.uint64(16)
+                held.append(hashes)  # repeats in a text count too: more candidates, none less
                 docs_in, size = docs_in + part.num_rows, size + len(hashes)
                 if docs_in >= BLOCK_DOCS or size >= BLOCK_SHINGLES:
                     if ready[1]:
@@ -117,46 +120,76 @@ def frequent(docs: DataFrame, text: str = "text") -> Weights:
         flags = np.unpackbits(packed.value).astype(bool)
         for batch in batches:
             for _, texts in chunks(batch, TEXT):
-                _, hashes, _ = counted(*shingles(texts))
-                values, m = np.unique(hashes[flags[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]], return_counts=True)
+                text_, hashes = shingles(texts)
+                some = flags[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
+                _, hashes, _ = counted(text_[some], hashes[some])
+                values, m = np.unique(hashes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(m)], names=["h", "m"])
 
     df = source.mapInArrow(occurrences, "h long, m long").groupBy("h").agg(F.sum("m").alias("df")).where(F.col("df") > RARE * n).toPandas()
     return Weights(df["h"].to_numpy(np.int64).view(np.uint64), df["df"].to_numpy(float), n)
 
 
-_u = (np.arange(1 << 16) + 0.5) / (1 << 16)
-
-
-def _gamma2() -> np.ndarray:
+def _gamma2(p: np.ndarray) -> np.ndarray:
     """Quantiles of the Gamma(2, 1) law, P(x) = 1 - (1 + x) exp(-x), by bisection."""
-    low, high = np.zeros(len(_u)), np.full(len(_u), 40.0)
+    low, high = np.zeros(len(p)), np.full(len(p), 40.0)
     for _ in range(60):
         middle = (low + high) / 2
-        below = 1 - (1 + middle) * np.exp(-middle) < _u
+        below = 1 - (1 + middle) * np.exp(-middle) < p
         low, high = np.where(below, middle, low), np.where(below, high, middle)
     return low
 
 
-_R = _gamma2().astype(np.float32)
-_INVERSE_R, _LN_C, _BETA = 1 / _R, np.log(_R), _u.astype(np.float32)
+# A sample needs c and r from Gamma(2, 1) and beta from [0, 1): 65,536 quantiles of c, 256 of r and of beta in one index.
+_LN_C = np.log(_gamma2((np.arange(1 << 16) + 0.5) / (1 << 16))).astype(np.float32)
+_R = np.repeat(_gamma2((np.arange(256) + 0.5) / 256), 256)
+_BETA = np.tile((np.arange(256) + 0.5) / 256, 256)
+
+
+def _levels(ln_w: float) -> tuple[np.ndarray, np.ndarray]:
+    """By the index of r and beta: ln(y exp(r)) and the level t of a weight."""
+    t = np.floor(ln_w / _R + _BETA)
+    return (_R * (t - _BETA) + _R).astype(np.float32), t.astype(np.int64)
+
+
+_multipliers = mix(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
 
 
 def samples(first: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-    """``n`` consistent weighted samples of each set; set i has elements ``first[i]`` to ``first[i + 1]``, at least one."""
+    """``n`` consistent weighted samples of each set; set i has elements ``first[i]`` to ``first[i + 1]``, at least one.
+
+    The sample is the element with the smallest a = c / (y exp(r)), with ln y = r (floor(ln w / r + beta) - beta), and its level.
+    c, r and beta come from the element's hash and the number of the sample. Most elements share one weight, for which
+    y exp(r) is a table.
+    """
     out = np.empty((len(first) - 1, n), np.uint64)
-    ln_w = np.log(weights).astype(np.float32)
     starts, sizes = first[:-1], np.diff(first)
+    values, kind = np.unique(weights, return_inverse=True)
+    common = int(np.argmax(np.bincount(kind))) if len(kind) else 0
+    table, levels = _levels(np.log(values[common])) if len(values) else (_LN_C, _LN_C)
+    other = np.flatnonzero(kind != common)
+    other_ln = np.log(weights[other])
     for k in range(n):
-        draws = mix(hashes + np.uint64((k + 1) * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)).view(np.uint16).reshape(-1, 4)
-        r, beta = _R[draws[:, 0]], _BETA[draws[:, 1]]
-        t = np.floor(ln_w * _INVERSE_R[draws[:, 0]] + beta)
-        ln_a = _LN_C[draws[:, 2]] - r * (t - beta) - r
-        least = np.repeat(np.minimum.reduceat(ln_a, starts), sizes)
-        at = np.flatnonzero(ln_a == least)
-        chosen = mix(hashes[at] ^ mix(t[at].astype(np.int64).view(np.uint64)))
-        owner = np.searchsorted(first, at, "right") - 1
+        draws = (hashes * _multipliers[k]).view(np.uint16).reshape(-1, 4)
+        index = draws[:, 3]
+        ln_a = _LN_C[draws[:, 2]]
+        ln_a -= table[index]
+        if len(other):
+            at = index[other]
+            t_other = np.floor(other_ln / _R[at] + _BETA[at])
+            ln_a[other] = _LN_C[draws[other, 2]] - (_R[at] * (t_other - _BETA[at]) + _R[at]).astype(np.float32)
+        at = np.flatnonzero(ln_a == np.repeat(np.minimum.reduceat(ln_a, starts), sizes))
+        t = levels[index[at]]
+        if len(other):
+            rare = kind[at] != common
+            i = index[at[rare]]
+            t[rare] = np.floor(np.log(weights[at[rare]]) / _R[i] + _BETA[i]).astype(np.int64)
+        chosen = mix(hashes[at] ^ mix(t.view(np.uint64)))
+        if len(at) == len(starts):
+            out[:, k] = chosen
+            continue
         # Of equal minima the smallest hash counts, so that the choice depends on the set only.
+        owner = np.searchsorted(first, at, "right") - 1
         order = np.lexsort((chosen, owner))
         new = np.ones(len(at), bool)
         new[1:] = owner[order][1:] != owner[order][:-1]
@@ -187,12 +220,45 @@ def similarities(a: Texts, b: Texts, weigh: Weights) -> np.ndarray:
     text = np.concatenate([s[0] for s in sides])
     hashes = np.concatenate([s[1] for s in sides])
     weights = np.concatenate([weigh(s[1], s[2]) for s in sides])
-    order = np.lexsort((hashes, text))
-    text, hashes, weights = text[order], hashes[order], weights[order]
-    twice = np.flatnonzero((text[1:] == text[:-1]) & (hashes[1:] == hashes[:-1]))
-    both = np.bincount(text[twice], np.minimum(weights[twice], weights[twice + 1]), n)
+    both = text.astype(np.uint64) << np.uint64(48) | hashes >> np.uint64(16)
+    order = np.argsort(both)
+    text, both, weights = text[order], both[order], weights[order]
+    twice = np.flatnonzero(both[1:] == both[:-1])
+    shared = np.bincount(text[twice], np.minimum(weights[twice], weights[twice + 1]), n)
     total = np.bincount(text, weights, n)
-    return both / np.maximum(total - both, 1e-300)
+    return shared / np.maximum(total - shared, 1e-300)
+
+
+def connecting(texts: Texts, weigh: Weights, similarity: float, group: np.ndarray, split: int = 0) -> tuple[list[int], list[int]]:
+    """Pairs with the similarity that connect all such pairs among some texts.
+
+    Texts of one ``group`` are known to be connected. With ``split``, only pairs of a text before it and one from it on count.
+    """
+    text, hashes, counts = counted(*shingles(texts))
+    weights = weigh(hashes, counts)
+    some, first = np.unique(text, return_index=True)
+    last = np.append(first[1:], len(text))
+    _, element = np.unique(hashes, return_inverse=True)
+    total = np.add.reduceat(weights, first) if len(some) else weights
+    own = np.zeros(element.max() + 1 if len(element) else 0)
+    group = group[some].copy()
+    split = int(np.searchsorted(some, split))
+    a, b = [], []
+    for i in range(split or len(some) - 1):
+        start = max(i + 1, split)
+        if start >= len(some) or (group[start:] == group[i]).all():
+            continue
+        mine = slice(first[i], last[i])
+        own[element[mine]] = weights[mine]
+        later = slice(first[start], None)
+        shared = np.add.reduceat(np.minimum(weights[later], own[element[later]]), first[start:] - first[start])
+        own[element[mine]] = 0
+        for j in np.flatnonzero(shared >= similarity * (total[i] + total[start:] - shared)) + start:
+            if group[i] != group[j]:
+                group[group == group[j]] = group[i]
+                a.append(int(some[i]))
+                b.append(int(some[j]))
+    return a, b
 
 
 NODE = "unhex(md5(`{text}`))"
@@ -220,9 +286,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
         return {"keys": pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64()))}
 
     field = T.StructField("keys", T.ArrayType(T.LongType()))
-    signed = written(per_text(source, keys, [field], ["doc_id", "node"]), "signed")
-    nodes = signed.where("size(keys) > 0").groupBy("node").agg(F.first("keys").alias("keys"))
-    buckets = written(nodes.select(F.explode("keys").alias("bucket"), "node"), "buckets")
+    sized = source.withColumn("size", F.octet_length("text"))
+    signed = written(per_text(sized, keys, [field], ["doc_id", "node", "size"]), "signed")
+    nodes = signed.where("size(keys) > 0").groupBy("node").agg(F.first("keys").alias("keys"), F.first("size").alias("size"))
+    buckets = nodes.select(F.explode("keys").alias("bucket"), "node", "size")
     shared = buckets.groupBy("bucket").count().where("count > 1").select("bucket")
     buckets = written(buckets.join(shared, "bucket"), "buckets")
     # The texts that any comparison needs: read once from the documents.
@@ -245,8 +312,18 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
 
         return joined.mapInArrow(run, "a binary, b binary, d double")
 
-    links = link_buckets(buckets, distances, 1 - similarity + 1e-9)
-    roots = connected(links)
+    def inside(groups: DataFrame) -> DataFrame:
+        def run(table: pa.Table) -> pa.Table:
+            table = table.sort_by("second")
+            nodes = table.column("node").combine_chunks()
+            split = len(table) - pc.sum(table.column("second")).as_py()
+            group = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
+            a, b = connecting(texts_of(table.column("text")), weigh.value, similarity - 1e-9, group, split if split < len(table) else 0)
+            return pa.table({"a": nodes.take(pa.array(a, pa.int64())), "b": nodes.take(pa.array(b, pa.int64()))})
+
+        return groups.join(texts, "node").groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary")
+
+    roots = connected(link_buckets(buckets, distances, 1 - similarity + 1e-9, inside))
     rows = signed.select("doc_id", "node", F.size("keys").alias("n")).join(roots, "node", "left")
     # Rows without shingles are alone: they must not meet in their common node.
     rows = rows.withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
