@@ -81,7 +81,9 @@ def position_ecdf(positions: DataFrame, keys: Sequence[str], tile_bits: int = TI
     by_tile = Window.partitionBy(*keys).orderBy(TILE)
     totals = (
         counted.groupBy(*keys, TILE)
-        .agg(F.sum("_n").alias("_in_tile"))
+        # Reading the same columns as the other user of the layout lets Spark shuffle it once.
+        .agg(F.sum("_n").alias("_in_tile"), F.max("coor_per").alias("_top"))
+        .where("_top > -1")
         .withColumn("_before", F.sum("_in_tile").over(by_tile.rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("_total", F.sum("_in_tile").over(Window.partitionBy(*keys)))
         .select(*keys, TILE, F.coalesce("_before", F.lit(0)).alias("_before"), "_total")
