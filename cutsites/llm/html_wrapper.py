@@ -6,9 +6,9 @@ and every wrapper node counts the pages and texts it met. Texts that a node show
 what varies is content, within the region of the page that holds the article.
 
 All pages of a host take part. A task folds the pages it reads (no shuffle of html), and partial wrappers, a few KB each whatever the
-number of pages, merge in two levels. A node keeps at most ``TEXTS`` candidates for constant texts (Misra-Gries counts, which never
-miss a text shown on more than a ninth of the pages), and a wrapper at most ``NODES`` nodes: nodes of pages that are unlike
-the others count as varying, so nothing of them is lost.
+number of pages, merge in two levels. A wrapper has at most ``NODES`` nodes: nodes of pages that are unlike the others count as varying, so
+nothing of them is lost. Texts are counted exactly: the pages that show a text at a path of kinds, as an aggregate over (host,
+path, text); a path of the wrapper gets the texts of nearly all pages that have it.
 
 Null and empty pages give an empty text. A null or odd url belongs to the host ''. Equal and repeated pages give equal rows. Broken markup
 is read like a browser would: unclosed and stray tags, unquoted attributes, missing ends; elements nested deeper than ``DEPTH`` count as
@@ -21,17 +21,18 @@ import hashlib
 import html as entities
 import json
 import re
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cutsites.llm.common import ship
+from cutsites.llm.common import ship, written
 
-TEXTS, NODES, DEPTH = 8, 400, 120
+NODES, DEPTH = 400, 120
 CONSTANT, LEAST_PAGES = 0.9, 4
 
 # Element names of the HTML standard.
@@ -183,38 +184,60 @@ def own_text(node: Node) -> str:
 
 
 class Slot:
-    """A wrapper node: neighbouring siblings of one kind, over all pages folded into it."""
+    """A wrapper node: neighbouring siblings of one kind, over all pages folded into it.
 
-    __slots__ = ("kind", "tag", "words", "pages", "chars", "links", "texts", "kids", "instances")
+    ``texts`` are those of one page, ``shown`` the sum of their numbers over the pages. ``path`` and ``constant`` (page counts of the
+    texts that nearly all pages with the node show) are set by ``prepared``.
+    """
+
+    __slots__ = ("kind", "tag", "words", "pages", "chars", "links", "shown", "texts", "kids", "instances", "path", "constant")
 
     def __init__(self, kind: str, tag: str, words: Iterable[str]) -> None:
         self.kind, self.tag, self.words = kind, tag, frozenset(words)
-        self.pages = self.chars = self.links = 0
-        self.texts: dict[str, int] = {}
+        self.pages = self.chars = self.links = self.shown = self.path = 0
+        self.texts: set[str] = set()
+        self.constant: dict[int, int] = {}
         self.kids: list[Slot] = []
         self.instances: list[Node] = []
 
-    def saw(self, texts: dict[str, int]) -> None:
-        """Add text counts; more than ``TEXTS`` are reduced by the count that removes the smallest surplus."""
-        for t, k in texts.items():
-            self.texts[t] = self.texts.get(t, 0) + k
-        if len(self.texts) > TEXTS:
-            least = sorted(self.texts.values(), reverse=True)[TEXTS]
-            self.texts = {t: k - least for t, k in self.texts.items() if k > least}
-
     def state(self) -> list:
-        return [self.kind, self.tag, sorted(self.words), self.pages, self.chars, self.links, self.texts, [k.state() for k in self.kids]]
+        return [self.kind, self.tag, sorted(self.words), self.pages, self.chars, self.links, self.shown, [k.state() for k in self.kids]]
 
     @staticmethod
     def load(state: list) -> "Slot":
         slot = Slot(*state[:3])
-        slot.pages, slot.chars, slot.links, slot.texts = state[3:7]
+        slot.pages, slot.chars, slot.links, slot.shown = state[3:7]
         slot.kids = [Slot.load(k) for k in state[7]]
         return slot
 
 
-def _key(text: str) -> str:
-    return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()[:12]
+def _key(text: str) -> int:
+    return int.from_bytes(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()[:8], "big", signed=True)
+
+
+@lru_cache(1 << 16)
+def _below(path: int, kind: str) -> int:
+    """The path of a node of a kind below a path."""
+    return _key(f"{path}/{kind}")
+
+
+def shown_text(node: Node) -> str:
+    """The text that counts as a node's own."""
+    if node.tag in RAW:
+        return ""
+    return own_text(node) if node.tag in BLOCKS else squeezed("".join(p for p in node.parts if type(p) is str))
+
+
+def page_texts(root: Node) -> set[tuple[int, int]]:
+    """Path and key of every text of a page, once each."""
+    found, open_ = set(), [(root, _below(0, root.kind))]
+    while open_:
+        node, path = open_.pop()
+        text = shown_text(node)
+        if text:
+            found.add((path, _key(text)))
+        open_ += [(kid, _below(path, kid.kind)) for kid in node.children]
+    return found
 
 
 def slots_of(nodes: list[Node], inside_link: bool = False) -> Slot:
@@ -222,22 +245,20 @@ def slots_of(nodes: list[Node], inside_link: bool = False) -> Slot:
     first = nodes[0]
     slot = Slot(first.kind, first.tag, first.words)
     slot.pages, slot.instances = 1, nodes
-    texts = {}
     runs: list[list[Node]] = []
     for node in nodes:
-        if node.tag not in RAW:
-            text = own_text(node) if node.tag in BLOCKS else squeezed("".join(p for p in node.parts if type(p) is str))
-            if text:
-                texts[_key(text)] = 1
-                slot.chars += len(text)
-                slot.links += len(text) if inside_link or node.tag == "a" else 0
+        text = shown_text(node)
+        if text:
+            slot.texts.add(text)
+            slot.chars += len(text)
+            slot.links += len(text) if inside_link or node.tag == "a" else 0
         kids = node.children
         for k, kid in enumerate(kids):
             if k and kid.kind == kids[k - 1].kind:
                 runs[-1].append(kid)
             else:
                 runs.append([kid])
-    slot.saw(texts)
+    slot.shown = len(slot.texts)
     for run in runs:
         made = slots_of(run, inside_link or first.tag == "a")
         same = next((s for s in slot.kids if s.kind == made.kind), None) if len(nodes) > 1 else None
@@ -288,7 +309,11 @@ def fold(wrapper: Slot, page: Slot, matched: list | None = None, pages: bool = T
         room = [NODES - size(wrapper)]
     wrapper.pages += page.pages if pages else 0
     wrapper.chars, wrapper.links = wrapper.chars + page.chars, wrapper.links + page.links
-    wrapper.saw(page.texts)
+    if pages:
+        wrapper.shown += page.shown
+    else:  # siblings of one page show a text once
+        wrapper.texts |= page.texts
+        wrapper.shown = len(wrapper.texts)
     partner = {j: (i, inner) for i, j, inner in matched}
     kids, taken = [], 0
     for j, kid in enumerate(page.kids):
@@ -317,8 +342,8 @@ def content_slot(wrapper: Slot) -> Slot:
             return 0
         inside = in_article or slot.tag in ("article", "main")
         varying = slot.chars - 2 * slot.links
-        constant = sum(k for k in slot.texts.values()) >= CONSTANT * max(slot.pages, 1) * max(len(slot.texts), 1) and slot.pages >= LEAST_PAGES
-        return (0 if constant and slot.pages > 1 else max(varying, 0)) + sum(weight(k, inside) for k in slot.kids)
+        constant = slot.pages >= LEAST_PAGES and sum(slot.constant.values()) >= CONSTANT * max(slot.shown, 1)
+        return (0 if constant else max(varying, 0)) + sum(weight(k, inside) for k in slot.kids)
 
     def every(slot: Slot) -> Iterator[Slot]:
         if not _off(slot, True):
@@ -347,18 +372,21 @@ def content_slot(wrapper: Slot) -> Slot:
         here = heavy[0]
 
 
-def template_texts(slot: Slot, pages: int) -> set[str]:
+def template_texts(slot: Slot, pages: int) -> set[int]:
     """Texts below a node that nearly all pages of the host show, unless they are most of what it shows."""
     if pages < LEAST_PAGES:
         return set()
-    found: set[str] = set()
+    found: set[int] = set()
+    paths: set[int] = set()
     shown = [0, 0]
 
     def walk(s: Slot) -> None:
-        constant = {t for t, k in s.texts.items() if k >= CONSTANT * pages}
+        constant = {t: k for t, k in s.constant.items() if k >= CONSTANT * pages}
         found.update(constant)
-        shown[0] += len(constant) * pages
-        shown[1] += max(sum(s.texts.values()), s.pages if s.chars else 0)
+        if s.path not in paths:  # counts are those of a path
+            paths.add(s.path)
+            shown[0] += sum(constant.values())
+        shown[1] += s.shown
         for kid in s.kids:
             walk(kid)
 
@@ -366,7 +394,7 @@ def template_texts(slot: Slot, pages: int) -> set[str]:
     return found if shown[0] * 2 <= shown[1] else set()
 
 
-def blocks(node: Node, in_article: bool, template: set[str]) -> list[str]:
+def blocks(node: Node, in_article: bool, template: set[int]) -> list[str]:
     """Texts of the blocks below a node in page order, without what is off and without template texts."""
     out: list[str] = []
     held: list[str] = []
@@ -411,7 +439,7 @@ def nodes_for(wrapper: Slot, page: Slot, target: Slot) -> list[Node]:
     return found
 
 
-def main_text(page: str | None, host: tuple[Slot, Slot, set[str]] | None) -> str:
+def main_text(page: str | None, host: tuple[Slot, Slot, set[int]] | None) -> str:
     """Text of a page by its host's (wrapper, content node, template texts)."""
     if not page:
         return ""
@@ -423,10 +451,23 @@ def main_text(page: str | None, host: tuple[Slot, Slot, set[str]] | None) -> str
     return "\n".join(b for node in found for b in blocks(node, True if node.tag in ("article", "main") else False, template))
 
 
-def prepared(state: str | None) -> tuple[Slot, Slot, set[str]] | None:
+def paths_of(slot: Slot, path: int = 0) -> Iterator[Slot]:
+    """All nodes of a wrapper, with their paths set."""
+    slot.path = _below(path, slot.kind)
+    yield slot
+    for kid in slot.kids:
+        yield from paths_of(kid, slot.path)
+
+
+def prepared(state: str | None, constant: Iterable[dict] | None = None) -> tuple[Slot, Slot, set[int]] | None:
     if not state:
         return None
     wrapper = Slot.load(json.loads(state))
+    at: dict[int, dict[int, int]] = {}
+    for found in constant or ():
+        at.setdefault(found["path"], {})[found["key"]] = found["n"]
+    for slot in paths_of(wrapper):
+        slot.constant = at.get(slot.path, {})
     target = content_slot(wrapper)
     return wrapper, target, template_texts(target, wrapper.pages)
 
@@ -447,10 +488,14 @@ HOST = "coalesce(lower(regexp_extract(`{url}`, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^
 SALTS = 64
 
 
+def _source(pages: DataFrame, url: str, html: str) -> DataFrame:
+    return pages.select(F.expr(HOST.format(url=url)).alias("host"), F.col(f"`{html}`").cast("string").alias("html")).where("html <> ''")
+
+
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``host, wrapper`` (JSON) for every host."""
     ship(pages.sparkSession)
-    source = pages.select(F.expr(HOST.format(url=url)).alias("host"), F.col(f"`{html}`").cast("string").alias("html")).where("html <> ''")
+    source = _source(pages, url, html)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -473,14 +518,47 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
     return partly.groupBy("host").applyInArrow(merge, "host string, wrapper string")
 
 
+def constants(pages: DataFrame, made: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """``host, constant`` for hosts of the wrappers ``made``: ``path, key, n`` of texts that nearly all pages with the path show, n pages each."""
+    ship(pages.sparkSession)
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: Counter = Counter()
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.update((host, *at) for at in page_texts(parse(page)))
+            hosts, path, key = zip(*held) if held else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.string()), pa.array(path, pa.int64()), pa.array(key, pa.int64()), pa.array(held.values(), pa.int64())], names=["host", "path", "key", "n"]
+            )
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, path, pages_ = [], [], []
+            for host, state in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                most: dict[int, int] = {}
+                for slot in paths_of(Slot.load(json.loads(state))):
+                    if slot.pages >= LEAST_PAGES:
+                        most[slot.path] = max(most.get(slot.path, 0), slot.pages)
+                hosts += [host] * len(most)
+                path += most
+                pages_ += most.values()
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(path, pa.int64()), pa.array(pages_, pa.int64())], names=["host", "path", "pages"])
+
+    counts = _source(pages, url, html).mapInArrow(texts, "host string, path long, key long, n long").groupBy("host", "path", "key").agg(F.sum("n").alias("n"))
+    counts = counts.where(F.col("n") >= CONSTANT * LEAST_PAGES).join(made.mapInArrow(paths, "host string, path long, pages long"), ["host", "path"])
+    return counts.where(F.col("n") >= CONSTANT * F.col("pages")).groupBy("host").agg(F.collect_list(F.struct("path", "key", "n")).alias("constant"))
+
+
 def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[str] | None = None) -> DataFrame:
     """Append ``text`` and ``n_chars`` (code points) to every row; they replace columns of the same names."""
     spark = pages.sparkSession
     ship(spark)
     kept = [c for c in (pages.columns if keep is None else keep) if c not in ("text", "n_chars")]
     source = pages.select(*[F.col(f"`{c}`") for c in kept], F.expr(HOST.format(url=url)).alias("__host"), F.col(f"`{html}`").cast("string").alias("__html"))
-    joined = source.join(wrappers(pages, url, html).withColumnRenamed("host", "__host"), "__host", "left")
-    joined = joined.select(*[F.col(f"`{c}`") for c in kept], "__host", "__html", "wrapper")
+    made = written(wrappers(pages, url, html), "wrappers")
+    made = made.join(constants(pages, made, url, html), "host", "left").select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper"), F.col("constant").alias("__constant"))
+    joined = source.join(made, "__host", "left").select(*[F.col(f"`{c}`") for c in kept], "__host", "__html", "__wrapper", "__constant")
     fields = [*joined.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, T.StructField("text", T.StringType(), False), T.StructField("n_chars", T.LongType(), False)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -491,7 +569,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[s
                 texts = []
                 for host, page, k in zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist(), range(batch.num_rows), strict=True):
                     if host not in ready:
-                        ready[host] = prepared(batch.column(len(kept) + 2)[k].as_py())
+                        ready[host] = prepared(batch.column(len(kept) + 2)[k].as_py(), batch.column(len(kept) + 3)[k].as_py())
                         if len(ready) > 256:
                             ready.popitem(last=False)
                     texts.append(main_text(page, ready[host]))

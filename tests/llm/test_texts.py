@@ -220,6 +220,25 @@ def test_wrappers_merge_in_any_order():
     assert one[0].pages == two[0].pages == 6 and one[1].kind == two[1].kind and one[2] == two[2]
 
 
+@pytest.mark.parametrize("varying", [1, 4, 12])
+def test_constant_paragraph_among_varying_siblings(spark, varying):
+    rows = []
+    for i in range(50):
+        own = [f"<p>own {i} {k}</p>" for k in range(varying)]
+        own.insert(varying // 2, "<p>same note</p>")
+        rows.append((i, "http://h.example/x", f"<body><main><h1>Title {i}</h1>{''.join(own)}</main></body>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    for r in html_wrapper.extract(df).collect():
+        assert r.text.split("\n") == [f"Title {r.page_id}", *[f"own {r.page_id} {k}" for k in range(varying)]]
+
+
+def test_text_twice_on_half_of_the_pages_is_no_template(spark):
+    box = "<div class=x><p>{}</p></div>"
+    rows = [(i, "http://h.example/x", f"<body><main><h1>Title {i}</h1>{box.format('note') * 2 * (i % 2)}{box.format(i) * 3}</main></body>") for i in range(20)]
+    got = {r.page_id: r.text for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].count("note") == 2 * (i % 2) for i in range(20))
+
+
 def test_odd_pages(spark):
     odd = ["", None, "plain text", "<", "<p", "<div><div>" * 3000 + "deep", "<script>never ends", "<!-- open", "a<b", "<p a='>'>x</p>", "&#x41;&nope;"]
     df = spark.createDataFrame([(i, None if i % 2 else "nourl", h) for i, h in enumerate(odd)], "page_id long, url string, html string")
