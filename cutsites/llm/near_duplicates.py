@@ -265,7 +265,8 @@ NODE = "unhex(md5(`{text}`))"
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, node, class_id, class_size`` for every row; ``node`` is the md5 of the text, ``class_size`` counts rows."""
+    """``doc_id, node, root, class_id, class_size`` for every row; ``node`` is the md5 of the text, ``root`` the smallest node of the class (null
+    without shingles), ``class_size`` counts rows."""
     spark = docs.sparkSession
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.expr(NODE.format(text=text)).alias("node"), F.col(f"`{text}`").alias("text"))
     weigh = spark.sparkContext.broadcast(frequent(source))
@@ -331,18 +332,27 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     joined = rows.join(found, "root", "left")
     alone = F.col("root").isNull()
     return joined.select(
-        "doc_id", "node", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "doc_id", "node", "root", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"),
     )
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one of each class; rows without shingles all stay."""
-    first = found.where("class_size > 1 and doc_id <=> class_id").groupBy("doc_id").agg(F.min("node").alias("node"), F.count("*").alias("rows"))
-    gone = found.where("class_size > 1").join(first.select(F.col("doc_id").alias("i"), F.col("node").alias("k")), (F.col("doc_id").eqNullSafe(F.col("i"))) & (F.col("node") == F.col("k")), "left_anti")
-    gone = gone.select(F.col("doc_id").alias("__i"), F.col("node").alias("__n")).distinct()
+    several = found.where("class_size > 1")
+    # A class is its root, whatever its ids; its row is the first one by (no id, id, node).
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
+    first = several.groupBy("root").agg(F.min(place).alias("first")).select("first.doc_id", "first.node")
+    i, n = F.col("doc_id").alias("__i"), F.col("node").alias("__n")
     node = F.expr(NODE.format(text=text))
-    kept = docs.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("__i")) & (node == F.col("__n")), "left_anti")
-    if first.where("rows > 1").isEmpty():
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__i")) & (node == F.col("__n"))
+    ids = several.groupBy("doc_id", "node").agg(F.count("*").alias("rows"))
+    gone = ids.join(first.select(i, n), F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("node") == F.col("__n")), "left_anti")
+    kept = docs.join(gone.select(i, n), same, "left_anti")
+    again = ids.where("rows > 1").select(i, n)
+    if again.isEmpty():
         return kept
-    return kept.dropDuplicates()
+    # Of repeated rows one stays, the one with the smallest hash if other columns differ.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = kept.join(again, same, "left_semi").groupBy(F.col(f"`{doc_id}`").alias("__i"), node.alias("__n")).agg(F.min_by(row, F.md5(F.to_json(row))).alias("__row"))
+    return kept.join(again, same, "left_anti").unionByName(one.select("__row.*"))

@@ -106,6 +106,20 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert kept.where("doc_id = 4").count() == 1 and kept.count() == 10
 
 
+def test_one_of_each_class_whatever_its_ids(spark, make_docs):
+    rng = random.Random(4)
+    text = lambda: " ".join(words(rng, 80))
+    near = lambda t: t + " tail"
+    x, y, p, q, twice = text(), text(), text(), text(), text()
+    rows = [(None, x), (None, x), (None, y), (None, y), (7, p), (8, near(p)), (7, q), (9, near(q))]
+    rows += [(1, twice, "s"), (1, twice, "t"), (2, near(twice)), (3, ""), (3, ""), (4, None), (4, None)]
+    docs = make_docs(rows)
+    kept = near_duplicates.one_of_each(docs, near_duplicates.classes(docs))
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(None, x), (None, y), (7, p), (7, q), (1, twice), (3, ""), (3, ""), (4, None), (4, None)], key=str)
+
+
 @pytest.mark.parametrize("most", [2, 12, 100])
 def test_bucket_links_connect_what_pairs_would(spark, most):
     """Points on a line: |x - y| is a metric; buckets of mixed neighbourhoods."""
