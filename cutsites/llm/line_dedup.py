@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from cutsites.llm.arrays import LEADS, NOT_SPACE, Texts, chunks, lines_of, mix, range_hash, running, texts_of
 from cutsites.llm.common import TEXT, ship, written
 from cutsites.llm.components import connected, link_buckets
-from cutsites.llm.suffix_dedup import GROUP_BYTES, RANGE_BYTES, _pack, _received, _send
+from cutsites.llm.suffix_dedup import GROUP_BYTES, RANGE_BYTES, _pack, _received, _send, text_bytes
 
 LIMIT = 2
 REACH = 2 * LIMIT  # distances are exact up to here
@@ -169,12 +169,19 @@ def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return source.mapInArrow(run, "doc_id long, line_no long, node binary")
 
 
+def text_groups(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
+    """Texts with their group, and the number of hash ranges; if equal texts are more than a group holds, each text once."""
+    total, most = text_bytes(docs, text)
+    texts = docs.select(F.col(f"`{text}`").cast("string").alias(TEXT))
+    if most > GROUP_BYTES:
+        texts = written(texts.groupBy(F.md5(TEXT).alias("m")).agg(F.first(TEXT).alias(TEXT)).select(TEXT), "texts")
+    return texts.withColumn("g", F.pmod(F.xxhash64(TEXT), F.lit(total // GROUP_BYTES + 1))), total // RANGE_BYTES + 1
+
+
 def near_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """``node, root`` of all lines that have a link to a different line."""
     ship(docs.sparkSession)
-    total = docs.select(F.sum(F.expr(f"octet_length(cast(`{text}` as string))"))).first()[0] or 0
-    n_groups, n_ranges = total // GROUP_BYTES + 1, total // RANGE_BYTES + 1
-    source = docs.select(F.col(f"`{text}`").cast("string").alias(TEXT)).withColumn("g", F.pmod(F.xxhash64(TEXT), F.lit(n_groups)))
+    source, n_ranges = text_groups(docs, text)
 
     def different(lines: Lines) -> np.ndarray:
         """Lines long enough for a link, equal ones once."""

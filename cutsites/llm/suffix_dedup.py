@@ -13,7 +13,8 @@ of them a shuffle of packed arrays:
    Strings equal over 50 bytes meet, and the smallest document of each goes back to the text groups;
 5. a text group marks the strings that start in a smaller document and cuts the covered bytes.
 
-Text groups (8 MB) and hash ranges (the anchors of 4 MB) grow in number with the input, not in size. A string that very many
+Text groups (8 MB) and hash ranges (the anchors of 4 MB) grow in number with the input, not in size; rows equal in id and text that
+exceed a group are spread over groups. A string that very many
 documents share is sent once by each text group. Strings are judged on the input, not on what is left.
 
 Null and empty texts have no bytes; texts under 50 bytes lose none. Documents with equal ids are not smaller than each other, so repeated
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cutsites.llm.arrays import BYTE_CODES, Texts, chunks, covered, range_hash, running, window_hashes
-from cutsites.llm.common import TEXT, ship
+from cutsites.llm.common import TEXT, ship, written
 
 LENGTH, ANCHOR = 50, 20
 GROUP_BYTES, RANGE_BYTES = 8 << 20, 4 << 20
@@ -179,19 +180,41 @@ def _stretch_keys(texts: Texts, first: np.ndarray, last: np.ndarray) -> np.ndarr
 SPAN = T.StructType([T.StructField("start", T.LongType(), False), T.StructField("end", T.LongType(), False)])
 
 
+def text_bytes(docs: DataFrame, text: str, *ids: str) -> tuple[int, int]:
+    """Bytes of all texts, and the most that rows equal in text and ids have together (0 if all differ)."""
+    keys = [F.col(f"`{c}`") for c in ids]
+    sizes = docs.groupBy(*keys, F.md5(F.col(f"`{text}`").cast("string")).alias("__m")).agg(
+        F.sum(F.expr(f"octet_length(cast(`{text}` as string))")).alias("__b"), F.count("*").alias("__k")
+    )
+    return tuple(x or 0 for x in sizes.agg(F.sum("__b"), F.max(F.expr("case when __k > 1 then __b end"))).first())
+
+
+def text_groups(docs: DataFrame, kept: list[str], text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, int]:
+    """Rows with their text, id and group, and the number of hash ranges.
+
+    Rows equal in id and text would share a group. If they are more than a group holds, rows are numbered and spread by
+    their number; the numbers are written, so that all readers see the same groups.
+    """
+    total, most = text_bytes(docs, text, doc_id)
+    numbered = docs.select(
+        *[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(TEXT), F.col(f"`{doc_id}`").cast("long").alias("__id"),
+    )
+    keys = [F.col("__id"), F.col(TEXT)]
+    if most > GROUP_BYTES:
+        numbered = written(numbered.withColumn("__number", F.monotonically_increasing_id()), "numbered")
+        keys.append(F.col("__number"))
+    grouped = numbered.withColumn("__g", F.pmod(F.xxhash64(*keys), F.lit(total // GROUP_BYTES + 1)))
+    return grouped.drop("__number"), total // RANGE_BYTES + 1
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """All rows with ``n_bytes``, ``spans`` (byte ranges removed, in order) and ``kept_bytes`` (what remains); these replace columns of
     the same names."""
     spark = docs.sparkSession
     ship(spark)
     new = ("n_bytes", "spans", "kept_bytes")
-    total = docs.select(F.sum(F.expr(f"octet_length(cast(`{text}` as string))"))).first()[0] or 0
-    n_groups, n_ranges = total // GROUP_BYTES + 1, total // RANGE_BYTES + 1
     kept = [c for c in docs.columns if c not in new]
-    source = docs.select(
-        *[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(TEXT), F.col(f"`{doc_id}`").cast("long").alias("__id"),
-        F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), F.lit(n_groups)).alias("__g"),
-    )
+    source, n_ranges = text_groups(docs, kept, text, doc_id)
     carried = [c for c in kept if c != text]
     squeezed_schema = T.StructType([*[source.schema[c] for c in [*carried, "__id", "__g"]], T.StructField("__packed", T.BinaryType())])
 

@@ -219,6 +219,26 @@ def test_lines_of_odd_rows(odd, empty):
     assert line_dedup.clean(empty).count() == 0
 
 
+def test_copies_do_not_fill_a_text_group(make_docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "GROUP_BYTES", 4000)
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 4000)
+    rng = random.Random(6)
+    hot, near = "x" * 40 + "y" * 60, "x" * 40 + "z" + "y" * 60
+    rows = [(None, hot)] * 300 + [(i, " ".join(words(rng, 20))) for i in range(100)] + [(100, near)]
+    docs = make_docs(rows)
+    lines = line_dedup.text_groups(docs)[0]
+    rows_of = suffix_dedup.text_groups(docs, docs.columns)[0]
+    for grouped, g in ((lines, "g"), (rows_of, "__g")):
+        assert grouped.groupBy(g).agg(F.sum(F.octet_length("__text")).alias("b")).agg(F.max("b")).first()[0] < 3 * 4000
+    assert lines.count() == 102 and rows_of.count() == 401
+    found = line_dedup.classes(docs).where(F.col("class_size") > 1)
+    assert {r.class_size for r in found.collect()} == {301} and found.count() == 301
+    cut = suffix_dedup.remove_repeats(docs)
+    assert cut.count() == 401
+    assert {r.n for r in cut.where("doc_id is null").selectExpr("n_bytes - octet_length(kept_bytes) as n").collect()} == {60}
+    assert [len(r.kept_bytes) for r in cut.where("doc_id = 100").collect()] == [101]
+
+
 def brute_repeats(rows):
     seen, out = {}, {}
     for i, t in sorted(rows):
