@@ -9,7 +9,7 @@ Keys go to hash ranges as packed arrays, and only those that two different lines
 keys are compared as ``link_buckets`` says, never all pairs of a bucket. Distances are exact up to twice the largest threshold.
 
 Lines are split at \\n. Lines without a character that is not white space are no duplicates of each other. Null and empty texts have no other lines. A
-class keeps its first line by (doc_id, line number), null ids last; repeated rows have equal first lines and both keep them. Other columns pass
+class keeps its first line by (doc_id, line number, hash of the text), null ids last; repeated rows have equal first lines and both keep them. Other columns pass
 through ``clean``.
 """
 
@@ -154,19 +154,23 @@ def _points(texts: Texts) -> list[np.ndarray]:
     return [np.frombuffer(texts.bytes_of(i).decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) for i in range(len(texts))]
 
 
+def _text_hash(text: str) -> F.Column:
+    return F.xxhash64(F.col(f"`{text}`").cast("string"))
+
+
 def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, line_no, node`` of every line with a character; equal lines have equal nodes."""
+    """``doc_id, text_hash, line_no, node`` of every line with a character; equal lines have equal nodes."""
     ship(docs.sparkSession)
-    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias(TEXT))
+    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), _text_hash(text).alias("text_hash"), F.col(f"`{text}`").cast("string").alias(TEXT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch, TEXT):
                 lines = Lines(texts)
-                ids = part.column(0).take(pa.array(lines.text))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number), lines.ids(np.arange(len(lines.text)))], names=["doc_id", "line_no", "node"])
+                ids, hashes = (part.column(k).take(pa.array(lines.text)) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(lines.number), lines.ids(np.arange(len(lines.text)))], names=["doc_id", "text_hash", "line_no", "node"])
 
-    return source.mapInArrow(run, "doc_id long, line_no long, node binary")
+    return source.mapInArrow(run, "doc_id long, text_hash long, line_no long, node binary")
 
 
 def text_groups(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
@@ -282,24 +286,24 @@ def near_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, line_no, class_doc_id, class_line_no, class_size, is_first`` of every line with a character.
+    """``doc_id, line_no, class_doc_id, class_line_no, class_size, is_first, text_hash`` of every line with a character.
 
-    A class is a connected component of links; it is named by its first line.
+    A class is a connected component of links; it is named by its first line. Texts with one id, or none, are told apart by their hash.
     """
     lines = occurrences(docs, doc_id, text).join(near_lines(docs, text), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no", "text_hash")
     first = lines.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("class_size"))
     return lines.join(first, "root").select(
-        "doc_id", "line_no", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), "class_size", (place == F.col("first")).alias("is_first")
+        "doc_id", "line_no", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), "class_size", (place.eqNullSafe(F.col("first"))).alias("is_first"), "text_hash"
     )
 
 
 def clean(docs: DataFrame, found: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows with ``text`` less the lines that repeat an earlier one, and ``n_removed_lines``."""
     found = classes(docs, doc_id, text) if found is None else found
-    gone = found.where(~F.col("is_first")).groupBy(F.col("doc_id").alias("__i")).agg(F.collect_set("line_no").alias("__gone"))
+    gone = found.where(~F.col("is_first")).groupBy(F.col("doc_id").alias("__i"), F.col("text_hash").alias("__h")).agg(F.collect_set("line_no").alias("__gone"))
     kept = [c for c in docs.columns if c not in (text, "n_removed_lines")]
-    rows = docs.join(gone, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__i")), "left")
+    rows = docs.join(gone, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__i")) & (_text_hash(text) == F.col("__h")), "left")
     rows = rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(TEXT), "__gone")
     fields = [*rows.schema.fields[:-2], T.StructField(text, T.StringType()), T.StructField("n_removed_lines", T.LongType())]
 

@@ -21,7 +21,8 @@ def op2_html_wrapper(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.classes(table(spark, folder, "documents").select("doc_id", "text")).where("class_size > 1")
+    found = line_dedup.classes(table(spark, folder, "documents").select("doc_id", "text")).where("class_size > 1")
+    return found.drop("text_hash")
 
 
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -219,6 +219,12 @@ def test_lines_of_odd_rows(odd, empty):
     assert line_dedup.clean(empty).count() == 0
 
 
+def test_lines_are_cut_from_their_own_text(make_docs):
+    docs = make_docs([(5, "a\nb"), (5, "c\na"), (None, "d\ne"), (None, "f\nd"), (None, "g\nh")])
+    cleaned = sorted((r.doc_id or 0, r.text, r.n_removed_lines) for r in line_dedup.clean(docs).collect())
+    assert cleaned == [(0, "d\ne", 0), (0, "f", 1), (0, "g\nh", 0), (5, "a\nb", 0), (5, "c", 1)]
+
+
 def test_copies_do_not_fill_a_text_group(make_docs, monkeypatch):
     monkeypatch.setattr(line_dedup, "GROUP_BYTES", 4000)
     monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 4000)
