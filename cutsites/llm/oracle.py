@@ -47,5 +47,17 @@ from d left join words using (doc_id) left join items using (doc_id)
 """
 
 
+BLOCK_ANCHORS = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+x as (select r, unnest(range(1, len(w) - 33)) as s, w from d where len(w) >= 35),
+y as (select r, s, count(*) over (partition by array_to_string(w[s:s + 34], ' ')) as n from x),
+gone as (select distinct r, unnest(range(s, s + 35)) as pos from y where n > 1),
+p as (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as pos from d),
+k as (select r, string_agg(word, ' ' order by pos) as kept, count(*) as n from p anti join gone using (r, pos) group by r)
+select doc_id, len(w)::bigint as n_words, len(w)::bigint - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join k using (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": MIXING, "op9_decontamination": DECONTAMINATION}
+    return {"op7_mixing": MIXING, "op9_decontamination": DECONTAMINATION, "op11_block_anchors": BLOCK_ANCHORS}

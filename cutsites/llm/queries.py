@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutsites.llm import decontamination, html_wrapper, line_dedup, mixing, near_duplicates, quality_mil, quality_rules, secret_scan, sharding, suffix_dedup
+from cutsites.llm import block_anchors, decontamination, html_wrapper, line_dedup, mixing, near_duplicates, quality_mil, quality_rules, secret_scan, sharding, suffix_dedup
 from cutsites.llm.common import table
 
 
@@ -73,5 +73,10 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.apply(docs, rules, ["doc_id"]).select(*columns)
 
 
+def op11_block_anchors(spark: SparkSession, folder: str) -> DataFrame:
+    found = block_anchors.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: value for name, value in globals().items() if name.startswith("op")}
