@@ -74,7 +74,7 @@ def range_of(numbers: np.ndarray, bits: int, n: int) -> np.ndarray:
 def parts(to: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Slices of equal values of a sorted array."""
     who, low = np.unique(to, return_index=True)
-    for r, a, b in zip(who.tolist(), low.tolist(), np.append(low[1:], len(to)).tolist(), strict=True):
+    for r, a, b in zip(who.tolist(), low.tolist(), np.append(low[1:], len(to))[: len(who)].tolist(), strict=True):
         yield r, slice(a, b)
 
 

@@ -59,5 +59,79 @@ from d left join k using (r)
 """
 
 
+FILTER_AUDIT = r"""
+with d as (
+  select doc_id, coalesce(text, '') as t, coalesce(source, '') as part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+m as (
+  select doc_id, part,
+    case when len(w) < 200 then 1 else 0 end
+    + case when 100 * len(list_distinct(w)) < 50 * len(w) then 2 else 0 end
+    + case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) then 4 else 0 end
+    + case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end
+    + case when doc_id > min(doc_id) over (partition by t) then 16 else 0 end as mask
+  from d),
+l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+c as (
+  select part, mask, count(*) as n, count(*) filter (coalesce(good, false)) as good, count(*) filter (coalesce(toxic, false)) as toxic
+  from m left join l using (doc_id) group by part, mask),
+f as (select unnest(['A', 'B', 'C', 'D', 'E']) as f),
+o as (
+  select a.f || b.f || c.f || d.f || e.f as filter_order from f a, f b, f c, f d, f e
+  where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s as (select filter_order, unnest([1, 2, 3, 4, 5]) as step from o),
+b as (
+  select filter_order, step, 1 << (instr('ABCDE', filter_order[step]) - 1) as own,
+    coalesce(list_sum([1 << (instr('ABCDE', filter_order[i]) - 1) for i in range(1, step)]), 0)::bigint as before
+  from s),
+r as (
+  select part, filter_order, step,
+    sum(case when mask & (before | own) = 0 then n else 0 end)::bigint as kept,
+    sum(case when mask & own > 0 and mask & before = 0 then n else 0 end)::bigint as removed,
+    sum(case when mask & own > 0 and mask & before > 0 then n else 0 end)::bigint as redundant,
+    sum(case when mask = own then n else 0 end)::bigint as unique_fails,
+    sum(case when mask & own > 0 and mask & before = 0 then good else 0 end)::bigint as good_lost,
+    sum(case when mask & own > 0 and mask & before = 0 then toxic else 0 end)::bigint as toxic_lost
+  from c, b group by part, filter_order, step)
+select *, sum(removed) over (partition by part, filter_order[step])::bigint as shapley from r
+"""
+
+
+BURST_TRIES = r"""
+with o as (
+  select conv_id, turn, coalesce(role, '') as role, md5(coalesce(text, '')) as h, md5(md5(coalesce(text, '')) || coalesce(role, '')) as id,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as words
+  from conversations where conv_id is not null),
+own as (
+  select conv_id, list(id order by turn nulls first, role, h) as ids, list(words order by turn nulls first, role, h) as words from o group by conv_id),
+bytes as (select *, list_prepend(4294967295, [unicode(x)::bigint for x in string_split(conv_id::varchar, '')]) as b from own),
+crc as (  -- CRC-32: eight shifts a byte
+  select *, (4294967295 - list_reduce(b, lambda crc, x: list_reduce([xor(crc, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, i: xor(a >> 1, 3988292384 * (a & 1))))) % 4 as h
+  from bytes),
+r as (
+  select c.conv_id, coalesce(f.ids[1:c.h], []) || c.ids[c.h + 1:] as ids, coalesce(f.words[1:c.h], []) || c.words[c.h + 1:] as words
+  from crc c left join own f on f.conv_id = c.conv_id - c.conv_id % 20),
+u as (select conv_id, ids, words, unnest(range(0, len(ids) + 1)) as d from r),
+p as (
+  select conv_id, d, md5(array_to_string(ids[1:d], ',')) as key, case when d > 0 then md5(array_to_string(ids[1:d - 1], ',')) end as above,
+         case when d > 0 then words[d] else 0 end as w, d = len(ids) as ends
+  from u),
+n as (
+  select key, d, any_value(above) as above, min(conv_id) as conv_id, count(*) as n_convs, any_value(w) as w,
+         sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256
+  from p group by key, d),
+k as (select above as key, d - 1 as d, count(*) as n_children, min(conv_id) as least from n where d > 0 group by above, d),
+x as (select n.*, coalesce(n_children, 0) as n_children from n left join k using (key, d)),
+s as (
+  select p.key, p.d, sum(case when x.n_children = 0 then 1 else 0 end) as n_leaves, sum((x.n_convs - 1) * x.w) as saved_tokens
+  from x join p on p.conv_id = x.conv_id and p.d <= x.d group by p.key, p.d)
+select x.conv_id, x.d::bigint as depth, a.conv_id as parent_conv_id, x.n_convs, x.n_children, s.n_leaves::bigint as n_leaves,
+       s.saved_tokens::bigint as saved_tokens, x.ends_sha256
+from x join s using (key, d) left join n a on a.key = x.above and a.d = x.d - 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": MIXING, "op9_decontamination": DECONTAMINATION, "op11_block_anchors": BLOCK_ANCHORS}
+    return {
+        "op7_mixing": MIXING, "op9_decontamination": DECONTAMINATION, "op11_block_anchors": BLOCK_ANCHORS, "op12_filter_audit": FILTER_AUDIT,
+        "op13_burst_tries": BURST_TRIES,
+    }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutsites.llm import block_anchors, decontamination, html_wrapper, line_dedup, mixing, near_duplicates, quality_mil, quality_rules, secret_scan, sharding, suffix_dedup
+from cutsites.llm import block_anchors, burst_tries, decontamination, html_wrapper, line_dedup, mixing, near_duplicates, quality_mil, quality_rules, secret_scan, sharding, suffix_dedup, text_tries
 from cutsites.llm.common import table
 
 
@@ -78,5 +78,13 @@ def op11_block_anchors(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return text_tries.audit(table(spark, folder, "documents").select("doc_id", "text", "source"), table(spark, folder, "labels"))
+
+
+def op13_burst_tries(spark: SparkSession, folder: str) -> DataFrame:
+    return burst_tries.nodes(table(spark, folder, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: value for name, value in globals().items() if name.startswith("op")}
