@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cutsites.functions import coordinates as co
 from cutsites.functions import keys as k
-from cutsites.functions.sequences import identity, identity_of_length, reverse_complement
+from cutsites.functions.sequences import BASES_PER_WORD, identity, packed, reverse_complement, unequal_bases
+from cutsites.sources import fasta_index
 
 
 def padded_chunks(chunks: DataFrame, chunk_len: int, pad: int) -> DataFrame:
@@ -76,8 +77,17 @@ def upstream_sequence(
     return slice_sequences(windows, chunks, chunk_len, upstream + 1)
 
 
-def oligo_identities(with_seq: DataFrame, oligos: DataFrame, flank: int) -> DataFrame:
-    """Equal bases of each site with every oligo of its method.
+def upstream_sequence_indexed(
+    sites: DataFrame, index: DataFrame, lengths: DataFrame, upstream: int, range_bytes: int = fasta_index.RANGE_BYTES
+) -> DataFrame:
+    """``upstream_sequence`` out of indexed FASTA files: only the byte ranges that hold a window are read."""
+    windows = upstream_windows(sites, lengths, upstream)
+    found = fasta_index.fetch(windows, index, upstream + 1, range_bytes)
+    return found.withColumn("seq", co.by_strand(F.col("strand"), F.col("seq"), reverse_complement(F.col("seq"))))
+
+
+def oligo_identities(with_seq: DataFrame, oligos: DataFrame, flank: int, longest: int = 2 * BASES_PER_WORD) -> DataFrame:
+    """Equal bases of each site with every oligo (of at most ``longest`` bases) of its method.
 
     ``with_seq`` holds the longest window; a shorter oligo is compared with the
     last ``oligo_len + flank + 1`` bases, which is the window of that length even
@@ -87,7 +97,7 @@ def oligo_identities(with_seq: DataFrame, oligos: DataFrame, flank: int) -> Data
     return (
         with_seq.withColumnRenamed("seq", "window_seq")
         .join(oligos, "library_method")
-        .withColumn("identical_base_num", identity(F.col("seq"), window).cast("bigint"))
+        .withColumn("identical_base_num", identity(F.col("seq"), window, longest=longest).cast("bigint"))
         .drop("window_seq", "seq")
     )
 
@@ -104,35 +114,50 @@ def below_limit(identities: DataFrame, oligo_len: int, limit: int) -> DataFrame:
     return identities.where((F.col("oligo_len") == oligo_len) & (F.col("identical_base_num") < limit))
 
 
-def _below(window: Column, length: int, limit: int) -> Callable[[Column], Column]:
-    return lambda oligo: identity_of_length(oligo, window, length) < limit
+def _below(window: Column, window_words: Column, length: int, limit: int) -> Callable[[Column], Column]:
+    """Whether a packed oligo has fewer than ``limit`` bases in common with the window; NULL if one of them is too short."""
+    return lambda oligo: F.when(
+        (oligo["n"] == length) & (F.length(window) >= length), length - unequal_bases(oligo["words"], window_words, length) < limit
+    )
 
 
 def mispriming_filter(
     sites: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | None,
     lengths: DataFrame,
     oligos: DataFrame,
     limits: dict[int, int],
     flank: int,
     chunk_len: int,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Keep sites whose upstream bases differ enough from their method's oligos at every length.
 
-    One sequence fetch for the longest window; the comparison itself is a
-    predicate on the joined row. A method needs an oligo of every length; where it has
-    several of one length, the site must pass for each.
+    One sequence fetch for the longest window, from the chunks of the genome or through an ``index`` of its files. A method
+    needs an oligo of every length; where it has several of one length, the site must pass for each.
     """
-    longest = max(limits)
-    with_seq = upstream_sequence(sites, chunks, lengths, longest + flank, chunk_len)
+    upstream = max(limits) + flank
+    if index is not None:
+        with_seq = upstream_sequence_indexed(sites, index, lengths, upstream)
+    else:
+        with_seq = upstream_sequence(sites, chunks, lengths, upstream, chunk_len)
+    return differing_sites(with_seq, oligos, limits, flank).select(*sites.columns)
+
+
+def differing_sites(with_seq: DataFrame, oligos: DataFrame, limits: dict[int, int], flank: int) -> DataFrame:
+    """Sites with their longest window (``seq``) that stay below the limit of every length; the comparison is a predicate on the row."""
     per_method = oligos.groupBy("library_method").agg(
-        *[F.collect_set(F.when(F.col("oligo_len") == n, F.col("seq"))).alias(f"_oligos_{n}") for n in limits]
+        *[
+            F.collect_set(F.when(F.col("oligo_len") == n, F.struct(F.length("seq").alias("n"), packed(F.col("seq"), n).alias("words")))).alias(f"_oligos_{n}")
+            for n in limits
+        ]
     )
-    passed = F.lit(True)
+    passed, words = F.lit(True), {}
     for n, limit in limits.items():
         window = F.expr(f"right(seq, {n + flank + 1})")
-        passed = passed & (F.size(f"_oligos_{n}") > 0) & F.forall(f"_oligos_{n}", _below(window, n, limit))
-    return with_seq.join(per_method, "library_method").where(passed).select(*sites.columns)
+        words[f"_window_{n}"] = packed(window, n)  # once a site, whatever the number of oligos
+        passed = passed & (F.size(f"_oligos_{n}") > 0) & F.forall(f"_oligos_{n}", _below(window, F.col(f"_window_{n}"), n, limit))
+    return with_seq.join(per_method, "library_method").withColumns(words).where(passed)
 
 
 def site_fasta(with_seq: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +53,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of executors, once for a Spark context (for the few operators with Python in tasks)."""
+    context = spark.sparkContext
+    if not getattr(context, "_cutsites_sent", False):
+        root = Path(__file__).resolve().parent
+        target = Path(os.path.realpath(tempfile.mkdtemp(prefix="cutsites-"))) / "cutsites-code.zip"
+        with zipfile.ZipFile(target, "w") as archive:
+            for file in sorted(root.rglob("*.py")):
+                archive.write(file, file.relative_to(root.parent))
+        context.addPyFile(str(target))
+        context._cutsites_sent = True
+
+
 def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
     """A literal table (sheet, rules, oligos) as a local relation.
 

@@ -14,9 +14,31 @@ from pyspark.sql import functions as F
 PIECE = 1024
 
 
-def read_genome_chunks(spark: SparkSession, path: str, chunk_len: int) -> DataFrame:
-    """Chunks ``chr, chunk, seq``: chunk ``i`` holds bases ``[i*chunk_len, (i+1)*chunk_len)``."""
+def genome_lines(chunks: DataFrame, chunk_len: int, part_chunks: int | None = None) -> DataFrame:
+    """Chunks as FASTA lines ``value``, in the order of ``chr``, ``part``, ``line``.
+
+    A contig is one record, or with ``part_chunks`` a record ``>chr:offset`` for every so many chunks. Parts can then go to files of their
+    own: nothing of a contig is gathered to write it.
+    """
+    part = F.expr(f"chunk div {part_chunks}") if part_chunks else F.lit(0).cast("bigint")
+    rows = chunks.select("chr", part.alias("part"), F.col("chunk").alias("line"), F.col("seq").alias("value"))
+    name = F.concat(F.lit(">"), "chr")
+    if part_chunks:
+        name = F.concat(name, F.lit(":"), (F.col("part") * part_chunks * chunk_len).cast("string"))
+    headers = rows.select("chr", "part").distinct().select("chr", "part", F.lit(-1).cast("bigint").alias("line"), name.alias("value"))
+    ordered = rows.unionByName(headers).repartitionByRange("chr", "part")  # a part is never cut
+    return ordered.sortWithinPartitions("chr", "part", "line")
+
+
+def read_genome_chunks(spark: SparkSession, path: str, chunk_len: int, offsets: bool = False) -> DataFrame:
+    """Chunks ``chr, chunk, seq``: chunk ``i`` holds bases ``[i*chunk_len, (i+1)*chunk_len)``.
+
+    With ``offsets`` a record ``>chr:n`` holds the bases of ``chr`` from the n-th on (0-based).
+    """
     lines = _placed_lines(spark, path)
+    if offsets:
+        start = F.regexp_extract("chr", r":(\d+)$", 1).cast("bigint")
+        lines = lines.select(F.regexp_replace("chr", r":\d+$", "").alias("chr"), (F.col("pos") + start).alias("pos"), "bases")
     first = F.floor(F.col("pos") / chunk_len).cast("bigint")
     last = F.floor((F.col("pos") + F.length("bases") - 1) / chunk_len).cast("bigint")
     lo = F.greatest(F.col("pos"), F.col("chunk") * chunk_len)

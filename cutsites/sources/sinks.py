@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutsites.schemas import SITE_KEYS
+from cutsites.sources.fasta import genome_lines
 
 
 def write_counts(counts: DataFrame, path: str) -> None:
@@ -61,6 +62,11 @@ def write_split(df: DataFrame, path: str, key: str, order: Sequence[str]) -> Non
     )
 
 
+def write_genome(chunks: DataFrame, path: str, chunk_len: int, part_chunks: int | None = None) -> None:
+    """Chunks as wrapped FASTA text, range-partitioned by contig (and part of it, see ``fasta.genome_lines``)."""
+    genome_lines(chunks, chunk_len, part_chunks).select("value").write.text(path)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """Report table as CSV with a header."""
     df.write.option("header", True).csv(path)

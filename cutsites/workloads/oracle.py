@@ -531,6 +531,8 @@ from site_islands s join regions r
         "alias_recode": sql(counted, _info_sql(_FOUR_METHODS, alias=True)),
         "genome_chunks": sql(seq, "select * from chunks"),
         "upstream_seq_incl": sql(windows(10), 'select id, "start", "end", seq from ws'),
+        "upstream_seq_indexed": sql(windows(10), 'select id, "start", "end", seq from ws'),
+        "upstream_seq_blocks": sql(windows(10), 'select id, "start", "end", seq from ws'),
         "upstream_seq_excl": sql(windows(9), 'select id, "start", "end", seq from ws'),
         "oligo_identity": sql(seq, "select id, cast(oligo_len as bigint) as oligo_len, identical_base_num from identities"),
         "identity_intersect": sql(seq, "select id from best"),

@@ -18,7 +18,7 @@ from cutsites.plans.find_candidates import Inputs, find_candidates
 from cutsites.profile import Profile
 from cutsites.schemas import REGION_KEYS, SITE_KEYS
 from cutsites.session import configure, scratch_path
-from cutsites.sources import fasta, sinks, tables
+from cutsites.sources import fasta, fasta_index, sinks, tables
 from cutsites.workloads import fixtures as fx
 
 
@@ -458,13 +458,26 @@ def lengths_roundtrip(lab: Lab) -> DataFrame:
 
 
 def genome_roundtrip(lab: Lab) -> DataFrame:
-    """The genome written as one wrapped FASTA record per contig, scanned back into longer chunks over several splits."""
+    """The genome written as wrapped FASTA, a record for 16 chunks with its offset, scanned back into longer chunks over several splits."""
     path = scratch_path(lab.spark, "genome")
-    lines = lab.inputs.chunks.select("chr", F.struct("chunk", "seq").alias("line"))
-    records = lines.groupBy("chr").agg(F.sort_array(F.collect_list("line")).alias("lines"))  # the test genome is small
-    text = F.concat(F.lit(">"), "chr", F.lit("\n"), F.array_join("lines.seq", "\n"))
-    records.select(text.alias("value")).repartition(3).write.text(path)
-    return fasta.read_genome_chunks(lab.spark, path, 3 * fx.CHUNK_LEN)
+    sinks.write_genome(lab.inputs.chunks, path, fx.CHUNK_LEN, part_chunks=16)
+    return fasta.read_genome_chunks(lab.spark, path, 3 * fx.CHUNK_LEN, offsets=True)
+
+
+def upstream_seq_indexed(lab: Lab) -> DataFrame:
+    """``upstream_seq_incl`` out of FASTA text, reading only the byte ranges that hold a window."""
+    path = scratch_path(lab.spark, "genome")
+    sinks.write_genome(lab.inputs.chunks, path, fx.CHUNK_LEN)
+    index = fasta_index.build_index(lab.spark, path, range_bytes=1000)
+    return _with_id(sequence.upstream_sequence_indexed(lab.best, index, lab.inputs.lengths, 10, range_bytes=1000))
+
+
+def upstream_seq_blocks(lab: Lab) -> DataFrame:
+    """``upstream_seq_incl`` out of block-compressed FASTA."""
+    lines = fasta.genome_lines(lab.inputs.chunks, fx.CHUNK_LEN)
+    files = fasta_index.write_blocked(lines, scratch_path(lab.spark, "genome"))
+    index = fasta_index.build_index(lab.spark, files)
+    return _with_id(sequence.upstream_sequence_indexed(lab.best, index, lab.inputs.lengths, 10))
 
 
 def report_roundtrip(lab: Lab) -> DataFrame:
@@ -548,6 +561,8 @@ FOUR_METHOD = [
     merged_bed_roundtrip,
     lengths_roundtrip,
     genome_roundtrip,
+    upstream_seq_indexed,
+    upstream_seq_blocks,
     report_roundtrip,
     tsv_roundtrip,
     split_by_method,

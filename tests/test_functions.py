@@ -1,5 +1,9 @@
 """Column expressions on hand-made rows."""
 
+import random
+
+import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from cutsites.functions import coordinates as co
@@ -66,3 +70,28 @@ def test_sequences(spark):
         (None, None, None),
     ]
     assert one(df.limit(1), reverse_complement(F.lit("AACGTc"))) == [("gACGTT",)]
+
+
+def test_packed_identity_equals_letter_by_letter(spark):
+    """All letters of sequence files, both cases, at lengths around the word size."""
+    rng = random.Random(9)
+    letters = "ACGT" * 6 + "acgt" * 2 + "NnRYSWKMBDHVUXryswkmbdhvux-.*"
+    rows = []
+    for n in (0, 1, 4, 10, 30, 31, 32, 61, 62) * 12:
+        oligo = "".join(rng.choice(letters) for _ in range(n))
+        seq = "".join(x if rng.random() < 0.6 else rng.choice(letters) for x in oligo) + "".join(rng.choice(letters) for _ in range(rng.randrange(3)))
+        rows.append((oligo, seq if rng.random() < 0.9 else seq[: n // 2]))
+    df = spark.createDataFrame(rows + [(None, "A"), ("A", None)], "a string, b string")
+    got = one(df, "a", "b", identity(F.col("a"), F.col("b")), identity(F.col("a"), F.col("b"), False))
+    for a, b, exact, folded in got:
+        short = a is None or b is None or len(b) < len(a)
+        assert exact == (None if short else sum(x == y for x, y in zip(a, b)))
+        assert folded == (None if short else sum(x == y for x, y in zip(a.upper(), b.upper())))
+    plan = df.select(identity(F.col("a"), F.col("b")))._jdf.queryExecution().toString()
+    assert "aggregate(" not in plan and "bit_count(" in plan
+
+
+@pytest.mark.parametrize("a, b", [("AC!", "ACG"), ("ACG", "AEG"), ("A" * 63, "A" * 63)])
+def test_what_cannot_be_packed_is_an_error(spark, a, b):
+    with pytest.raises(PySparkException):
+        spark.createDataFrame([(a, b)], "a string, b string").select(identity(F.col("a"), F.col("b"))).collect()

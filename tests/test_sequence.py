@@ -11,8 +11,8 @@ from cutsites.sources import fasta
 COMPLEMENT = str.maketrans("ACGTacgt", "TGCAtgca")
 
 
-def genome(spark, bases, n):
-    rows = [("c", i // n, bases[i : i + n]) for i in range(0, len(bases), n)]
+def genome(spark, bases, n, contig="c"):
+    rows = [(contig, i // n, bases[i : i + n]) for i in range(0, len(bases), n)]
     return spark.createDataFrame(rows, schemas.GENOME_CHUNKS)
 
 
@@ -95,9 +95,13 @@ def test_every_oligo_of_a_length_counts(spark):
     bases = "TTTTACGATTTT"
     site = spark.createDataFrame([("sp", "TA", "chr1", "+", 8)], "species string, library_method string, chr string, strand string, end5 long")
     lengths = spark.createDataFrame([("chr1", 12)], schemas.GENOME_LENGTHS)
-    for oligos, kept in (([("TA", 4, "TACG")], 0), ([("TA", 4, "TACG"), ("TA", 4, "TTTT")], 0), ([("TA", 4, "GGGG"), ("TA", 4, "CCCC")], 1)):
+    chunks = genome(spark, bases, 4, "chr1")
+    with_seq = S.upstream_sequence(site, chunks, lengths, 4, 4)
+    assert [r.seq for r in with_seq.collect()] == ["TACGA"]  # the oligo is compared with TACG, before the site
+    for oligos, kept in (
+        ([("TA", 4, "TACG")], 0), ([("TA", 4, "TACG"), ("TA", 4, "TTTT")], 0), ([("TA", 4, "TTTT"), ("TA", 4, "TACG")], 0), ([("TA", 4, "GGGG"), ("TA", 4, "CCCC")], 1),
+    ):
         oligo = spark.createDataFrame(oligos, schemas.OLIGOS)
-        got = S.mispriming_filter(site, genome(spark, bases, 4), lengths, oligo, {4: 4}, 0, 4)
-        with_seq = S.upstream_sequence(site, genome(spark, bases, 4), lengths, 4, 4)
+        got = S.mispriming_filter(site, chunks, lengths, oligo, {4: 4}, 0, 4)
         ids = S.oligo_identities(with_seq, oligo, 0)
         assert got.count() == kept == int(S.below_limit(ids, 4, 4).count() == len(oligos))
