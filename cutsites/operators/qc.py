@@ -119,3 +119,9 @@ def known_site_report(ratios: DataFrame, design: DataFrame, ids: Sequence[str] |
 def contingency(df: DataFrame, rows: str, columns: str) -> DataFrame:
     """Two-way table of counts in long form (``rows``, ``columns``, ``n``): no value can be missed."""
     return df.groupBy(rows, columns).agg(F.count("*").alias("n"))
+
+
+def position_contingency(positions: DataFrame, key: str, parts: int = 40) -> DataFrame:
+    """Peaks by ``key`` and ``part`` of the contig (0 to ``parts`` - 1): where hotspots show. A peak at the very end is in the last part."""
+    part = F.least(F.floor(F.col("coor_per") * parts), F.lit(parts - 1)).cast("bigint")
+    return contingency(positions.where(F.col("coor_per").isNotNull()).withColumn("part", part), key, "part")

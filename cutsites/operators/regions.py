@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 TILE_BITS = 14
 BIN_BITS = 8
+#: Bins for intervals of any length: each lies in at most two bins of the narrowest level that allows it.
+BIN_LEVELS = (8, 14, 20, 26, 32)
 TILE = "tile"
 
 
@@ -133,6 +135,14 @@ def best_per_region(
     return merge_regions(df, keys, gap, [Agg("best", "min", best)], tile_bits, tiled)
 
 
+def binned_intervals(intervals: DataFrame, lo: str, hi: str, levels: Sequence[int] = BIN_LEVELS) -> DataFrame:
+    """Intervals repeated for the bins (``_level``, ``_bin``) they lie in: at most two, unless the last level is too narrow too."""
+    fits = " ".join(f"when ({hi} >> {b}) - ({lo} >> {b}) <= 1 then {b}" for b in levels[:-1])
+    level = f"case {fits} else {levels[-1]} end" if fits else str(levels[-1])
+    placed = intervals.where(f"{lo} <= {hi}").withColumn("_level", F.expr(level))
+    return placed.withColumn("_bin", F.expr(f"explode(sequence({lo} >> _level, {hi} >> _level))"))
+
+
 def range_join(
     points: DataFrame,
     intervals: DataFrame,
@@ -140,26 +150,31 @@ def range_join(
     position: str,
     lo: str,
     hi: str,
-    bin_bits: int = BIN_BITS,
+    bin_bits: int | Sequence[int] = BIN_BITS,
 ) -> DataFrame:
     """Pairs of points and intervals with equal ``keys`` and ``lo <= position <= hi``.
 
-    Intervals are repeated for every bin they touch, a point lies in exactly one
-    bin, so the join is an equi-join on keys and bin without duplicates. Bins are
+    The join is an equi-join on keys and bin without duplicates. With one width of bins, right for intervals of a few
+    bins, an interval is repeated for every bin it touches and a point lies in exactly one. With several widths
+    (``BIN_LEVELS``), right for intervals of any length, an interval is two rows at most and a point one row for each width. Bins are
     narrow in positions, which also spreads a contig that holds most rows. When the
     points carry their tile, it is part of the key: a layout hashed on (keys, tile)
     then serves the join without another shuffle of the points.
     """
-    left = points.withColumn("_bin", F.expr(f"shiftright({position}, {bin_bits})"))
-    bins = f"explode(sequence(shiftright({lo}, {bin_bits}), shiftright({hi}, {bin_bits})))"
-    right = intervals.where(f"{lo} <= {hi}").withColumn("_bin", F.expr(bins))
-    return left.join(right, [*keys, "_bin"]).where(f"{position} between {lo} and {hi}").drop("_bin")
+    if isinstance(bin_bits, int):
+        left = points.withColumn("_bin", F.expr(f"shiftright({position}, {bin_bits})"))
+        bins = f"explode(sequence(shiftright({lo}, {bin_bits}), shiftright({hi}, {bin_bits})))"
+        right = intervals.where(f"{lo} <= {hi}").withColumn("_bin", F.expr(bins))
+        return left.join(right, [*keys, "_bin"]).where(f"{position} between {lo} and {hi}").drop("_bin")
+    left = points.withColumn("_level", F.explode(F.array(*[F.lit(b) for b in bin_bits]))).withColumn("_bin", F.expr(f"{position} >> _level"))
+    joined = left.join(binned_intervals(intervals, lo, hi, bin_bits), [*keys, "_level", "_bin"])
+    return joined.where(f"{position} between {lo} and {hi}").drop("_level", "_bin")
 
 
 def region_members(
-    df: DataFrame, keys: Sequence[str], gap: int, tile_bits: int = TILE_BITS, bin_bits: int = BIN_BITS
+    df: DataFrame, keys: Sequence[str], gap: int, tile_bits: int = TILE_BITS, bin_bits: int | Sequence[int] = BIN_LEVELS
 ) -> DataFrame:
-    """Rows of ``df`` with the bounds of the merged region they belong to."""
+    """Rows of ``df`` with the bounds of the merged region they belong to, however long regions become."""
     regions = merge_regions(df.select(*keys, "start", "end"), keys, gap, tile_bits=tile_bits).select(
         *keys,
         F.col("start").alias("region_start"),

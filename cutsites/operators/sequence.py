@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cutsites.functions import coordinates as co
@@ -130,20 +130,31 @@ def mispriming_filter(
     flank: int,
     chunk_len: int,
     index: DataFrame | None = None,
+    observation: Observation | None = None,
 ) -> DataFrame:
     """Keep sites whose upstream bases differ enough from their method's oligos at every length.
 
     One sequence fetch for the longest window, from the chunks of the genome or through an ``index`` of its files. A method
     needs an oligo of every length; where it has several of one length, the site must pass for each.
+    ``observation`` gets the numbers of ``window_metrics`` once the result is computed, without another pass.
     """
     upstream = max(limits) + flank
     if index is not None:
         with_seq = upstream_sequence_indexed(sites, index, lengths, upstream)
     else:
         with_seq = upstream_sequence(sites, chunks, lengths, upstream, chunk_len)
+    if observation is not None:
+        with_seq = with_seq.observe(observation, *window_metrics(limits, flank))
     return differing_sites(with_seq, oligos, limits, flank).select(*sites.columns)
 
 
+def window_metrics(lengths: Iterable[int], flank: int) -> list[Column]:
+    """Number of sites, and for each oligo length how many windows are too short to compare."""
+    found = [F.length(F.expr(f"right(seq, {n + flank + 1})")) for n in lengths]
+    short = [F.sum((F.coalesce(size, F.lit(0)) < n).cast("bigint")).alias(f"truncated_{n}") for n, size in zip(lengths, found, strict=True)]
+    return [F.count(F.lit(1)).alias("n_sites"), *short]
+
+
 def differing_sites(with_seq: DataFrame, oligos: DataFrame, limits: dict[int, int], flank: int) -> DataFrame:
     """Sites with their longest window (``seq``) that stay below the limit of every length; the comparison is a predicate on the row."""
     per_method = oligos.groupBy("library_method").agg(

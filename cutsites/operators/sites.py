@@ -14,6 +14,18 @@ from cutsites.schemas import SITE_KEYS
 LAYOUT = (*SITE_KEYS, TILE)
 
 
+def positioned_counts(counts: DataFrame, control_type: str | None = None, tile_bits: int = TILE_BITS) -> DataFrame:
+    """Counts with a complete key, their tile, and whether they are control samples (``is_control``, if there are any)."""
+    keys = [*SITE_KEYS, "end5", "sample"]
+    mark = [f"coalesce(sample_type = '{control_type}', false) as is_control"] if control_type else []
+    complete = counts.where(" and ".join(f"{c} is not null" for c in keys))
+    # The default never applies; it makes the position (and so its tile and bin)
+    # not nullable, and a join on them cannot add filters to one of the two users.
+    return complete.selectExpr(*SITE_KEYS, "coalesce(end5, 0L) as end5", "sample", "count_end5", *mark).withColumn(
+        TILE, F.expr(f"shiftright(end5 - 1, {tile_bits})")
+    )
+
+
 def tile_counts(counts: DataFrame, control_type: str | None = None, tile_bits: int = TILE_BITS) -> DataFrame:
     """Lay the counts out by (species, method, contig, strand, tile).
 
@@ -25,25 +37,21 @@ def tile_counts(counts: DataFrame, control_type: str | None = None, tile_bits: i
     the same columns and Spark shuffles the counts once. Control samples travel along,
     marked by ``is_control``, instead of being read in a second pass.
     """
-    keys = [*SITE_KEYS, "end5", "sample"]
-    mark = [f"coalesce(sample_type = '{control_type}', false) as is_control"] if control_type else []
-    complete = counts.where(" and ".join(f"{c} is not null" for c in keys))
-    return (
-        # The default never applies; it makes the position (and so its tile and bin)
-        # not nullable, and a join on them cannot add filters to one of the two users.
-        complete.selectExpr(*SITE_KEYS, "coalesce(end5, 0L) as end5", "sample", "count_end5", *mark)
-        .withColumn(TILE, F.expr(f"shiftright(end5 - 1, {tile_bits})"))
-        .repartition(*LAYOUT)
-    )
+    return positioned_counts(counts, control_type, tile_bits).repartition(*LAYOUT)
 
 
-def replicate_sums(tiled: DataFrame, design: DataFrame) -> DataFrame:
+def replicate_sums(tiled: DataFrame, design: DataFrame, strict: bool = False) -> DataFrame:
     """CPM of each position summed over the sample types of a replicate.
 
     ``n_design`` is the number of replicate and type combinations of the method.
     Control samples do not add to the sum (which is NULL if there is nothing else);
-    ``in_control`` tells that the position occurs in one.
+    ``in_control`` tells that the position occurs in one. With ``strict`` a sample without
+    a library size is an error, found in the same pass; otherwise it adds nothing.
     """
+    size = F.col("count_frag_sample")
+    if strict:
+        missing = F.raise_error(F.concat(F.lit("no library size for the sample "), F.col("sample")))
+        size = F.when(size.isNull(), missing).otherwise(size)
     counted, flag = F.col("count_end5"), []
     if "is_control" in tiled.columns:
         counted = F.expr("if(is_control, null, count_end5)")
@@ -52,7 +60,7 @@ def replicate_sums(tiled: DataFrame, design: DataFrame) -> DataFrame:
         tiled.join(design, "sample", "left")
         .groupBy(*LAYOUT, "end5", "sample_rep")
         .agg(
-            F.sum(cpm(counted, F.col("count_frag_sample"))).alias("cpm_end5_sum"),
+            F.sum(cpm(counted, size)).alias("cpm_end5_sum"),
             F.max("n_rep").alias("n_rep"),
             F.max(F.col("n_rep") * F.col("n_type")).alias("n_design"),
             *flag,
@@ -80,14 +88,14 @@ def site_means(hits: DataFrame) -> DataFrame:
     )
 
 
-def reproducible_site_means(tiled: DataFrame, design: DataFrame) -> DataFrame:
+def reproducible_site_means(tiled: DataFrame, design: DataFrame, strict: bool = False) -> DataFrame:
     """``site_means(reproducible_sites(...))`` as plain aggregations, without a window.
 
     Also carries ``in_control`` where the layout holds control samples.
     """
     flag = ["in_control"] if "is_control" in tiled.columns else []
     return (
-        replicate_sums(tiled, design)
+        replicate_sums(tiled, design, strict)
         .groupBy(*LAYOUT, "end5")
         .agg(
             F.count("cpm_end5_sum").alias("_seen"),

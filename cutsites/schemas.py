@@ -36,6 +36,7 @@ OLIGOS = _struct("library_method string, oligo_len bigint, seq string")
 GENOME_CHUNKS = _struct("chr string, chunk bigint, seq string")
 HOTSPOT_RULES = _struct("species string, chr string, lo double, hi double, lo_incl boolean, hi_incl boolean")
 CONTIG_ALIAS = _struct("chr string, alias string, fallback string")
+WINDOW_METRICS = _struct("oligo_len bigint, n_truncated bigint, n_sites bigint, n_kept bigint")
 
 # Key columns shared by the operators.
 SITE_KEYS = ("species", "library_method", "chr", "strand")

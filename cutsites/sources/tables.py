@@ -83,6 +83,34 @@ def alias_table(*aliases: DataFrame) -> DataFrame:
     return table.select(F.col("genbank").alias("chr"), F.col("UCSC").alias("alias"))
 
 
+def resolved_aliases(*aliases: DataFrame) -> DataFrame:
+    """One display name (``alias``) for each accession (``chr``) out of several archives.
+
+    The same pair may be listed more than once. Two names for an accession, or one name for two accessions, is an error: rows of the final
+    table would be doubled, or contigs confused. Lines without an accession or a name say nothing.
+    """
+    pairs = alias_table(*aliases).where("chr is not null and alias is not null").distinct()
+
+    def single(df: DataFrame, key: str, value: str) -> DataFrame:
+        clash = F.raise_error(F.concat(F.lit(f"{key} "), F.col(key), F.lit(f" has two values of {value}: "), F.col("_a"), F.lit(", "), F.col("_b")))
+        least = df.groupBy(key).agg(F.min(value).alias("_a"), F.max(value).alias("_b"))
+        return least.select(key, F.when(F.col("_a") != F.col("_b"), clash).otherwise(F.col("_a")).alias(value))
+
+    return single(single(pairs, "chr", "alias"), "alias", "chr").select("chr", "alias")
+
+
+def files_of_sheet(spark: SparkSession, sheet: DataFrame, root: str, kind: str) -> DataFrame:
+    """What was read for each sample of the sheet: ``path``, number of files and rows, total count; zeros where a planned path gave nothing."""
+    planned = with_paths(sheet, root, kind).select("sample", "path").distinct()
+    tail = r"([^/]+/results/04\.bed/[^/]+)(?:/[^/]*)?$"
+    rows = read_sheet_fragments(spark, sheet, root, kind).select(F.col("_metadata.file_path").alias("file"), "count_frag")
+    read = rows.groupBy(F.regexp_extract("file", tail, 1).alias("_tail")).agg(
+        F.countDistinct("file").alias("n_files"), F.count("*").alias("n_rows"), F.sum("count_frag").alias("count_frag")
+    )
+    found = planned.withColumn("_tail", F.regexp_extract("path", tail, 1)).join(read, "_tail", "left").drop("_tail")
+    return found.na.fill(0, ["n_files", "n_rows", "count_frag"])
+
+
 def read_merged_bed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.MERGED_BED).option("sep", "\t").csv(path)
 

@@ -61,6 +61,11 @@ KNOWN = ("spA|chr1|2161|-", "spA|chr1|3241|-", "spA|chr1|521|+", "spA|chr1|5401|
 ALIAS = (("chr1", "c1", None), ("chr2", "c2", None), ("chr3", None, "c3"))
 
 
+# One accession is missing from one archive, one line is an alternate, one contig has no name at all.
+ALIAS_FOUR = (("chr11", "e1", "x1", "chr1"), ("chr12", "e2", "chr2", None), ("chrX", "e3", None, "chr3"), ("chrX_alt", "e4", None, "chr3"), ("chrUn_5", None, None, "chr5"))
+ALIAS_TWO = (("chr4", "chr14"), ("chr3", "chrX"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -197,3 +202,26 @@ def inputs(spark: SparkSession, sf_dir: str, control: bool = False, sequences: b
         chunk_len=CHUNK_LEN,
         oligos=oligos(spark) if sequences else None,
     )
+
+
+def write_alias_files(spark: SparkSession, lengths: DataFrame, folder: str) -> None:
+    """Alias files of two archives, with comment lines, for the contigs of ``lengths``."""
+    for name, rows, schema in (("four", ALIAS_FOUR, schemas.ALIAS_FOUR), ("two", ALIAS_TWO, schemas.ALIAS_TWO)):
+        listed = local_table(spark, list(rows), schema)
+        listed = listed.join(lengths.select(F.col("chr").alias("genbank_")), F.coalesce(*[c for c in ("genbank", "ENA") if c in listed.columns]) == F.col("genbank_"), "left_semi")
+        text = listed.select(F.concat_ws("\t", *[F.coalesce(c, F.lit("")) for c in listed.columns]).alias("value"))
+        text.unionByName(spark.range(1).select(F.lit("# accession and name").alias("value"))).write.text(f"{folder}/{name}")
+
+
+def write_sheet_files(spark: SparkSession, data: Inputs, folder: str) -> None:
+    """A sheet as CSV and a fragment table for each of its samples, where the sheet's data sets and samples say."""
+
+    def raw(column):
+        return F.concat(F.lit("s="), F.translate(column, "|", "_"))
+
+    sheet = data.sheet.withColumn("sample", raw(F.col("sample"))).withColumn("dataset", F.lit("run1#first")).withColumnRenamed("library_method", "method")
+    sheet.coalesce(1).write.option("header", True).csv(f"{folder}/sheet")
+    for kind, rows in (("genome", data.fragments), ("spikeins", data.spikeins)):
+        # A folder named s=<sample>_<kind>.bed is what the sheet's path of the sample means.
+        named = rows.withColumn("s", F.concat(F.translate("sample", "|", "_"), F.lit(f"_{kind}.bed"))).withColumn("sample", raw(F.col("sample")))
+        named.write.mode("append").partitionBy("s").option("sep", "\t").csv(f"{folder}/run1/results/04.bed")

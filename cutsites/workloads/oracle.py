@@ -286,10 +286,14 @@ _POSITIONS = """
 select t.*, (t_start + 1)::double / length as coor_per from tiered t left join genome_len g on g.chr = t.chr"""
 
 
-def _info_sql(methods, alias: bool = False) -> str:
+_SHORT = "case chr when 'chr1' then 'c1' when 'chr2' then 'c2' when 'chr3' then 'c3' else chr end"
+_UCSC = "case chr when 'chr1' then 'chr11' when 'chr2' then 'chr12' when 'chr3' then 'chrX' when 'chr4' then 'chr14' else chr end"
+
+
+def _info_sql(methods, alias: str = "") -> str:
     peaks = ", ".join(f"max(case when library_method = '{m}' then peak end) as peak_{m}" for m in methods)
     names = ", ".join(f"peak_{m}" for m in methods)
-    ucsc = "case chr when 'chr1' then 'c1' when 'chr2' then 'c2' when 'chr3' then 'c3' else chr end as chr_UCSC," if alias else ""
+    ucsc = f"{alias} as chr_UCSC," if alias else ""
     return f"""
 select p.tier, p.peak_id, p.species, p.chr, {ucsc} p.strand, {names}, round(ratio_mean, 6) as ratio_u_100
 from (select tier, peak_id, species, chr, strand, {peaks} from ratios group by all) p
@@ -303,6 +307,21 @@ def _outside_hotspots(steps: dict[str, str]) -> dict[str, str]:
     return steps
 
 
+def _near_start(steps: dict[str, str]) -> dict[str, str]:
+    """Sites 195 bases nearer to the start of their contig."""
+    moved = {}
+    for name, body in steps.items():
+        moved[name] = body.replace("from best_all b join genome_len l", "from near b join genome_len l") if name == "windows" else body
+        if name == "best_all":
+            moved["near"] = "select * exclude (end5), end5 - 195 as end5 from best_all"
+    return moved
+
+
+_TRUNCATED = """
+select cast(oligo_len as bigint) as oligo_len, cast(sum(case when length(seq) < oligo_len then 1 else 0 end) as bigint) as n_truncated,
+       count(*) as n_sites, (select count(*) from best) as n_kept
+from window_seqs group by oligo_len"""
+
 _KNOWN_SQL = f"""
 select * from (select distinct tier, peak_id, r.sample, library_method, sample_rep, sample_type, cs,
 round(cs * 1e6 / count_frag_sample, 6) as cpm from ratios r join sizes z on z.sample = r.sample
@@ -385,6 +404,32 @@ from site_islands s join regions r
         ),
         "tier_info_2s": sql(with_ratios(two), _info_sql(_FOUR_METHODS)),
         "tier_info_multi": sql(two_full, _info_sql(_FOUR_METHODS)),
+        "tier_info_multi_ucsc": sql(two_full, _info_sql(_FOUR_METHODS, _UCSC)),
+        "tier_info_from_sheet": sql(counted, _info_sql(_FOUR_METHODS)),
+        "sheet_files": sql(
+            four,
+            """select kind, sample, count(*) as n_rows, cast(sum(count_frag) as bigint) as count_frag, true as has_files
+            from (select 'genome' as kind, * from frags union all select 'spikeins', * from spike) group by kind, sample""",
+        ),
+        "cleavage_ratio_bucketed": sql(counted, f"select {_RATIO_COLUMNS} from ratios"),
+        "known_sites_full": sql(with_ratios(seq), _KNOWN_SQL),
+        "position_contingency": sql(
+            hot, "select chr, cast(least(floor(coor_per * 40), 39) as bigint) as part, count(*) as n from positions group by 1, 2"
+        ),
+        "truncated_windows": sql(_near_start(seq), _TRUNCATED),
+        "bed_order": sql(
+            four,
+            """select id, row_number() over (order by concat(species, '|', library_method, '|', chr), end5, id) as rank,
+            true as in_order, true as after_previous from best_all""",
+        ),
+        "report_order": sql(
+            counted,
+            """select peak_id, sample, row_number() over (order by peak_id, sample) as rank, true as in_order, true as after_previous
+            from ratios group by peak_id, sample""",
+        ),
+        "split_order": sql(
+            four, "select library_method, count(*) as n_rows, true as in_order, true as after_previous from best_all group by 1"
+        ),
         "tier_info_3m_2s": sql(with_ratios(three_two), _info_sql(_THREE["methods"])),
         "library_sizes": sql(four, "select * from sizes"),
         "design_numbers": sql(
@@ -415,7 +460,7 @@ from site_islands s join regions r
             left join sizes z on z.sample = s.sample""",
         ),
         "samples_without_size": sql(
-            four, "select distinct sample from counts_all where sample not in (select sample from sizes)"
+            four, "select distinct sample from counts_all where sample not in (select sample from sizes where sample <> 'spA|TA|r2|N')"
         ),
         "reproducible_sites": sql(
             four,
@@ -528,7 +573,7 @@ from site_islands s join regions r
             + " from ratios group by all",
         ),
         "tier_info": sql(counted, _info_sql(_FOUR_METHODS)),
-        "alias_recode": sql(counted, _info_sql(_FOUR_METHODS, alias=True)),
+        "alias_recode": sql(counted, _info_sql(_FOUR_METHODS, _SHORT)),
         "genome_chunks": sql(seq, "select * from chunks"),
         "upstream_seq_incl": sql(windows(10), 'select id, "start", "end", seq from ws'),
         "upstream_seq_indexed": sql(windows(10), 'select id, "start", "end", seq from ws'),

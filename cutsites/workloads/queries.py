@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cutsites import schemas
@@ -14,11 +14,11 @@ from cutsites.functions import coordinates as co
 from cutsites.functions import keys as k
 from cutsites.operators import counts as C
 from cutsites.operators import qc, ratio, regions, sequence, sites, tiers
-from cutsites.plans.find_candidates import Inputs, find_candidates
+from cutsites.plans.find_candidates import Inputs, find_candidates, stages
 from cutsites.profile import Profile
 from cutsites.schemas import REGION_KEYS, SITE_KEYS
-from cutsites.session import configure, scratch_path
-from cutsites.sources import fasta, fasta_index, sinks, tables
+from cutsites.session import configure, local_table, scratch_path
+from cutsites.sources import bucketed, fasta, fasta_index, order, sinks, tables
 from cutsites.workloads import fixtures as fx
 
 
@@ -141,7 +141,8 @@ def spikein_cpm(lab: Lab) -> DataFrame:
 
 
 def samples_without_size(lab: Lab) -> DataFrame:
-    return C.samples_without_size(lab.counts, lab.sizes)
+    """One sample's size is missing."""
+    return C.samples_without_size(lab.counts, lab.sizes.where(F.col("sample") != "spA|TA|r2|N"))
 
 
 # Sites and regions ---------------------------------------------------------------
@@ -348,6 +349,19 @@ def fasta_roundtrip(lab: Lab) -> DataFrame:
     return chunks.select(k.without_strand_suffix(F.col("chr")).alias("id"), "chunk", "seq")
 
 
+def truncated_windows(lab: Lab) -> DataFrame:
+    """Sites moved to the contig's start: windows too short to compare, counted while the filter's result is written."""
+    i, p = lab.inputs, lab.profile
+    seen = Observation("windows")
+    near = lab.best.withColumn("end5", F.col("end5") - 195)
+    kept = sequence.mispriming_filter(near, i.chunks, i.lengths, i.oligos, p.identity_limits, p.flank, i.chunk_len, observation=seen)
+    path = scratch_path(lab.spark, "kept")
+    kept.write.parquet(path)
+    n_kept = lab.spark.read.schema(kept.schema).parquet(path).count()
+    rows = [(n, seen.get[f"truncated_{n}"], seen.get["n_sites"], n_kept) for n in p.identity_limits]
+    return local_table(lab.spark, rows, schemas.WINDOW_METRICS)
+
+
 # Background, edges, hotspots, controls --------------------------------------------
 
 
@@ -400,6 +414,11 @@ def position_ecdf(lab: Lab) -> DataFrame:
     return _rounded(qc.position_ecdf(_positions(lab), keys), "coor_per", "ecdf")
 
 
+def position_contingency(lab: Lab) -> DataFrame:
+    """Peaks by contig and fortieth of it, from which hotspots are read."""
+    return qc.position_contingency(_positions(lab), "chr")
+
+
 def known_sites(lab: Lab) -> DataFrame:
     """Report on four regions given by id, chosen before the range join."""
     listed = qc.with_ids(lab.peaks, fx.KNOWN)
@@ -420,6 +439,50 @@ def tier_info_3m_full(lab: Lab) -> DataFrame:
     return _info(find_candidates(lab.inputs, replace(lab.profile, hotspots=fx.HOTSPOTS, edge_margin=100)))
 
 
+def known_sites_full(lab: Lab) -> DataFrame:
+    """The report on known sites out of the whole analysis."""
+    return _rounded(stages(lab.inputs, replace(lab.profile, known_sites=fx.KNOWN)).known, "cpm")
+
+
+def cleavage_ratio_bucketed(lab: Lab) -> DataFrame:
+    """The analysis out of bucketed counts, opened again by path: no shuffle of the counts."""
+    path = scratch_path(lab.spark, "counts")
+    bucketed.write_counts(C.on_grid(lab.counts, lab.profile, lab.inputs.main_contigs), path, 16)
+    lab.tiled = bucketed.read_counts(lab.spark, path, 16)
+    return cleavage_ratio_u100(lab)
+
+
+def _sheet_inputs(lab: Lab) -> tuple[DataFrame, str]:
+    folder = scratch_path(lab.spark, "sheet")
+    fx.write_sheet_files(lab.spark, lab.inputs, folder)
+    sheet = tables.read_sample_sheet(lab.spark, f"{folder}/sheet")
+    return sheet.where("coalesce(exclude, 'N') <> 'Y'"), folder  # an excluded line has no files
+
+
+def sheet_files(lab: Lab) -> DataFrame:
+    """Rows read for each line of a sheet file."""
+    sheet, folder = _sheet_inputs(lab)
+    kinds = [tables.files_of_sheet(lab.spark, sheet, folder, kind).withColumn("kind", F.lit(kind)) for kind in ("genome", "spikeins")]
+    rows = kinds[0].unionByName(kinds[1])
+    return rows.select("kind", F.translate(F.expr("substring(sample, 3)"), "_", "|").alias("sample"), "n_rows", "count_frag", (F.col("n_files") > 0).alias("has_files"))
+
+
+def tier_info_from_sheet(lab: Lab) -> DataFrame:
+    """From a sheet file to the final table: paths resolved, fragments read from them."""
+    sheet, folder = _sheet_inputs(lab)
+    frags, spikes = (tables.read_sheet_fragments(lab.spark, sheet, folder, kind) for kind in ("genome", "spikeins"))
+    return _info(find_candidates(Inputs(frags, spikes, sheet, lab.inputs.lengths), lab.profile))
+
+
+def tier_info_multi_ucsc(lab: Lab) -> DataFrame:
+    """The analysis of two species with display names out of alias files of two archives."""
+    folder = scratch_path(lab.spark, "alias")
+    fx.write_alias_files(lab.spark, lab.inputs.lengths, folder)
+    four = tables.main_chromosomes(tables.without_alternates(tables.read_alias_four(lab.spark, f"{folder}/four")))
+    names = tables.resolved_aliases(four, tables.read_alias_two(lab.spark, f"{folder}/two"))
+    return _info(find_candidates(replace(lab.inputs, alias=names), replace(lab.profile, hotspots=fx.HOTSPOTS)))
+
+
 # Sources and sinks ---------------------------------------------------------------
 
 
@@ -496,6 +559,47 @@ def tsv_roundtrip(lab: Lab) -> DataFrame:
     return lab.spark.read.schema(bounds.schema).option("header", True).option("sep", "\t").csv(path)
 
 
+_FEW_LINES = "spark.sql.files.maxRecordsPerFile"
+
+
+def _in_small_files(lab: Lab, write: Callable[[], None]) -> None:
+    """Let Spark begin a new file after 300 lines, so that order over files is seen."""
+    lab.spark.conf.set(_FEW_LINES, "300")
+    try:
+        write()
+    finally:
+        lab.spark.conf.unset(_FEW_LINES)
+
+
+def bed_order(lab: Lab) -> DataFrame:
+    """Rank of each line of a sorted BED over all its files, and whether files are in order in themselves and among each other."""
+    path, keys = scratch_path(lab.spark, "bed"), ["chrom", "start", "id"]
+    _in_small_files(lab, lambda: sinks.write_bed(sites.site_bed(lab.best), path, order=keys))
+    lines = lab.spark.read.schema(schemas.SITE_BED).option("sep", "\t").csv(path)
+    return order.ranked(lines, keys).select("id", "rank", "in_order", "after_previous")
+
+
+def report_order(lab: Lab) -> DataFrame:
+    """Rank of each line of a sorted report, rows without a value last."""
+    path, keys = scratch_path(lab.spark, "report"), ["peak_id", "sample"]
+    ratios = lab.ratios().select("peak_id", "sample", "library_method", "cs")
+    rows = ratios.groupBy(*keys).agg(F.sum("cs").alias("cs"))
+    _in_small_files(lab, lambda: sinks.write_tsv(rows, path, keys))
+    lines = lab.spark.read.schema(rows.schema).option("header", True).option("sep", "\t").csv(path)
+    return order.ranked(lines, keys).select(*keys, "rank", "in_order", "after_previous")
+
+
+def split_order(lab: Lab) -> DataFrame:
+    """Files of each method's folder: rows, and whether they are in order."""
+    path, keys = scratch_path(lab.spark, "methods"), ["chr", "start"]
+    bed = lab.best.select("library_method", "chr", co.unit_start(F.col("end5")).alias("start"), F.col("end5").alias("end"), "strand")
+    _in_small_files(lab, lambda: sinks.write_split(bed, path, "library_method", keys))
+    lines = lab.spark.read.schema("chr string, start bigint, end bigint, strand string, library_method string").option("sep", "\t").csv(path)
+    return order.ranked(lines, ["library_method", *keys]).groupBy("library_method").agg(
+        F.count("*").alias("n_rows"), F.min("in_order").alias("in_order"), F.min("after_previous").alias("after_previous")
+    )
+
+
 def split_by_method(lab: Lab) -> DataFrame:
     path = scratch_path(lab.spark, "methods")
     bed = lab.best.select(
@@ -563,6 +667,15 @@ FOUR_METHOD = [
     genome_roundtrip,
     upstream_seq_indexed,
     upstream_seq_blocks,
+    truncated_windows,
+    position_contingency,
+    known_sites_full,
+    cleavage_ratio_bucketed,
+    sheet_files,
+    tier_info_from_sheet,
+    bed_order,
+    report_order,
+    split_order,
     report_roundtrip,
     tsv_roundtrip,
     split_by_method,
@@ -590,6 +703,7 @@ TWO_SPECIES = {
     "background_all_2s": (background_all, True),
     "tier_info_2s": (tier_info, False),
     "tier_info_multi": (tier_info_full, False),
+    "tier_info_multi_ucsc": (tier_info_multi_ucsc, False),
     "tier_info_3m_2s": (tier_info, True),
 }
 
