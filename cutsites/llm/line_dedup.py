@@ -29,6 +29,9 @@ from cutsites.llm.components import connected, link_buckets
 from cutsites.llm.suffix_dedup import GROUP_BYTES, RANGE_BYTES, _pack, _received, _send, text_bytes
 
 LIMIT = 2
+#: Characters (pairs times columns) whose distances are computed at a time, the length from which equal ends are cut off first, and the number of
+#: pairs below which they are taken one by one.
+AT_ONCE, LONG, FEW = 1 << 21, 1024, 24
 REACH = 2 * LIMIT  # distances are exact up to here
 
 
@@ -36,6 +39,25 @@ def threshold(length: np.ndarray) -> np.ndarray:
     return np.minimum(length // 32, LIMIT)
 
 
+def _first_code(points: np.ndarray) -> np.ndarray:
+    return mix(points.astype(np.uint64) + np.uint64(1))
+
+
+def _second_code(points: np.ndarray) -> np.ndarray:
+    return mix(points.astype(np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+
+
+_FIRST, _SECOND = _first_code(np.arange(1 << 16)), _second_code(np.arange(1 << 16))
+
+
+def _coded(points: np.ndarray, known: np.ndarray, code) -> np.ndarray:
+    """Codes of code points, looked up below 65,536."""
+    wide = np.flatnonzero(points >= len(known))
+    out = known[np.minimum(points, len(known) - 1)] if len(wide) else known[points]
+    out[wide] = code(points[wide])
+    return out
+
+
 class Lines:
     """Lines of a chunk with a character: text, number in the text, byte range, code point range, id of 16 bytes."""
 
@@ -51,8 +73,8 @@ class Lines:
         np.cumsum(LEADS[texts.data], out=points[1:])
         self.low, self.high = points[self.start], points[self.end]
         codes = np.frombuffer(texts.data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.prefix = running(mix(codes.astype(np.uint64) + np.uint64(1)))
-        other = running(mix(codes.astype(np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+        self.prefix = running(_coded(codes, _FIRST, _first_code))
+        other = running(_coded(codes, _SECOND, _second_code))
         length = (self.high - self.low).astype(np.uint64)
         self.first_id = range_hash(self.prefix, self.low, self.high)
         self.second_id = mix(range_hash(other, self.low, self.high) ^ length)
@@ -101,9 +123,14 @@ def edit_distances(a: list[np.ndarray], b: list[np.ndarray], reach: int = REACH)
     """Edit distances of pairs, exact up to ``reach`` and ``reach + 1`` beyond, all pairs at once.
 
     A word of 2 * reach + 2 bits holds the rows around the diagonal of one column: vertical differences of the distance table. The word moves down one row
-    with each column; the value at its lowest row is followed along the diagonal, then along the last row.
+    with each column; the value at its lowest row is followed along the diagonal, then along the last row. Pairs are taken in the order of
+    length, as many at a time as ``AT_ONCE`` characters; long lines first lose what they have in common at both ends, which changes no distance.
     """
     n = len(a)
+    a, b = list(a), list(b)
+    for k in range(n):
+        if max(len(a[k]), len(b[k])) > LONG and abs(len(a[k]) - len(b[k])) <= reach:
+            a[k], b[k] = _without_equal_ends(a[k], b[k])
     out = np.full(n, reach + 1, np.int64)
     la, lb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
     todo = np.flatnonzero((np.abs(la - lb) <= reach) & (la > reach) & (lb > 0))
@@ -119,8 +146,14 @@ def edit_distances(a: list[np.ndarray], b: list[np.ndarray], reach: int = REACH)
         out[k] = min(int(row[-1]), reach + 1)
     width = 2 * reach + 2
     todo = todo[np.argsort(lb[todo], kind="stable")]
-    for begin in range(0, len(todo), 2048):
-        rows = todo[begin : begin + 2048]
+    begin = 0
+    while begin < len(todo):
+        room = np.arange(1, len(todo) - begin + 1) * lb[todo[begin:]] <= AT_ONCE
+        end = begin + min(max(int(room.sum()), 1), 2048)  # the products grow
+        rows, begin = todo[begin:end], end
+        if len(rows) < FEW:
+            out[rows] = [_one_distance(a[k], b[k], reach) for k in rows.tolist()]
+            continue
         na, nb = la[rows], lb[rows]
         columns = int(nb.max())
         pad = width - reach - 1  # rows above the first character
@@ -150,6 +183,42 @@ def edit_distances(a: list[np.ndarray], b: list[np.ndarray], reach: int = REACH)
     return out
 
 
+def _one_distance(a: np.ndarray, b: np.ndarray, reach: int) -> int:
+    """The same for one pair: a column is a few operations on plain numbers, which long lines in small blocks need."""
+    width = 2 * reach + 2
+    pad, full, n = width - reach - 1, (1 << width) - 1, len(a)
+    x = np.full(len(b) + width + reach, -1, np.int64)
+    x[pad : pad + min(n, len(x) - pad)] = a[: len(x) - pad]
+    vp, vn, value = full & ~((1 << pad) - 1), 0, reach
+    for begin in range(0, len(b), 1 << 16):
+        part = b[begin : begin + (1 << 16)]
+        equal = np.zeros(len(part), np.int64)
+        for i in range(width):
+            equal |= (x[begin + i : begin + i + len(part)] == part).astype(np.int64) << i
+        for j, same in enumerate(equal.tolist(), begin):
+            d0 = ((((same & vp) + vp) ^ vp) | same | vn) & full
+            hp = (vn | ~(d0 | vp)) & full
+            hn = d0 & vp
+            if j < n - reach:
+                value += (d0 >> (width - 1)) ^ 1
+            else:
+                at = min(max(width - 2 - (j - (n - reach)), 0), width - 1)
+                value += ((hp >> at) & 1) - ((hn >> at) & 1)
+            vp = (hn | ~((d0 >> 1) | hp)) & full
+            vn = (d0 >> 1) & hp
+    return min(value, reach + 1)
+
+
+def _without_equal_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    first = int(differ[0]) if len(differ) else n
+    a, b, n = a[first:], b[first:], n - first
+    differ = np.flatnonzero(a[len(a) - n :] != b[len(b) - n :])
+    last = n - 1 - int(differ[-1]) if len(differ) else n
+    return a[: len(a) - last], b[: len(b) - last]
+
+
 def _points(texts: Texts) -> list[np.ndarray]:
     return [np.frombuffer(texts.bytes_of(i).decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) for i in range(len(texts))]
 
@@ -201,7 +270,7 @@ def near_lines(docs: DataFrame, text: str = "text") -> DataFrame:
                 rows = different(lines)
                 line, key = lines.keys(rows)
                 group = part.column(1).to_numpy()[lines.text[rows]]
-                all_h.append(key >> np.uint64(16)), all_mark.append(lines.second_id[rows][line].astype(np.uint32)), all_g.append(group[line])
+                all_h.append(key >> np.uint64(16)), all_mark.append(lines.second_id[rows][line]), all_g.append(group[line])
             h, mark, g = np.concatenate(all_h), np.concatenate(all_mark), np.concatenate(all_g)
             to = (h % np.uint64(n_ranges)).astype(np.int64)
             order = np.lexsort((h, g, to))
@@ -209,35 +278,48 @@ def near_lines(docs: DataFrame, text: str = "text") -> DataFrame:
             yield _send("r", to, lambda a, b: _pack(high=(h[a:b] >> np.uint64(32)).astype(np.uint16), low=h[a:b].astype(np.uint32), g=g[a:b].astype(np.int32), mark=mark[a:b]))
 
     def answer(table: pa.Table) -> pa.Table:
-        high, low, g, mark, _ = _received(table, np.uint16, np.uint32, np.int32, np.uint32)
+        """To text groups, their keys that different lines have, and the marks of the lines that have such keys."""
+        high, low, g, mark, _ = _received(table, np.uint16, np.uint32, np.int32, np.uint64)
         h = (high.astype(np.uint64) << np.uint64(32)) | low
         order = np.lexsort((mark, h))
         h, mark, g = h[order], mark[order], g[order]
-        # A key of different lines has two marks (32 bits of the line's id: different lines share them once in four billion pairs).
+        # A key of different lines has two marks (64 bits of the line's id).
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         begin = np.flatnonzero(new)
         end = np.append(begin[1:], len(h))
         good = np.repeat(mark[begin] != mark[end - 1], end - begin) if len(h) else new
-        pair = np.unique(np.stack([g[good].astype(np.uint64), h[good]]), axis=1)
-        return pa.Table.from_batches([_send("g", pair[0], lambda a, b: _pack(h=pair[1][a:b]))])
+        group = g[good].astype(np.uint64)
+        keys, marks = (np.unique(np.stack([group, x[good]]), axis=1) for x in (h, mark))
+
+        def packed(a: int, b: int) -> bytes:
+            low, high = (np.searchsorted(marks[0], keys[0][a], side) for side in ("left", "right"))
+            return _pack(h=keys[1][a:b]) + marks[1][low:high].tobytes()
+
+        return pa.Table.from_batches([_send("g", keys[0], packed)])
 
     def lines_out(texts_: pa.Table, answers: pa.Table) -> pa.Table:
-        known = np.unique(_received(answers, np.uint64)[0])
+        known, marks = _received(answers, np.uint64)
+        known, marks = np.unique(known), np.unique(marks.view(np.uint64))
         out = []
         for batch in texts_.combine_chunks().to_batches():
             for _, texts in chunks(batch, TEXT):
                 lines = Lines(texts)
                 rows = different(lines)
+                if not len(marks) or not len(rows):
+                    continue
+                own = lines.second_id[rows]  # only lines with a shared key are cut into keys again
+                rows = rows[marks[np.minimum(np.searchsorted(marks, own), len(marks) - 1)] == own]
                 line, key = lines.keys(rows)
                 h = key >> np.uint64(16)
-                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-                hit = known[at] == h if len(known) else np.zeros(len(h), bool)
+                hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
                 line, key = line[hit], key[hit]
                 some, first = np.unique(line, return_index=True)
                 keys = pa.ListArray.from_arrays(pa.array(np.append(first, len(line)).astype(np.int32)), pa.array(key.view(np.int64)))
                 raw = [texts.data[lines.start[r] : lines.end[r]].tobytes().decode("utf-8", "surrogatepass") for r in rows[some]]
                 out.append(pa.RecordBatch.from_arrays([lines.ids(rows[some]), pa.array(raw, pa.string()), keys], names=["node", "line", "keys"]))
+        if not out:
+            return pa.table({"node": pa.array([], pa.binary()), "line": pa.array([], pa.string()), "keys": pa.array([], pa.list_(pa.int64()))})
         return pa.Table.from_batches(out)
 
     hashes = source.mapInArrow(keys_out, "r long, packed binary")

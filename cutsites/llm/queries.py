@@ -21,8 +21,7 @@ def op2_html_wrapper(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    found = line_dedup.classes(table(spark, folder, "documents").select("doc_id", "text")).where("class_size > 1")
-    return found.drop("text_hash")
+    return line_dedup.classes(table(spark, folder, "documents").select("doc_id", "text")).drop("text_hash")
 
 
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -292,3 +292,49 @@ def test_repeats_of_odd_rows(odd, empty):
     assert found.count() == 11 and set(odd.columns) <= set(found.columns)
     assert [r.n_bytes for r in found.where("text is null").collect()] == [0, 0, 0]
     assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_distances_of_long_lines_stay_small():
+    """A line of a million code points among two thousand short ones: no table of all pairs by the longest line."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    big = rng.integers(0, 50, 1_000_000)
+    changed, shorter = big.copy(), np.delete(big, [5])
+    changed[500_000], shorter[-9] = 99, 77
+    a = [rng.integers(0, 50, 100) for _ in range(1998)] + [big, big]
+    b = [x.copy() for x in a[:1998]] + [changed, shorter]
+    tracemalloc.start()
+    found = line_dedup.edit_distances(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[:1998].sum() == 0 and found[1998:].tolist() == [1, 2] and peak < 500 << 20
+
+
+def test_distances_one_by_one_and_in_blocks(monkeypatch):
+    rng = random.Random(8)
+    pairs = []
+    for n in (3, 5, 6, 9, 40, 70, 1100) * 5:
+        a = [rng.randrange(4) for _ in range(n)]
+        b = list(a)
+        for _ in range(rng.randrange(7)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(2)] = [rng.randrange(4)] * rng.randrange(2)
+        pairs.append((np.array(a, np.int64), np.array(b, np.int64)))
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a.tolist()):
+            new = [i + 1]
+            for j, y in enumerate(b.tolist()):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+            row = new
+        return row[-1]
+
+    a, b = zip(*pairs)
+    want = [min(plain(x, y), line_dedup.REACH + 1) for x, y in pairs]
+    for few in (0, 10**6):
+        monkeypatch.setattr(line_dedup, "FEW", few)
+        assert line_dedup.edit_distances(a, b).tolist() == want
+    monkeypatch.setattr(line_dedup, "AT_ONCE", 100)
+    assert line_dedup.edit_distances(a, b).tolist() == want
