@@ -140,59 +140,82 @@ def _gamma2(p: np.ndarray) -> np.ndarray:
     return low
 
 
-# A sample needs c and r from Gamma(2, 1) and beta from [0, 1): 65,536 quantiles of c, 256 of r and of beta in one index.
-_LN_C = np.log(_gamma2((np.arange(1 << 16) + 0.5) / (1 << 16))).astype(np.float32)
-_R = np.repeat(_gamma2((np.arange(256) + 0.5) / 256), 256)
-_BETA = np.tile((np.arange(256) + 0.5) / 256, 256)
+# A sample needs c and r from Gamma(2, 1) and beta from [0, 1). The law is cut into 65,536 cells of equal probability; 16 bits choose the cell.
+_CELLS = 1 << 16
+_EDGES = np.concatenate([_gamma2(np.arange(_CELLS) / _CELLS), [np.inf]])
+with np.errstate(divide="ignore"):
+    _LN_LOW = np.log(_EDGES[:-1]).astype(np.float32)  # lower end of ln c; -inf in the first cell
+_HIGH = _EDGES[1:].astype(np.float32)  # upper end of r; inf in the last cell
+#: What float32 may take from a bound, and how far above the lowest bound elements are looked at first.
+_SLACK, _NEAR = np.float32(1e-3), np.float32(3)
+
+_multipliers = mix(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
 
 
-def _levels(ln_w: float) -> tuple[np.ndarray, np.ndarray]:
-    """By the index of r and beta: ln(y exp(r)) and the level t of a weight."""
-    t = np.floor(ln_w / _R + _BETA)
-    return (_R * (t - _BETA) + _R).astype(np.float32), t.astype(np.int64)
+def _gamma2_in(cell: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Values of the law in a cell at a place (0 to 1) inside it; the first and the last cell have their exact tails."""
+    out = _EDGES[cell] + np.where(cell < _CELLS - 1, _EDGES[np.minimum(cell, _CELLS - 2) + 1] - _EDGES[cell], 0) * inside
+    low = np.flatnonzero(cell == 0)
+    if len(low):
+        root = np.sqrt(2 * np.maximum(inside[low], 1e-9) / _CELLS)
+        out[low] = root * (1 + root / 3)
+    high = np.flatnonzero(cell == _CELLS - 1)
+    if len(high):
+        ln_p = np.log(np.maximum(1 - inside[high], 1e-9) / _CELLS)
+        x = -ln_p
+        for _ in range(20):  # P(> x) = (1 + x) exp(-x)
+            x = np.log1p(x) - ln_p
+        out[high] = x
+    return out
 
 
-_multipliers = mix(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
+def _drawn(draws: np.ndarray, ln_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln a and level t of elements: ln y = r (floor(ln w / r + beta) - beta), a = c / (y exp(r))."""
+    first = mix(draws ^ np.uint64(0x9E3779B97F4A7C15))
+    second = mix(first ^ np.uint64(0xD1B54A32D192ED03))
+    place = lambda bits: (bits >> np.uint64(11)) * 2.0**-53
+    c = _gamma2_in(((draws >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.int64), place(first))
+    r = np.maximum(_gamma2_in((draws >> np.uint64(48)).astype(np.int64), place(second)), 1e-9)
+    beta = place(mix(second ^ first))
+    t = np.floor(ln_w / r + beta)
+    return np.log(np.maximum(c, 1e-300)) - r * (t - beta + 1), t.astype(np.int64)
 
 
 def samples(first: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
     """``n`` consistent weighted samples of each set; set i has elements ``first[i]`` to ``first[i + 1]``, at least one.
 
-    The sample is the element with the smallest a = c / (y exp(r)), with ln y = r (floor(ln w / r + beta) - beta), and its level.
-    c, r and beta come from the element's hash and the number of the sample. Most elements share one weight, for which
-    y exp(r) is a table.
+    The sample is the element with the smallest a = c / (y exp(r)), and its level. c, r and beta come from the element's hash and the number of
+    the sample. As y is w at most, ln c - r - ln w bounds ln a from below, with the ends of the cells in place of c and r: two look-ups. Only the few
+    elements (some ten for each set) whose bound is below the smallest a found so far are drawn exactly, tails included.
     """
     out = np.empty((len(first) - 1, n), np.uint64)
-    starts, sizes = first[:-1], np.diff(first)
-    values, kind = np.unique(weights, return_inverse=True)
-    common = int(np.argmax(np.bincount(kind))) if len(kind) else 0
-    table, levels = _levels(np.log(values[common])) if len(values) else (_LN_C, _LN_C)
-    other = np.flatnonzero(kind != common)
-    other_ln = np.log(weights[other])
+    starts = first[:-1]
+    owner = np.repeat(np.arange(len(starts)), np.diff(first))
+    ln_w = np.log(weights)
+    ln_w32 = ln_w.astype(np.float32) + _SLACK
     for k in range(n):
-        draws = (hashes * _multipliers[k]).view(np.uint16).reshape(-1, 4)
-        index = draws[:, 3]
-        ln_a = _LN_C[draws[:, 2]]
-        ln_a -= table[index]
-        if len(other):
-            at = index[other]
-            t_other = np.floor(other_ln / _R[at] + _BETA[at])
-            ln_a[other] = _LN_C[draws[other, 2]] - (_R[at] * (t_other - _BETA[at]) + _R[at]).astype(np.float32)
-        at = np.flatnonzero(ln_a == np.repeat(np.minimum.reduceat(ln_a, starts), sizes))
-        t = levels[index[at]]
-        if len(other):
-            rare = kind[at] != common
-            i = index[at[rare]]
-            t[rare] = np.floor(np.log(weights[at[rare]]) / _R[i] + _BETA[i]).astype(np.int64)
+        draws = hashes * _multipliers[k]
+        cells = draws.view(np.uint16).reshape(-1, 4)
+        bound = _LN_LOW[cells[:, 2]]
+        bound -= _HIGH[cells[:, 3]]
+        bound -= ln_w32
+        lowest = np.minimum.reduceat(bound, starts)
+        near = np.flatnonzero(bound <= (lowest + _NEAR)[owner])
+        best = np.full(len(starts), np.inf)
+        np.minimum.at(best, owner[near], _drawn(draws[near], ln_w[near])[0])
+        at = np.flatnonzero(bound <= best.astype(np.float32)[owner] + _SLACK)
+        ln_a, t = _drawn(draws[at], ln_w[at])
+        np.minimum.at(best, owner[at], ln_a)
+        smallest = ln_a == best[owner[at]]
+        at, t = at[smallest], t[smallest]
         chosen = mix(hashes[at] ^ mix(t.view(np.uint64)))
         if len(at) == len(starts):
             out[:, k] = chosen
             continue
         # Of equal minima the smallest hash counts, so that the choice depends on the set only.
-        owner = np.searchsorted(first, at, "right") - 1
-        order = np.lexsort((chosen, owner))
+        order = np.lexsort((chosen, owner[at]))
         new = np.ones(len(at), bool)
-        new[1:] = owner[order][1:] != owner[order][:-1]
+        new[1:] = owner[at][order][1:] != owner[at][order][:-1]
         out[:, k] = chosen[order][new]
     return out
 

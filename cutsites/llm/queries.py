@@ -13,7 +13,7 @@ from cutsites.llm.common import table
 
 def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return near_duplicates.classes(docs).select("doc_id", "class_id", "class_size")
+    return near_duplicates.classes(docs).select("doc_id", "class_id", "class_size", F.hex("root").alias("root"))
 
 
 def op2_html_wrapper(spark: SparkSession, folder: str) -> DataFrame:

@@ -96,6 +96,81 @@ def test_samples_agree_as_often_as_the_sets():
     assert (drawn[0] == drawn[1]).mean() == pytest.approx(0.6, abs=0.03)
 
 
+@pytest.mark.parametrize("n", [80, 5_000, 20_000, 100_000])
+@pytest.mark.parametrize("kind", ["two weights", "many weights"])
+def test_samples_follow_the_law_for_unequal_weights(n, kind):
+    """Two sets agree as often as their weighted Jaccard similarity, within 3.5 standard errors, however long they are."""
+    rng, draws = np.random.default_rng(n), 1200
+    hashes = near_duplicates.mix(rng.integers(1, 1 << 62, 2 * n).astype(np.uint64)) >> np.uint64(16) << np.uint64(16)
+    a_weight = np.where(rng.random(2 * n) < 0.5, 7.9, 15.8) if kind == "two weights" else np.exp(rng.normal(0, 1.5, 2 * n))
+    b_weight = np.where(rng.random(2 * n) < 0.05, 2 * a_weight, a_weight)
+    in_a = rng.random(2 * n) < 0.55
+    in_b = in_a ^ (rng.random(2 * n) < 0.1)
+    x, y = np.where(in_a, a_weight, 0), np.where(in_b, b_weight, 0)
+    want = np.minimum(x, y).sum() / np.maximum(x, y).sum()
+    a, b = (own[np.argsort(hashes[own])] for own in (np.flatnonzero(in_a), np.flatnonzero(in_b)))
+    first = np.array([0, len(a), len(a) + len(b)])
+    drawn = near_duplicates.samples(first, np.concatenate([hashes[a], hashes[b]]), np.concatenate([a_weight[a], b_weight[b]]), draws)
+    assert abs((drawn[0] == drawn[1]).mean() - want) < 3.5 * np.sqrt(want * (1 - want) / draws)
+
+
+def test_a_sample_depends_on_its_set_only():
+    """The quick bounds choose what is drawn exactly, not what comes out."""
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 40, 50)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    hashes = near_duplicates.mix(np.arange(1, first[-1] + 1, dtype=np.uint64)) >> np.uint64(16) << np.uint64(16)
+    weights = np.exp(rng.normal(0, 2, first[-1]))
+    together = near_duplicates.samples(first, hashes, weights, 30)
+    for i in range(50):
+        own = slice(first[i], first[i + 1])
+        assert (near_duplicates.samples(np.array([0, sizes[i]]), hashes[own], weights[own], 30)[0] == together[i]).all()
+        for k in (0, 7, 29):  # all elements drawn
+            ln_a, t = near_duplicates._drawn(hashes[own] * near_duplicates._multipliers[k], np.log(weights[own]))
+            at = int(np.argmin(ln_a))
+            assert together[i, k] == near_duplicates.mix(hashes[own][at : at + 1] ^ near_duplicates.mix(t[at : at + 1].view(np.uint64)))[0]
+
+
+def test_classes_hold_all_similar_pairs(spark):
+    """All pairs of a table, with words, shingles, weights and similarity computed anew."""
+    import math
+    import re
+    from collections import Counter
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    sets = {}
+    for r in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        sets[r.doc_id] = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+    df = Counter(s for c in sets.values() for s in c)
+    idf = {s: 1 + math.log(len(sets) / max(n, len(sets) / 1000)) for s, n in df.items()}
+    weighted = {i: {s: n * idf[s] for s, n in c.items()} for i, c in sets.items()}
+    where = {}
+    for i, c in weighted.items():
+        for s in c:
+            where.setdefault(s, []).append(i)
+    pairs = {(a, b) for ids in where.values() for k, a in enumerate(ids) for b in ids[k + 1 :]}
+    near = set()
+    for a, b in pairs:
+        x, y = weighted[a], weighted[b]
+        both = sum(min(x[s], y[s]) for s in x.keys() & y.keys())
+        if both / (sum(x.values()) + sum(y.values()) - both) >= 0.8:
+            near.add((a, b))
+    root = {r.doc_id: r.class_id for r in near_duplicates.classes(spark.createDataFrame(rows)).collect()}
+    found = sum(root[a] == root[b] for a, b in near)
+    assert near and found >= 0.97 * len(near)
+    parent = {i: i for i in sets}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in near:
+        parent[top(a)] = top(b)
+    assert all(top(i) == top(root[i]) for i in sets)  # no class holds what is not connected
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     rows = near_duplicates.classes(odd).collect()
     assert len(rows) == 11
