@@ -3,8 +3,8 @@
 A document is a bag of passages of ``PASSAGE`` words. Every passage is encoded from counts over its bytes and words; a gated attention,
 learned from document labels only, weighs the passages, and the weighted sum of their encodings gives the score.
 
-The model is fitted on at most ``MAX_DOCS`` labelled documents (those with the smallest md5 of their id) with at most ``MAX_PASSAGES``
-evenly spaced passages each; scoring reads every passage of every document. Fitting is seeded and full of plain sums, so reruns agree.
+The model is fitted on at most ``MAX_DOCS`` labelled rows (those with the smallest md5 of their id; equal rows count once); fitting and
+scoring read every passage of a document. Fitting is seeded and full of plain sums, so reruns agree.
 
 Null, empty and wordless texts are one empty passage and get the score of that. Ties and repeated rows are scored one by one. Without
 labelled documents of both classes the score is 0.5 everywhere. An empty table gives an empty result.
@@ -22,7 +22,7 @@ from cutsites.llm.arrays import BYTE_CODES, LEADS, NOT_SPACE, Texts, mix, repeat
 from cutsites.llm.common import per_text
 
 PASSAGE = 64
-MAX_DOCS, MAX_PASSAGES = 6000, 64
+MAX_DOCS = 6000
 HASHED = 32
 HIDDEN, GATES = 24, 12
 _b = np.arange(256)
@@ -161,13 +161,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model |
 
     def features(texts: Texts) -> dict[str, object]:
         x, first = passages(texts)
-        out = []
-        for i in range(len(texts)):
-            at = np.unique(np.linspace(first[i], first[i + 1] - 1, min(MAX_PASSAGES, first[i + 1] - first[i])).astype(np.int64))
-            out.append(x[at].tobytes())
-        return {"x": pa.array(out, pa.binary())}
+        return {"x": pa.array([x[first[i] : first[i + 1]].tobytes() for i in range(len(texts))], pa.binary())}
 
-    rows = per_text(chosen, features, [T.StructField("x", T.BinaryType())], ["__y", "__order"]).toPandas().sort_values(["__order", "x"])
+    # An id may be on any number of rows: equal ones count once, and the rows themselves are limited before they reach the driver.
+    rows = per_text(chosen, features, [T.StructField("x", T.BinaryType())], ["__y", "__order"]).dropDuplicates(["__order", "x"])
+    rows = rows.orderBy("__order", "x").limit(max_docs).toPandas()
     bags = [np.frombuffer(x, np.float32).reshape(-1, WIDTH) for x in rows["x"]]
     return train(bags, rows["__y"].to_numpy(np.float32)) if bags else None
 

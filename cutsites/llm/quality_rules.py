@@ -174,9 +174,9 @@ def rejects(rules: list[Rule]) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[Rule]:
-    """Learn from at most ``max_rows`` labelled documents.
+    """Learn from at most ``max_rows`` labelled rows.
 
-    Rows without id or label are ignored; an id labelled twice counts with its smaller label.
+    Rows of one id with equal statistics count once. Rows without id or label are ignored; an id labelled twice counts with its smaller label.
     """
     marks = (
         labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__quality"))
@@ -185,7 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[Ru
     # At most max_rows ids and marks: the bound that allows the broadcast.
     chosen = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
     rows = (
-        statistics(chosen, ["__quality", "__order"]).orderBy("__order", *[f.name for f in STATISTICS])
+        statistics(chosen, ["__quality", "__order"]).dropDuplicates(["__order", *[f.name for f in STATISTICS]])
+        .orderBy("__order", *[f.name for f in STATISTICS]).limit(max_rows)
         .selectExpr("__quality", *[f"{sql} as {name}" for name, sql in RATIOS.items()]).toPandas()
     )
     return learn({n: rows[n].to_numpy(float) for n in RATIOS}, rows["__quality"].to_numpy() == 0)

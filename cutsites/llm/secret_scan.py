@@ -121,7 +121,8 @@ def fit(described: DataFrame, names: list[str], findings: DataFrame, max_finding
     some = [marks.where(F.col("secret") == k).withColumn("o", order).orderBy("o", "doc_id", "start").limit(max_findings // 2) for k in (0, 1)]
     chosen = some[0].unionByName(some[1])  # at most max_findings rows: the bound of the broadcast
     rows = described.join(F.broadcast(chosen), ["doc_id", "start"]).select("o", "secret", *names)
-    rows = written(rows.repartition(1).sortWithinPartitions("o", *names), "findings")
+    # A place may be on any number of rows: equal ones count once, and the rows themselves are limited.
+    rows = written(rows.dropDuplicates().orderBy("o", *names).limit(max_findings).repartition(1).sortWithinPartitions("o", *names), "findings")
     if rows.select("secret").distinct().count() < 2:
         return None
     assembler = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")

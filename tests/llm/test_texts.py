@@ -272,3 +272,28 @@ def test_secrets_of_odd_rows(odd, empty):
 def test_word_pattern():
     pattern = re.compile(secret_scan.word_pattern(["the", "then", "to", "x"]))
     assert pattern.sub("", "thenthetotxq") == "tq"
+
+
+def test_fits_are_bounded_by_rows(spark, make_docs):
+    """A labelled id on many rows: equal rows count once, others only up to the limit."""
+    rng = random.Random(3)
+    good = lambda: " ".join(f"word{rng.randrange(500)}" for _ in range(150))
+    bad = lambda: " ".join("#|$" for _ in range(150))
+    rows = [(2, good()) for _ in range(40)] + [(3, "same text " * 60)] * 50 + [(i, good() if i % 2 else bad()) for i in range(10, 60)]
+    labels = spark.createDataFrame([(2, 1, 0), (3, 1, 0), *[(i, i % 2, 0) for i in range(10, 60)]], "doc_id long, quality long, toxic long")
+    docs = make_docs(rows)
+    assert quality_mil.fit(docs, labels, max_docs=30) is not None
+    rules = quality_rules.fit(docs, labels, max_rows=60)
+    kept = quality_rules.apply(docs, rules, ["doc_id"]).where("kept").select("doc_id").distinct().collect()
+    assert {r.doc_id for r in kept} >= {i for i in range(10, 60) if i % 2} and not {r.doc_id for r in kept} & set(range(10, 60, 2))
+
+
+def test_fit_reads_all_passages(spark, make_docs, monkeypatch):
+    """No passage of a labelled document is left out of the fit, however long it is."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(64 * n))) for i, n in ((10, 1), (11, 170), (12, 64), (13, 65), (14, 3), (15, 200))]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality long, toxic long")
+    seen = []
+    monkeypatch.setattr(quality_mil, "train", lambda bags, y: seen.extend(zip(map(len, bags), y.tolist())))
+    quality_mil.fit(make_docs(rows), labels)
+    used = [r.doc_id for r in labels.where(~quality_mil.held_out()).collect()]
+    assert sorted(seen) == sorted((len(t.split()) // 64, float(i % 2)) for i, t in rows if i in used) and len(used) > 1
