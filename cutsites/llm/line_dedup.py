@@ -372,7 +372,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
     A class is a connected component of links; it is named by its first line. Texts with one id, or none, are told apart by their hash.
     """
-    lines = occurrences(docs, doc_id, text).join(near_lines(docs, text), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lines = occurrences(docs, doc_id, text).join(near_lines(docs, text), "node", "left")
+    lines = written(lines.select("doc_id", "text_hash", "line_no", F.coalesce("root", "node").alias("root")), "places")  # used twice
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no", "text_hash")
     first = lines.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("class_size"))
     return lines.join(first, "root").select(
