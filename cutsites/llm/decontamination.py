@@ -1,14 +1,15 @@
 """Benchmark decontamination with an FM-index over every shard of the training texts.
 
-A shard is a chunk of an Arrow batch (about 2 MB of text). Its words are numbered by the vocabulary of
+A shard is a chunk of an Arrow batch (about 0.5 MB of text). Its words are numbered by the vocabulary of
 the test phrases; runs of such words that are long enough to hold a phrase are indexed, all others cannot
 hold one. The index is the Burrows-Wheeler transform of the runs, kept as a wavelet tree (one bit row with
 running counts for each bit of a symbol), and every eighth suffix position. All phrases are searched
 backward at once; their occurrences are located by stepping back to a sampled position, and overlapping or touching
 ones of a text merge into removal spans.
 
-Test phrases are a query set: they are read in blocks of at most ``BLOCK_WORDS`` words, and every block is searched
-in every shard, so a benchmark of any size needs bounded memory in a task.
+Test phrases are a query set: they are read in blocks of at most ``BLOCK_WORDS`` words, and every block is searched in every shard.
+``AT_ONCE`` blocks are sent at a time; a larger benchmark takes more passes over the documents, each of which adds its hits to the rows and gives
+its blocks up before the next ones are read. So neither the driver nor a task holds more than ``AT_ONCE`` blocks.
 
 A phrase is a window of ``WINDOW`` words of an item; an item of fewer words, but not none, is one phrase. Words are
 ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. Null and empty texts have no words and no spans; empty or
@@ -18,20 +19,23 @@ documents are handled row by row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from cutsites.llm.arrays import ALNUM, FOLDED_CODES, Texts, Words, covered, totals, words_of
-from cutsites.llm.common import per_text
+from cutsites.llm.arrays import ALNUM, FOLDED_CODES, Texts, Words, chunks, covered, texts_of, totals, words_of
+from cutsites.llm.common import TEXT, ship, written
 
 WINDOW = 10
-BLOCK_WORDS = 200_000
+BLOCK_WORDS, AT_ONCE = 200_000, 8
 SAMPLE = 8
 
 
@@ -235,6 +239,8 @@ FIELDS = [
     T.StructField("spans", T.ArrayType(SPAN, False), False),
 ]
 CLEANED = T.StructField("cleaned", T.StringType(), True)
+#: What a pass adds to rows: starts and ends of hit words, in turn, and names of items.
+HITS = [T.StructField("__hits", T.ArrayType(T.LongType())), T.StructField("__items", T.ArrayType(T.StringType()))]
 
 
 def decontaminate(
@@ -244,49 +250,95 @@ def decontaminate(
     """Per document: ``n_words``, ``n_hit``, ``items`` (sorted ids), ``spans`` (byte ranges of the text to remove, merged, in
     order) and, if asked for, ``cleaned``: the text without its spans, each replaced by one space. These replace columns of the same
     names; other columns pass through."""
-    context = docs.sparkSession.sparkContext
-    sent = [context.broadcast(block) for block in blocks(benchmark, item_id, item_text)]
-
-    def make(texts: Texts) -> dict[str, object]:
-        words = words_of(texts, ALNUM, FOLDED_CODES)
-        n = len(texts)
-        parts = [(find(words, b.value), b.value.names) for b in sent] if len(words) else []
-        start = np.concatenate([p[0] for p, _ in parts]) if parts else np.zeros(0, np.int64)
-        end = np.concatenate([p[1] for p, _ in parts]) if parts else start
-        hit = covered(start, end, len(words))
-        held: list[set[str]] = [set() for _ in range(n)]
-        for (_, _, t, i), names in parts:
-            for a, b in zip(t.tolist(), i.tolist(), strict=True):
-                held[a].add(names[b])
-        # Neighbouring hit words of a text belong to one span.
-        text_of = words.text
-        joined = hit[1:] & hit[:-1] & (text_of[1:] == text_of[:-1]) if len(words) else np.zeros(0, bool)
-        first = np.flatnonzero(hit & ~np.append(False, joined)) if len(words) else start
-        last = np.flatnonzero(hit & ~np.append(joined, False)) if len(words) else start
-        base = texts.offsets[text_of[first]]
-        a, b = words.start[first] - base, words.end[last] - base
-        per = np.searchsorted(text_of[first], np.arange(n + 1))
-        made: dict[str, object] = {
-            "n_words": words.counts,
-            "n_hit": totals(hit, words.first),
-            "items": pa.array([sorted(x) for x in held], pa.list_(pa.field("element", pa.string(), False))),
-            "spans": pa.ListArray.from_arrays(
-                pa.array(per, pa.int32()), pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], fields=[pa.field("start", pa.int64(), False), pa.field("end", pa.int64(), False)]),
-                type=pa.list_(pa.field("element", pa.struct([pa.field("start", pa.int64(), False), pa.field("end", pa.int64(), False)]), False)),
-            ),
-        }
-        if cleaned:
-            out = []
-            for i in range(n):
-                raw, at, pieces = texts.bytes_of(i), 0, []
-                for k in range(per[i], per[i + 1]):
-                    pieces.append(raw[at : a[k]])
-                    at = b[k]
-                out.append(b" ".join([*pieces, raw[at:]]).decode())
-            made["cleaned"] = pa.array(out, pa.string())
-        return made
-
-    return per_text(docs, make, [*FIELDS, CLEANED] if cleaned else FIELDS, keep, text)
+    spark = docs.sparkSession
+    ship(spark)
+    fields = [*FIELDS, CLEANED] if cleaned else FIELDS
+    new = {f.name for f in fields}
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(TEXT))
+    source = blocks(benchmark, item_id, item_text)
+    group = list(islice(source, AT_ONCE))
+    while more := list(islice(source, 1)):  # not the last blocks
+        sent = spark.sparkContext.broadcast(group)
+        rows = written(rows.mapInArrow(_searching(sent, len(kept)), T.StructType([*rows.schema.fields[: len(kept) + 1], *HITS])), "hits")
+        sent.destroy()
+        group = more + list(islice(source, AT_ONCE - 1))
+    sent = spark.sparkContext.broadcast(group)
+    search = _searching(sent, len(kept))
+    schema = T.StructType([*rows.schema.fields[: len(kept)], *fields])
+    types = [f.type for f in to_arrow_schema(T.StructType(fields))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in search(batches):
+            texts = texts_of(found.column(len(kept)))
+            made = _results(texts, found.column(len(kept) + 1), found.column(len(kept) + 2), cleaned)
+            columns = [v if isinstance(v, pa.Array) else pa.array(v, type=t) for v, t in zip(made, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[found.column(k) for k in range(len(kept))], *columns], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _searching(sent: Broadcast, n_kept: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of kept columns and text, by chunks, with the hits of the sent blocks added to those that the rows bring along."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in chunks(batch, TEXT):
+                words = words_of(texts, ALNUM, FOLDED_CODES)
+                n = len(texts)
+                parts = [(find(words, b), b.names) for b in sent.value] if len(words) else []
+                none = np.zeros(0, np.int64)
+                start, end = (np.concatenate([none, *[p[k] for p, _ in parts]]) for k in (0, 1))
+                text_of = words.text[start] if len(start) else none
+                held: list[set[str]] = [set() for _ in range(n)]
+                for (_, _, t, i), names in parts:
+                    for a, b in zip(t.tolist(), i.tolist(), strict=True):
+                        held[a].add(names[b])
+                order = np.argsort(text_of, kind="stable")
+                per = np.searchsorted(text_of[order], np.arange(n + 1))
+                base = words.first[text_of[order]]
+                hits = [np.stack([start[order] - base, end[order] - base], axis=1)[a:b].ravel().tolist() for a, b in zip(per[:-1], per[1:], strict=True)]
+                if part.num_columns > n_kept + 1:
+                    before, names_before = (part.column(n_kept + k).to_pylist() for k in (1, 2))
+                    hits = [a + b for a, b in zip(before, hits, strict=True)]
+                    held = [a | set(b) for a, b in zip(held, names_before, strict=True)]
+                columns = [*[part.column(k) for k in range(n_kept + 1)], pa.array(hits, pa.list_(pa.int64())), pa.array([sorted(x) for x in held], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[: n_kept + 1], *[f.name for f in HITS]])
+
+    return run
+
+
+def _results(texts: Texts, hits: pa.Array, items: pa.Array, cleaned: bool) -> list[object]:
+    """The columns of ``FIELDS`` (and ``CLEANED``) from ranges of hit words and names of items."""
+    words = words_of(texts, ALNUM, FOLDED_CODES)
+    n = len(texts)
+    flat = hits.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 2)
+    many = np.diff(hits.offsets.to_numpy()) // 2
+    base = np.repeat(words.first[:-1], many)
+    hit = covered(base + flat[:, 0], base + flat[:, 1], len(words))
+    # Neighbouring hit words of a text belong to one span.
+    text_of = words.text
+    joined = hit[1:] & hit[:-1] & (text_of[1:] == text_of[:-1]) if len(words) else np.zeros(0, bool)
+    first = np.flatnonzero(hit & ~np.append(False, joined)) if len(words) else np.zeros(0, np.int64)
+    last = np.flatnonzero(hit & ~np.append(joined, False)) if len(words) else first
+    base = texts.offsets[text_of[first]]
+    a, b = words.start[first] - base, words.end[last] - base
+    per = np.searchsorted(text_of[first], np.arange(n + 1))
+    span = [pa.field("start", pa.int64(), False), pa.field("end", pa.int64(), False)]
+    made: list[object] = [
+        words.counts, totals(hit, words.first), items.cast(pa.list_(pa.field("element", pa.string(), False))),
+        pa.ListArray.from_arrays(pa.array(per, pa.int32()), pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], fields=span), type=pa.list_(pa.field("element", pa.struct(span), False))),
+    ]
+    if cleaned:
+        out = []
+        for i in range(n):
+            raw, at, pieces = texts.bytes_of(i), 0, []
+            for k in range(per[i], per[i + 1]):
+                pieces.append(raw[at : a[k]])
+                at = b[k]
+            out.append(b" ".join([*pieces, raw[at:]]).decode())
+        made.append(pa.array(out, pa.string()))
+    return made
 
 
 def digest(result: DataFrame) -> list[F.Column]:
