@@ -5,7 +5,8 @@ shard: a table with fixed row sums (blocks) and column sums (shards, at most one
 probability that a uniform shuffle would give it. Each block is permuted and cut by its row of the table, the pieces are exchanged, and each
 shard is permuted again. Permutations are orders of keyed hashes, so a lost task gives the same rows again.
 
-Only block and group sizes reach the driver or are broadcast (``BLOCKS`` x shards numbers), and no task
+Blocks and groups are about ``BLOCK_ROWS`` rows (at least ``BLOCKS`` and ``GROUPS`` of them): their number grows with the input, not their size. Only
+their sizes reach the driver or are broadcast (a number for each block and shard, and for each shard and group), and no task
 holds a shard: the second permutation sorts (shard, hash group) pieces whose offsets are prefix sums.
 
 Null and empty texts count as one byte. Null ids and repeated rows are dealt like others; rows equal in id and
@@ -23,6 +24,7 @@ from cutsites.session import local_table
 
 BLOCKS = 256
 GROUPS = 256
+BLOCK_ROWS = 1 << 20
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
@@ -60,9 +62,12 @@ def communication_matrix(rows: list[int], columns: list[int], seed: int = 0) ->
     return out
 
 
-def shard(docs: DataFrame, n_shards: int = 16, seed: int = 0, blocks: int = BLOCKS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 16, seed: int = 0, blocks: int | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """All rows with ``shard`` and ``slot`` (gapless from 0 in each shard); these replace columns of the same names."""
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    rows = docs.count()
+    blocks = blocks or max(BLOCKS, rows // BLOCK_ROWS)
+    groups = max(GROUPS, rows // n_shards // BLOCK_ROWS)
     content = f"cast(`{doc_id}` as string), md5(coalesce(`{text}`, ''))"
     keyed = docs.select(
         *[F.col(f"`{c}`") for c in kept],
@@ -81,13 +86,13 @@ def shard(docs: DataFrame, n_shards: int = 16, seed: int = 0, blocks: int = BLOC
     dealt = (
         keyed.withColumn("__at", F.row_number().over(within) - 1).join(F.broadcast(matrix), "__block")
         .withColumn("shard", F.expr("size(filter(__bounds, b -> b <= __at))"))
-        .withColumn("__group", F.expr(f"cast(conv(substring(__h2, 1, 8), 16, 10) as bigint) * {GROUPS} div 4294967296L"))
+        .withColumn("__group", F.expr(f"cast(conv(substring(__h2, 1, 8), 16, 10) as bigint) * {groups} div 4294967296L"))
     )
     before = Window.partitionBy("shard").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("shard", "__group").count().select(
         "shard", "__group", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset")
     )
     again = Window.partitionBy("shard", "__group").orderBy("__h2")
-    # Shards x GROUPS rows: the bound of this broadcast.
+    # A row for each shard and group: the bound of this broadcast.
     placed = dealt.withColumn("__in", F.row_number().over(again)).join(F.broadcast(offsets), ["shard", "__group"])
     return placed.select(*[F.col(f"`{c}`") for c in kept], "shard", F.expr("__offset + __in - 1").alias("slot"))
