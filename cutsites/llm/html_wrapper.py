@@ -11,8 +11,10 @@ nothing of them is lost. Texts are counted exactly: the pages that show a text a
 path, text); a path of the wrapper gets the texts of nearly all pages that have it.
 
 Null and empty pages give an empty text. A null or odd url belongs to the host ''. Equal and repeated pages give equal rows. Broken markup
-is read like a browser would: unclosed and stray tags, unquoted attributes, missing ends; elements nested deeper than ``DEPTH`` count as
-siblings, with all their text. An empty table gives an empty result.
+is read like a browser would: unclosed and stray tags, unquoted attributes, missing ends; what elements nested deeper than ``DEPTH`` hold
+counts as standing beside them, but for elements that are never part of the article. An empty table gives an empty result.
+
+A host of fewer than ``LEAST_PAGES`` pages has no template: too few pages to tell constant from varying.
 """
 
 from __future__ import annotations
@@ -54,6 +56,12 @@ NOT_ARTICLE = frozenset(
     "topbar toolbar comment comments reply replies discussion disqus respond share sharing social related recommended recommendations widget widgets "
     "pagination pager login signup signin search skip contentinfo complementary dialog toc byline-share".split()
 )
+# Words that say nothing beside those: "share-buttons" is off, "market-share" is not.
+NEUTRAL = frozenset(
+    "area article articles bar bars block blocks bottom box boxes button buttons column container global group head holder icon icons inner item items "
+    "left link links list main outer page panel post posts primary right row secondary section site slot stories title top unit wrap wrapper zone".split()
+)
+OFF = "!off"  # among a node's words: one of its names is of that kind
 CONTENT = frozenset("articlebody article-body post-content entry-content article-content story-body post-body".split())
 CONTENT_WORDS = frozenset("article content post entry story main".split())
 
@@ -69,6 +77,13 @@ _WORD = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+@lru_cache(1 << 14)
+def named_off(name: str) -> bool:
+    """Whether a whole class, id or role marks what is not the article: itself, or all its words that are not neutral."""
+    words = frozenset(w for w in _WORD.split(_CAMEL.sub(" ", name).lower()) if w) - NEUTRAL
+    return name.lower() in NOT_ARTICLE or bool(words) and words <= NOT_ARTICLE
+
+
 class Node:
     """An element: ``kind`` is tag and class, ``parts`` are its children and texts in order."""
 
@@ -87,6 +102,8 @@ class Node:
             if marks:
                 joined = " ".join(marks)
                 self.words = frozenset(_WORD.split(_CAMEL.sub(" ", joined).lower())) | frozenset(joined.lower().split())
+                if any(map(named_off, joined.split())):
+                    self.words |= {OFF}
                 self.kind = f"{tag}.{marks[0].split()[0] if marks[0].split() else ''}"
 
     @property
@@ -97,19 +114,19 @@ class Node:
         """Whether the element is of a kind that is never part of the article."""
         if self.tag in SKIPPED or self.hidden or (self.tag == "header" and not in_article):
             return True
-        return bool(self.words & NOT_ARTICLE) and self.tag not in ("body", "html", "article", "main") or ("header" in self.words and not in_article and self.tag not in ("body", "html", "article", "main"))
+        return OFF in self.words and self.tag not in ("body", "html", "article", "main") or ("header" in self.words and not in_article and self.tag not in ("body", "html", "article", "main"))
 
 
 def parse(page: str) -> Node:
     """The element tree of a page."""
     root = Node("#root")
-    open_ = [root]
+    open_, depth = [root], [0]  # depth: of the tree, at each open element
     at, n = 0, len(page)
 
     def close(names: Iterable[str], until: frozenset[str] = frozenset()) -> None:
         for k in range(len(open_) - 1, 0, -1):
             if open_[k].tag in names:
-                del open_[k:]
+                del open_[k:], depth[k:]
                 return
             if open_[k].tag in until:
                 return
@@ -157,8 +174,12 @@ def parse(page: str) -> Node:
                 rest = page.find(">", stop)
                 at = n if not end or rest < 0 else rest + 1
             elif tag not in VOID and not attributes.rstrip().endswith("/") or tag in ("p", "div", "a", "li"):
-                if len(open_) < DEPTH:
-                    open_.append(node)
+                if depth[-1] >= DEPTH and not node.off(True):
+                    node = Node(tag)
+                    node.parts = open_[-1].parts  # what it holds stands beside it
+                    open_.append(node), depth.append(depth[-1])
+                elif depth[-1] < 2 * DEPTH:  # below that, all is inside what is off
+                    open_.append(node), depth.append(depth[-1] + 1)
     return root
 
 

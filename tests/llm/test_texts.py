@@ -106,6 +106,24 @@ def test_decontamination_equals_brute_force(spark, make_docs, leaks, monkeypatch
         assert got == {i: brute_hits(t, items) for i, t in enumerate(texts)}
 
 
+def test_a_large_benchmark_takes_passes(spark, make_docs, leaks, odd, monkeypatch):
+    """One block at a time gives what all blocks at once give, spans and cleaned texts included."""
+    items, texts = leaks
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    docs = make_docs(list(enumerate(texts)), clash=True)
+    columns = ["doc_id", "text", "size", "n_words", "n_hit", "items", "spans", "cleaned"]
+    want = decontamination.decontaminate(docs, benchmark)
+    strange = decontamination.decontaminate(odd, benchmark).select("text", "n_hit").collect()
+    monkeypatch.setattr(decontamination.blocks, "__defaults__", (12,))
+    monkeypatch.setattr(decontamination, "AT_ONCE", 2)
+    blocks = list(decontamination.blocks(benchmark, "item_id", "text"))
+    assert len(blocks) >= 5
+    got = decontamination.decontaminate(docs, benchmark)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.select(columns).collect())) == sorted(map(repr, want.select(columns).collect()))
+    assert sorted(map(repr, decontamination.decontaminate(odd, benchmark).select("text", "n_hit").collect())) == sorted(map(repr, strange))
+
+
 def test_decontamination_cuts_spans(spark, make_docs):
     phrase = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
     text = f"É before; {phrase.title()}! after that {phrase}"
@@ -297,3 +315,27 @@ def test_fit_reads_all_passages(spark, make_docs, monkeypatch):
     quality_mil.fit(make_docs(rows), labels)
     used = [r.doc_id for r in labels.where(~quality_mil.held_out()).collect()]
     assert sorted(seen) == sorted((len(t.split()) // 64, float(i % 2)) for i, t in rows if i in used) and len(used) > 1
+
+
+def extracted(spark, pages):
+    df = spark.createDataFrame([(i, "http://h.example/p", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_wrapper.extract(df).collect()}
+
+
+def test_class_names_count_as_a_whole(spark):
+    """A word of a longer name is no mark of what is not the article; neutral words beside one are."""
+    body = (
+        "<div class='share-buttons'>share {n}</div><article><p>first of {n}</p><div class='market-share'>market {n}</div><p class='social-science'>science {n}</p>"
+        "<p class='skip-count'>skipped {n}</p><div class='mainNav'>go {n}</div><div id='comment-list'><p>comment {n}</p></div></article>"
+    )
+    got = extracted(spark, [body.replace("{n}", f"number {i} of some") for i in range(6)])
+    assert got == {i: "\n".join(f"{x} number {i} of some" for x in ("first of", "market", "science", "skipped")) for i in range(6)}
+    assert html_wrapper.named_off("nav") and html_wrapper.named_off("topNav-bar") and not html_wrapper.named_off("main-content") and not html_wrapper.named_off("box")
+
+
+@pytest.mark.parametrize("deep", [5, 119, 130, 400, 3000])
+def test_what_deep_elements_hold(spark, deep):
+    pages = [f"<article><p>start {i} of it</p>{'<div>' * deep}<nav><ul><li><p>menu {i}</p></li></ul></nav><p>inner text {i}</p>{'</div>' * deep}<p>end {i}</p></article>" for i in range(5)]
+    got = extracted(spark, pages)
+    assert all("menu" not in t for t in got.values())
+    assert {i: t.split("\n") for i, t in got.items()} == {i: [f"start {i} of it", f"inner text {i}", f"end {i}"] for i in range(5)}
