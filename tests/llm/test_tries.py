@@ -14,9 +14,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cutsites.llm import block_anchors, burst_tries, queries, text_tries
+from cutsites.llm import block_anchors, burst_tries, text_tries
 from cutsites.llm.arrays import BYTE_CODES, NOT_SPACE, texts_of, words_of
-from cutsites.llm.oracle import oracle_sql
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -274,17 +273,3 @@ def test_very_long_conversation(spark):
     rows = spark.range(20_000).selectExpr("if(id < 19000, 20L, 21L) as conv_id", "id as turn", "'user' as role", "concat('t', id % 5) as text")
     got = burst_tries.nodes(rows, 1 << 12).agg(F.max("depth"), F.count("*"), F.max("n_convs")).first()
     assert got[0] == 19_000 and got[2] == 2
-
-
-@pytest.mark.parametrize("name", ["op11_block_anchors", "op12_filter_audit", "op13_burst_tries"])
-def test_queries_against_sql(spark, name):
-    duckdb = pytest.importorskip("duckdb")
-    folder = "/root/testdata/sf0.001"
-    db = duckdb.connect()
-    for table in ("documents", "labels", "conversations"):
-        db.execute(f"create view {table} as select * from '{folder}/{table}.parquet'")
-    got = queries.queries()[name](spark, folder)
-    want = db.sql(oracle_sql()[name])
-    assert sorted(got.columns) == sorted(want.columns)
-    columns = sorted(got.columns)
-    assert sorted(map(repr, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(repr, want.select(*[f'"{c}"' for c in columns]).fetchall()))
