@@ -9,7 +9,7 @@ from cutsites import schemas
 from cutsites.operators import counts as C
 from cutsites.operators import ratio, sites, tiers
 from cutsites.profile import PROFILE_CONTROL, PROFILE_HUMAN, PROFILE_MULTI, Profile, RatioWindow
-from cutsites.session import local_table
+from cutsites.session import configure, local_table
 
 SITE = "species string, library_method string, chr string, strand string, end5 long, cpm_end5_mean double, n_design long"
 
@@ -191,3 +191,25 @@ def test_species_codes_and_contig_pairs(spark):
     main = spark.createDataFrame([("Drosophila", "c1"), ("Trichoderma", "c2")], schemas.MAIN_CONTIGS)
     grid = C.on_grid(counts, PROFILE_CONTROL, main)
     assert {(r.species, r.chr) for r in grid.collect()} == {("Drosophila", "c1"), ("Trichoderma", "c2")}
+
+
+def test_a_task_reads_a_bounded_part_of_the_counts(spark):
+    """What one task of the layout reads does not grow with the counts as long as there are partitions left."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", "64")
+    configure(own)
+    n = 3_000_000
+    counts = own.range(n).selectExpr(
+        "'sp' as species", "'L1' as library_method", "'chr1' as chr", "'+' as strand", "abs(xxhash64(id)) % 100000000 + 1 as end5",
+        "concat('s', hex(hash(id, 1))) as sample", "xxhash64(id, 2) as count_end5",
+    )
+    used = [F.max(c) for c in ("end5", "sample", "count_end5")]  # so that these columns travel
+    per_task = [r["n"] for r in sites.tile_counts(counts).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), *used).collect()]
+    assert sum(per_task) == n and max(per_task) < n / 7
+
+
+def test_a_size_of_partitions_that_the_user_set_stays(spark):
+    name, own = "spark.sql.adaptive.advisoryPartitionSizeInBytes", spark.newSession()
+    own.conf.set(name, "32m")
+    assert configure(own).conf.get(name) == "32m"
+    assert configure(spark.newSession()).conf.get(name) == "8m"
